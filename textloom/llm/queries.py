@@ -7,17 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import simhash
+from textloom.llm import byte_bpe, line_crf, ranker, simhash
 from textloom.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op7_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = ranker.score(docs, ranker.train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("id").cast("string")) % 4 == 2
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.quality(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_ranker": op7_ranker,
+    "op8_line_crf": op8_line_crf,
 }
 
 ORACLE_SQL: dict[str, str] = {}
