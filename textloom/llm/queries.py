@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import byte_bpe, line_crf, ranker, simhash
+from textloom.llm import byte_bpe, line_crf, mixing, ranker, simhash, url_rules
 from textloom.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return found.withColumnRenamed("id", "doc_id")
@@ -40,11 +45,56 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.quality(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
 
 
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_mixing": op3_mixing,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_ranker": op7_ranker,
     "op8_line_crf": op8_line_crf,
+    "op9_urls": op9_urls,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": r"""
+with sizes as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+per as (select source, cast(sum(size) as bigint) as source_size, 3.0::double * sum(size) as cap from sizes group by source),
+weighed as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as w from per),
+levels as (select *, sum(source_size) over () as total, sum(w) over () as all_w,
+    coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as caps,
+    coalesce(sum(w) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as ws from weighed),
+held as (select *, (total - caps) / (all_w - ws) > cap / w as is_full from levels),
+targets as (select source, source_size, case when is_full then cap else least(cap, w * (total - coalesce(sum(case when is_full then cap end) over (), 0)) / sum(case when not is_full then w end) over ()) end as target from held),
+cells as (select s.source, length(bin(s.size)) as digits, sum(s.size)::double as s, any_value(t.target) as target from sizes s join targets t on s.source is not distinct from t.source group by 1, 2),
+scaled as (select *, coalesce((target - 3 * coalesce(sum(s) over (partition by source order by digits rows between unbounded preceding and 1 preceding), 0)) / nullif(sum(s / digits) over (partition by source order by digits rows between current row and unbounded following), 0) * (1.0::double / digits) >= 3, false) as is_full from cells),
+copies as (select *, case when is_full then 3.0 else least(3.0, coalesce(greatest(target - 3 * coalesce(sum(case when is_full then s end) over (partition by source), 0), 0.0) / nullif(sum(case when not is_full then s / digits end) over (partition by source), 0) * (1.0::double / digits), 0.0)) end as c from scaled),
+parts as (select source, digits, floor(c) as whole, c - floor(c) as p, sum(floor(c) * s) over (partition by source) as certain, target from copies),
+drawn as (select s.*, p.whole, p.p, p.target - p.certain as rest, (('0x' || substr(md5(coalesce(cast(s.doc_id as varchar), '') || ':11'), 1, 13))::bigint + 0.5) / 4503599627370496 as u
+    from sizes s join parts p on s.source is not distinct from p.source and length(bin(s.size)) = p.digits),
+ranked as (select *, (u / (1 - u)) * ((1 - p) / p) as odds from drawn where p > 0 and size > 0),
+sums as (select *, sum(size) over (partition by source order by odds, doc_id rows between unbounded preceding and current row)::double as upto from ranked),
+stops as (select source, min(upto) filter (where upto >= rest) as over_it, coalesce(max(upto) filter (where upto < rest), 0) as under_it, any_value(rest) as rest from sums group by source),
+taken as (select s.doc_id, s.source from sums s join stops t on s.source is not distinct from t.source
+    where s.upto <= case when t.over_it is null then t.under_it when t.rest - t.under_it <= t.over_it - t.rest then t.under_it else t.over_it end)
+select d.doc_id, d.size, t.source_size, t.target, cast((d.whole + case when k.doc_id is null then 0 else 1 end) * d.size as bigint) as taken
+from drawn d join targets t on d.source is not distinct from t.source left join taken k on d.doc_id = k.doc_id
+""",
+    "op9_urls": r"""
+with p as (select page_id, url, html, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+q as (select page_id, url, html, rest, least(coalesce(nullif(strpos(rest, '/'), 0), 1 << 30), coalesce(nullif(strpos(rest, '?'), 0), 1 << 30), coalesce(nullif(strpos(rest, '#'), 0), 1 << 30)) as cut from p),
+r as (select page_id, url, html, coalesce(lower(substr(rest, 1, cut - 1)), '') as host, coalesce(substr(rest, cut), '') as tail from q),
+s as (select page_id, url, html, host, substr(tail, 1, least(coalesce(nullif(strpos(tail, '?'), 0), 1 << 30), coalesce(nullif(strpos(tail, '#'), 0), 1 << 30)) - 1) as path from r),
+rules(v, h, pre) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit as (select s.page_id, s.url, max_by(h || pre, length(h || pre)) as rule, max_by(v, length(h || pre)) as v from s join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, pre) group by 1, 2),
+links as (select split_part(url, '#', 1) as a, split_part(regexp_extract(html, '(?i)<link\s[^>]*rel="canonical"[^>]*href="([^"]+)"', 1), '#', 1) as b from s where html ilike '%canonical%'),
+passed as (select l.a, max(f.v) as v from links l join s t on split_part(t.url, '#', 1) = l.b join fit f on f.page_id = t.page_id where l.b <> '' group by 1)
+select s.page_id, s.host, s.path, f.rule, coalesce(f.v, d.v, 'allow') as verdict
+from s left join fit f on s.page_id = f.page_id left join passed d on split_part(s.url, '#', 1) = d.a
+""",
+}
