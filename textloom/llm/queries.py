@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import byte_bpe, line_crf, mixing, ranker, simhash, url_rules
+from textloom.llm import byte_bpe, line_crf, line_dedup, mixing, ranker, simhash, url_rules
 from textloom.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return found.withColumnRenamed("id", "doc_id")
@@ -55,6 +60,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_ranker": op7_ranker,
     "op8_line_crf": op8_line_crf,
