@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import byte_bpe, line_crf, line_dedup, mixing, ranker, simhash, url_rules
-from textloom.llm.common import table
+from textloom.llm import ann, archives, byte_bpe, line_crf, line_dedup, mixing, ranker, repair_ids, simhash, url_rules
+from textloom.llm.common import scratch, table
 
 
 def tokenizer(name: str) -> str:
@@ -23,6 +23,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages go to legacy files of both versions by the parity of their id, and so to WARC."""
+    pages, at = table(spark, sf_dir, "pages"), scratch(spark)
+    odd = F.coalesce(F.col("page_id") % 2 != 0, F.lit(False))
+    archives.write_arc(pages.where(~odd), f"{at}/arc/v1", 1)
+    archives.write_arc(pages.where(odd), f"{at}/arc/v2", 2)
+    archives.convert(spark, f"{at}/arc/*", f"{at}/warc")
+    found = archives.read_warc(spark, f"{at}/warc").where(F.col("kind").isin("response", "revisit"))
+    return found.select(F.col("order").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to_order").alias("refers_to"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -33,6 +44,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return found.withColumnRenamed("id", "doc_id")
@@ -57,14 +72,23 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = scratch(spark)
+    repair_ids.write(table(spark, sf_dir, "documents"), at, tokenizer("word_bpe_49k.json"))
+    return repair_ids.read(spark, at).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_archives": op2_archives,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_ann": op5_ann,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_ranker": op7_ranker,
     "op8_line_crf": op8_line_crf,
     "op9_urls": op9_urls,
+    "op10_repair_ids": op10_repair_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {
