@@ -1,182 +1,27 @@
 """Fuzzy line dedup: MinHash of character shingles, banding, exact Jaccard, components.
 
 A line is compared in its normal form: lower case, white space folded. Lines of one normal form are
-one line class, named by a 64-bit hash (of 10^11 classes some 270 pairs would share a name). Classes whose sets of K-character shingles have a Jaccard
-similarity of at least SIMILAR are linked, links are closed to components, and of each component
-the first line by (id, line number) stays.
+one class, named by a 64-bit hash (of 10^11 classes some 270 pairs would share a name). Classes
+whose sets of K-character shingles have a Jaccard similarity of at least 0.8 are linked, links are
+closed to components, and of each component the first line by (id, line number) stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import components, forget, materialise
+from textloom.llm.common import materialise
+from textloom.llm.minhash import SIMILAR, Chars, linked, normal, small
 
 K = 8
-SIMILAR = 0.8
-#: 10 bands of 4: a pair at 0.8 shares a band with probability 0.995, at 0.9 with 0.99998.
-BANDS, ROWS = 10, 4
-#: Buckets with up to so many line classes are compared pair by pair at once; larger ones through
-#: a leader first.
-PAIRWISE = 6
-#: Bytes of lines that are hashed together.
-CHUNK = 1 << 15
-
-_SEED = np.random.default_rng(20240601)
-_MUL = (_SEED.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_ADD = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
-_POW = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(K)], np.uint64)
-
-
-#: Line classes whose texts are fetched, or documents that lose lines, are broadcast up to so many
-#: rows (some 20 MB); beyond it the join shuffles.
-MAX_BROADCAST = 500_000
-
-
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s\u00a0]+", " "))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
-def signatures(lines: list[str]) -> np.ndarray:
-    """A row of BANDS keys for each line, none of which is empty. Shingles are of K code points; a
-    shorter line is one shingle."""
-    out = np.empty((len(lines), BANDS), np.uint64)
-    tag = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    at = 0
-    with np.errstate(over="ignore"):
-        while at < len(lines):
-            end, size = at, 0
-            while end < len(lines) and (end == at or size + len(lines[end]) < CHUNK):
-                size += max(K, len(lines[end]))
-                end += 1
-            part = [x if len(x) >= K else x.ljust(K, "\0") for x in lines[at:end]]
-            n = np.array([len(x) for x in part])
-            code = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-            h = np.zeros(len(code) - K + 1, np.uint64)
-            for i in range(K):
-                h += code[i : len(code) - K + 1 + i] * _POW[i]
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            keep = np.ones(len(h), bool)  # windows over the border of two lines are no shingles
-            for i in range(1, K):
-                keep[(starts[1:] - i)] = False
-            h32 = (_mix(h[keep]) >> np.uint64(32)).astype(np.uint32)
-            first = np.concatenate([[0], np.cumsum(n - K + 1)[:-1]])
-            low = np.stack([np.minimum.reduceat(h32 * m + a, first) for m, a in zip(_MUL, _ADD, strict=True)], 1).astype(np.uint64)
-            key = np.zeros((end - at, BANDS), np.uint64)
-            for r in range(ROWS):
-                key = _mix(key + low[:, r::ROWS] + np.uint64(0x51ED27))
-            out[at:end] = _mix(key + tag)
-            at = end
-    return out
-
-
-def jaccard(a: str, b: str) -> float:
-    """Exact similarity of two normal lines' sets of shingles."""
-    x = {a[i : i + K] for i in range(max(1, len(a) - K + 1))}
-    y = {b[i : i + K] for i in range(max(1, len(b) - K + 1))}
-    return len(x & y) / len(x | y)
 
 
 def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, line_no, norm, line)`` for each line that has more than white space; ``line`` is the
-    class's name."""
+    """``(id, line_no, norm, cls)`` for each line that has more than white space."""
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw"))
     rows = rows.select("id", "line_no", normal(F.col("raw")).alias("norm")).where("norm <> ''")
-    return rows.withColumn("line", F.xxhash64("norm"))
-
-
-def _sketched(rows: DataFrame) -> DataFrame:
-    """``(line, bands)`` once for each class and task, so a line that millions of documents share
-    comes no more often than there are tasks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            lines = b.column(1).to_pylist()
-            new = [i for i, x in enumerate(lines) if not (x in seen or seen.add(x))]
-            if not new:
-                continue
-            part = b.take(pa.array(new))
-            keys = signatures(part.column(0).to_pylist()).view(np.int64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(1), flat], ["line", "bands"])
-
-    return rows.select("norm", "line").mapInArrow(run, "line long, bands array<long>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) >= SIMILAR for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    a = texts.select(F.col("line").alias("src"), F.col("norm").alias("ta"))
-    b = texts.select(F.col("line").alias("dst"), F.col("norm").alias("tb"))
-    return pairs.join(a, "src").join(b, "dst").where(alike("ta", "tb")).select("src", "dst")
-
-
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(id, line_no, line)`` of every line with more than white space, and ``(node, component)``
-    of the line classes that are linked to another.
-
-    Candidates are the classes that share a band. A bucket of more than PAIRWISE classes is first
-    compared with its leader only; then its members of different components are compared with each
-    other, save pairs within the bucket's largest component, which need no further link. So no
-    pair that banding offers is lost, and a family of any size costs rows in proportion to it.
-    """
-    paths: list[str] = []
-    rows = exploded(docs, id_col, text_col)
-    occurrences = materialise(rows.select("id", "line_no", "line"))
-    sketch = materialise(_sketched(rows), paths)
-    banded = sketch.select(F.explode("bands").alias("key"), "line")
-    shared = banded.groupBy("key").agg(F.min("line").alias("leader"), F.max("line").alias("last")).where("leader <> last").select("key", "leader")
-    shared = materialise(shared, paths)
-    met = materialise(banded.join(shared, "key"), paths)
-    met = materialise(met.distinct(), paths)
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    members = materialise(met.join(materialise(sizes, paths), "key"), paths)
-    needed = materialise(members.select("line").distinct(), paths)
-    texts = rows.select("line", "norm").join(_small(needed), "line").groupBy("line").agg(F.min("norm").alias("norm"))
-    texts = materialise(texts, paths)
-
-    few = members.where(F.col("n") <= PAIRWISE).groupBy("key").agg(F.collect_list("line").alias("all"))
-    pairs = few.select("all", F.explode("all").alias("src")).select("src", F.explode(F.filter("all", lambda x: x > F.col("src"))).alias("dst"))
-    large = members.where(F.col("n") > PAIRWISE)
-    star = large.where("leader <> line").select(F.col("leader").alias("src"), F.col("line").alias("dst"))
-    tried = materialise(pairs.unionByName(star).distinct(), paths)
-    links = materialise(_verified(tried, texts), paths)
-    found = components(links)
-
-    if not large.isEmpty():
-        own = large.join(found, large["line"] == found["node"], "left")
-        own = materialise(own.select("key", "line", F.coalesce("component", "line").alias("c")), paths)
-        parts = own.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-        main = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("key", "main")
-        main = materialise(main, paths)
-        open_ = materialise(own.join(main, "key"), paths)
-        rest = open_.where("c <> main").select("key", F.col("line").alias("x"), F.col("c").alias("cx"))
-        across = open_.join(rest, "key").where("c <> cx").select(F.least("line", "x").alias("src"), F.greatest("line", "x").alias("dst")).distinct()
-        more = materialise(_verified(across.join(tried, ["src", "dst"], "left_anti"), texts), paths)
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
-    found = materialise(found)
-    forget(docs.sparkSession, *paths)
-    return occurrences, found
+    return rows.withColumn("cls", F.xxhash64("norm"))
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +30,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Lines of rows with a null id come after all others. Of rows that repeat an id, lines with equal
     (id, line number) are told apart by nothing and share one decision.
     """
-    occurrences, found = line_classes(docs, id_col, text_col)
+    rows = exploded(docs, id_col, text_col)
+    occurrences = materialise(rows.select("id", "line_no", F.col("cls").alias("line")))
+    found = linked(rows, Chars(K), SIMILAR)
     big = (1 << 63) - 1
     first = F.min(F.struct(F.coalesce("id", F.lit(big)).alias("id"), "line_no")).alias("first")
     per_line = materialise(occurrences.groupBy("line").agg(first, F.count(F.lit(1)).alias("n")))
@@ -202,7 +49,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows of one id share the decisions of that id, so their lines stay or go together."""
     gone = duplicates(docs, id_col, text_col).groupBy("id").agg(F.collect_set("line_no").alias("__gone"))
     gone = materialise(gone.withColumnRenamed("id", "__id"))
-    out = docs.join(_small(gone), docs[id_col].eqNullSafe(F.col("__id")), "left")
+    out = docs.join(small(gone), docs[id_col].eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text_col), "\n")
     out = out.withColumn("n_lines", F.coalesce(F.size(F.filter(lines, lambda x: normal(x) != "")), F.lit(0)).cast("long"))
     out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))

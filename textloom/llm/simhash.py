@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import components, materialise
+from textloom.llm.minhash import Words, linked, normal, small
 
 #: Lower-cases A-Z only; bytes.split() then splits on exactly \x20 and \x09-\x0D.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -93,8 +94,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_fp, "fp").select("id", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of docs whose id is their component's smallest; other columns are untouched. Rows
-    with a null id cannot be told apart and stay. Of repeated rows with that id, all stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle).where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(materialise(found), docs[id_col] == F.col("__gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8) -> DataFrame:
+    """The rows of docs whose id is the smallest of its group; other columns are untouched.
+
+    Groups are the components of pairs whose sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``similar`` or more. Candidates come from the fingerprints' pigeonhole links and
+    from MinHash bands: pairs at 0.8 differ in up to 14 of 64 bits, which no two or three
+    agreeing blocks can promise, so blocks alone would miss them. All candidates are verified.
+    Texts that are equal but for case and white space are one class; null texts count as empty.
+    Rows with a null id cannot be told apart and stay, as do rows that repeat the smallest id.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), normal(F.coalesce(text_col, F.lit(""))).alias("norm"))
+    rows = rows.withColumn("cls", F.xxhash64("norm"))
+    prints = materialise(fingerprints(rows, "cls", "norm", shingle))
+    firsts = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    same = prints.join(firsts, "fp").where("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst")).distinct()
+    a, b = (firsts.select(F.col("fp").alias(f), F.col("first").alias(c)) for f, c in (("src", "a"), ("dst", "b")))
+    near = links(firsts.select("fp")).join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = linked(rows, Words(shingle), similar, materialise(same.unionByName(near)))
+
+    per = materialise(rows.groupBy("cls").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
+    rooted = per.join(found, per["cls"] == found["node"], "left").select("cls", "n", "first", F.coalesce("component", "cls").alias("root"))
+    keep = materialise(rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where(F.col("n") > 1))
+    rule = materialise(rooted.join(keep, "root").select("cls", "keep"))
+    gone = rows.select("id", "cls").join(rule, "cls").where("id <> keep").select(F.col("id").alias("__gone"))
+    gone = materialise(gone)
+    return docs.join(small(gone), docs[id_col] == F.col("__gone"), "left_anti")
