@@ -45,11 +45,11 @@ def source_targets(sizes: DataFrame, most: float = 3.0, weights: tuple[int, ...]
     whole = Window.partitionBy(F.lit(1))
     before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    level = (F.sum("source_size").over(whole) - zero(F.sum("cap").over(before))) / (F.sum("w").over(whole) - zero(F.sum("w").over(before)))
+    level = F.try_divide(F.sum("source_size").over(whole) - zero(F.sum("cap").over(before)), F.sum("w").over(whole) - zero(F.sum("w").over(before)))
     per = per.withColumn("full", level > F.col("ratio"))
     rest = F.sum(F.when(~F.col("full"), F.col("w"))).over(whole)
     left = F.sum("source_size").over(whole) - zero(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole))
-    return per.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("w") * left / rest)).alias("target"))
+    return per.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.try_divide(F.col("w") * left, rest))).alias("target"))
 
 
 def expected_copies(sizes: DataFrame, targets: DataFrame, most: float = 3.0) -> DataFrame:
@@ -60,11 +60,11 @@ def expected_copies(sizes: DataFrame, targets: DataFrame, most: float = 3.0) ->
     own = Window.partitionBy("source")
     before = own.orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
     after = own.orderBy("digits").rowsBetween(0, Window.unboundedFollowing)
-    scale = (F.col("target") - most * F.coalesce(F.sum("s").over(before), F.lit(0))) / F.sum(F.col("w") * F.col("s")).over(after)
+    scale = F.try_divide(F.col("target") - most * F.coalesce(F.sum("s").over(before), F.lit(0)), F.sum(F.col("w") * F.col("s")).over(after))
     cells = cells.withColumn("full", F.coalesce(scale * F.col("w") >= most, F.lit(False)))
     free = F.sum(F.when(~F.col("full"), F.col("w") * F.col("s"))).over(own)
     left = F.col("target") - most * F.coalesce(F.sum(F.when(F.col("full"), F.col("s"))).over(own), F.lit(0))
-    copies = F.when(F.col("full"), F.lit(most)).otherwise(F.least(F.lit(most), F.coalesce(F.greatest(left, F.lit(0.0)) / free * F.col("w"), F.lit(0.0))))
+    copies = F.when(F.col("full"), F.lit(most)).otherwise(F.least(F.lit(most), F.coalesce(F.try_divide(F.greatest(left, F.lit(0.0)), free) * F.col("w"), F.lit(0.0))))
     cells = cells.withColumn("copies", copies).withColumn("whole", F.floor("copies"))
     return cells.select("source", "digits", "whole", (F.col("copies") - F.col("whole")).alias("p"), "s")
 
