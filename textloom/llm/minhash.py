@@ -18,6 +18,10 @@ BANDS, ROWS = 10, 4
 #: Buckets with up to so many classes are compared pair by pair at once; larger ones through a
 #: leader first.
 PAIRWISE = 6
+#: Members of a bucket in a block; two blocks meet in one group.
+BLOCK = 128
+#: Cells of the 0-1 matrices at most.
+DENSE = 60_000_000
 #: Code points that are hashed together.
 CHUNK = 1 << 15
 #: Rows of a side that is broadcast at most (some 20 MB); beyond it the join shuffles.
@@ -152,14 +156,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingles: Chars | Words, simil
     return pairs.join(a, "src").join(b, "dst").where(alike("ta", "tb")).select("src", "dst")
 
 
+def similarities(x: list[set], y: list[set]) -> np.ndarray:
+    """Exact Jaccard similarities of all of x with all of y, as one product of 0-1 matrices; of sets
+    so large that the matrices would fill the memory, one by one."""
+    if sum(map(len, x)) + sum(map(len, y)) > DENSE // (len(x) + len(y)):
+        return np.array([[(n := len(a & b)) / (len(a) + len(b) - n) for b in y] for a in x])
+    place: dict = {}
+    rows = [np.fromiter((place.setdefault(g, len(place)) for g in s), np.int64, len(s)) for s in (*x, *y)]
+    cells = np.zeros((len(rows), len(place)), np.float32)
+    for i, r in enumerate(rows):
+        cells[i, r] = 1
+    both = cells[: len(x)] @ cells[len(x) :].T
+    sizes = np.array([len(r) for r in rows], np.float64)
+    return both / (sizes[: len(x), None] + sizes[None, len(x) :] - both)
+
+
+def _across(members: DataFrame, shingles: Chars | Words, similar: float) -> DataFrame:
+    """Links ``(src, dst)`` between members ``(key, cls, c, main, norm)`` of different components of
+    a bucket. Members are dealt into blocks of some BLOCK rows by their hash; each block outside the
+    main component meets every block of the bucket in a group of its own, so a large family is
+    spread over many tasks and costs one matrix product a pair of blocks."""
+    out = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ys"), F.ceil(F.sum((F.col("c") != F.col("main")).cast("int")) / BLOCK).alias("xs"))
+    dealt = members.join(small(out), "key")
+    own = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    x = dealt.where("c <> main").withColumn("x", own("xs", 1)).withColumn("y", every("ys")).select("key", "x", "y", "cls", "c", "norm")
+    y = dealt.withColumn("y", own("ys", 2)).withColumn("x", every("xs"))
+    y = y.select(*(F.col(n).alias(f"{n}_b") for n in ("key", "x", "y", "cls", "c", "norm")))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(a) and len(b):
+            alike = similarities([shingles.of(t) for t in a["norm"]], [shingles.of(t) for t in b["norm_b"]]) >= similar
+            alike &= a["c"].to_numpy()[:, None] != b["c_b"].to_numpy()[None, :]
+            up: dict = {}
+
+            def root(n: int) -> int:
+                while up.get(n, n) != n:
+                    n = up[n]
+                return n
+
+            ids_a, ids_b = a["cls"].tolist(), b["cls_b"].tolist()
+            for i, j in zip(*np.nonzero(alike), strict=True):
+                p, q = root(ids_a[i]), root(ids_b[j])
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    found.append((min(ids_a[i], ids_b[j]), max(ids_a[i], ids_b[j])))
+        return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+    return x.groupBy("key", "x", "y").cogroup(y.groupBy("key_b", "x_b", "y_b")).applyInPandas(meet, "src long, dst long").distinct()
+
+
 def linked(rows: DataFrame, shingles: Chars | Words, similar: float = SIMILAR, extra: DataFrame | None = None) -> DataFrame:
     """``(node, component)`` of the classes that are linked to another. rows: ``(cls long, norm)``,
     any number of rows a class; extra: further candidates ``(src, dst)`` to verify.
 
     Candidates are the classes that share a band. A bucket of more than PAIRWISE classes is first
-    compared with its leader only; then its members of different components are compared with each
-    other, save pairs within the bucket's largest component, which need no further link. So no
-    pair that banding offers is lost, and a family of any size costs rows in proportion to it.
+    compared with its leader only, which joins a tight family at once; then its members outside
+    its largest component are compared with all of it, block against block (see _across), and only
+    a forest of the links found is emitted. So no link that banding offers is lost, and no pairs
+    are written out for a family of any size.
     """
     paths: list[str] = []
     sketch = materialise(_sketched(rows, shingles), paths)
@@ -194,10 +250,8 @@ def linked(rows: DataFrame, shingles: Chars | Words, similar: float = SIMILAR, e
         parts = own.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
         main = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("key", "main")
         main = materialise(main, paths)
-        open_ = materialise(own.join(main, "key"), paths)
-        rest = open_.where("c <> main").select("key", F.col("cls").alias("x"), F.col("c").alias("cx"))
-        across = open_.join(rest, "key").where("c <> cx").select(F.least("cls", "x").alias("src"), F.greatest("cls", "x").alias("dst")).distinct()
-        more = materialise(_verified(across.join(tried, ["src", "dst"], "left_anti"), texts, shingles, similar), paths)
+        open_ = materialise(own.join(main, "key").join(texts, "cls"), paths)
+        more = materialise(_across(open_, shingles, similar), paths)
         if not more.isEmpty():
             found = components(links.unionByName(more))
     forget(rows.sparkSession, *paths)
