@@ -1,11 +1,179 @@
-"""Registered queries over the reference's own operators, and their SQL twins."""
+"""Registered queries over the search engine's operators, and their SQL twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from textloom.functions import text, urls
+from textloom.operators import crawl, index, pages, rank, search
+from textloom.plans.oracle import SQL
+from textloom.sources import corpus
 
-ORACLE_SQL: dict[str, str] = {}
+#: Terms of the sample query; they stem to themselves but for "inties".
+QUERY = "blend inti ist"
+Q = Callable[[SparkSession, str], DataFrame]
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.build(corpus.documents(spark, sf_dir))
+
+
+def corpus_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.documents(spark, sf_dir)
+    full = F.col("content").isNotNull() & (F.col("content") != "")
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(full, 1)).alias("indexable"))
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).vocabulary()
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and different words of each document that has any; counted within the row."""
+    docs = corpus.scan(corpus.documents(spark, sf_dir)).select("document_id", text.tokens(F.col("content")).alias("t"))
+    return docs.where(F.size("t") > 0).select("document_id", F.size("t").cast("long").alias("words"), F.size(F.array_distinct("t")).cast("long").alias("kinds"))
+
+
+def stem_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).dictionary()
+
+
+def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).doc_lengths.withColumn("doc_len", F.col("doc_len").cast("long"))
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _index(spark, sf_dir).postings()
+    return rows.select("term", "document_id", "tf", F.array_min("positions").cast("long").alias("first_pos"), F.array_max("positions").cast("long").alias("last_pos"))
+
+
+def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).document_frequencies()
+
+
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.stats(_index(spark, sf_dir), corpus.documents(spark, sf_dir))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).candidates(text.parse_query(QUERY)[0])
+
+
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.idf(_index(spark, sf_dir), text.parse_query(QUERY)[0]).select("term", F.round("idf", 9).alias("idf"))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("rank").cast("long").alias("rank"), "document_id", F.round("score", 6).alias("score"))
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(rank.numbered(rank.rank(_index(spark, sf_dir), *text.parse_query(QUERY)), 10))
+
+
+def bm25_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.documents(spark, sf_dir)
+    return _shown(search.search(index.build(docs), docs, QUERY, page=2, limit=7).results)
+
+
+def phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.phrase_matches(_index(spark, sf_dir), ["nd", "nd"])
+
+
+def phrase_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(rank.numbered(rank.rank(_index(spark, sf_dir), *text.parse_query('"reat er" "ther en"')), 20))
+
+
+def suggest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.suggest(_index(spark, sf_dir).vocabulary(), " TH", 5)
+
+
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.documents(spark, sf_dir)
+    return docs.select("document_id", text.snippet(F.col("content"), F.lit("Thing x EAU")).alias("snippet"))
+
+
+def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.documents(spark, sf_dir)
+    return search.document(docs, index.build(docs.where("document_id = 42")), 42)
+
+
+def existing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.exists(corpus.documents(spark, sf_dir), spark.createDataFrame([(3,), (5,), (100000000,)], "document_id long"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.parsed(corpus.read_table(spark, sf_dir, "pages"))
+
+
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", "title")
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", "content")
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", F.explode("links").alias("link"))
+
+
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.read_table(spark, sf_dir, "pages").select("page_id", urls.normalized(F.col("url")).alias("normal"))
+
+
+def page_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = corpus.read_table(spark, sf_dir, "pages").select(urls.domain(F.col("url")).alias("domain"))
+    return found.groupBy("domain").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def domain_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = index.build(pages.corpus(corpus.read_table(spark, sf_dir, "pages")))
+    return search.facets(built.candidates(text.parse_query("things")[0]))
+
+
+def url_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tried = ["ftp://example.com", "file:///etc/passwd", "http://localhost:8080", "http://app.internal/status", "http://printer.local/", "http://[::1]/", "http://10.1.2.3/x", "https://en.wikipedia.org/wiki/Algorithm", "nonsense", ""]
+    return spark.createDataFrame([(u,) for u in tried], "url string").select("url", urls.url_problem(F.col("url")).alias("problem"))
+
+
+def blocked_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses spread over the whole range, one an order."""
+    n = F.pmod(F.col("o_orderkey").cast("long") * F.lit(2654435761), F.lit(1 << 32))
+    octets = [F.pmod(F.shiftright(n, 24 - 8 * i), F.lit(256)).cast("string") for i in range(4)]
+    return corpus.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), urls.is_blocked_v4(F.concat_ws(".", *octets)).alias("blocked"))
+
+
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest-rank percentile and the mean of a measure."""
+    docs = corpus.read_table(spark, sf_dir, "documents")
+    return docs.agg(F.expr("percentile_disc(0.99) within group (order by n_chars)").cast("long").alias("p99"), F.avg("n_chars").alias("mean"))
+
+
+def domain_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of results within one domain, with titles and snippets."""
+    docs = pages.corpus(corpus.read_table(spark, sf_dir, "pages")).cache()
+    return search.search(index.build(docs), docs, "things", domain="Tionble.example.org").results
+
+
+def crawl_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happens when the first page's url is crawled two levels deep."""
+    table = corpus.read_table(spark, sf_dir, "pages")
+    seed = table.orderBy("page_id").first()["url"]
+    return crawl.crawl(table, spark.createDataFrame([], "document_id string"), seed, 2, 5).outcomes
+
+
+def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.documents(spark, sf_dir)
+    return docs.select("document_id", text.highlight(F.substring("content", 1, 200), 'The "or').alias("html"))
+
+
+NAMES: list[Q] = [
+    corpus_count, vocabulary, word_counts, stem_vocab, doc_lengths, postings, term_df, index_stats, candidates, idf, bm25_topk, bm25_page2, phrase_counts, phrase_boost, suggest_prefix, snippets, document_lookup,
+    existing_documents, page_titles, page_text, page_links, url_normalize, page_domains, domain_facets, url_problems, blocked_ips, percentiles, domain_search, crawl_outcomes, highlights,
+]
+QUERIES: dict[str, Q] = {q.__name__: q for q in NAMES}
+ORACLE_SQL: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
