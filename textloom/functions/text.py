@@ -16,7 +16,7 @@ from textloom.functions.stem import stem_word
 # The stop words, removed before stemming.
 STOP_WORDS = ("a", "an", "the", "is", "are", "am", "and", "or", "of", "to", "in", "for", "on", "at", "by", "with", "from", "as", "this", "that", "it", "not", "be", "was")
 # What counts as white space when snippets split a query and page text is folded.
-SPACE_CLASS = r"[\t\n\x0B\f\r    -     　﻿]"
+SPACE_CLASS = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 SNIPPET, LEAD = 200, 60
 #: Least length of a token in documents; in queries tokens of one letter count too.
 DOCUMENT_LEAST, QUERY_LEAST = 2, 1
@@ -89,4 +89,4 @@ def complete(query: Column, suggestion: Column) -> Column:
 
 
 def display_score(score: Column) -> Column:
-    return F.format_number(score, "0.000")
+    return F.format_string("%.3f", score)

@@ -47,7 +47,7 @@ def crawl(pages: DataFrame, stored: DataFrame, seed: str, max_depth: int = 1, ma
         problem = urls.url_problem(F.col("url"))
         outcome = F.when(F.col("__stored"), "skipped").when(problem.isNotNull() | F.col("links").isNull(), "error").otherwise("indexed")
         reason = F.when(F.col("__stored"), "already_indexed").when(problem.isNotNull(), problem).when(F.col("links").isNull(), "not_found")
-        rows = rows.withColumn("outcome", outcome).withColumn("reason", reason)
+        rows = rows.withColumn("outcome", outcome).withColumn("reason", reason).cache()  # a page's links at most
         done = rows if done is None else done.unionByName(rows)
         seen = todo.select("url") if seen is None else seen.unionByName(todo.select("url"))
         frontier = rows.where("outcome = 'indexed'").select("ord", F.posexplode("links").alias("k", "url"))

@@ -67,7 +67,7 @@ def phrase(words: list[str], name: str) -> str:
 
 
 RANKED = "ranked as (select document_id, score, row_number() over (order by round(score, 9) desc, document_id) as rank from scores where score > 0)"
-BODY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1), '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>', '', 'g'), '(?s)<div class="ad">.*?</div>', '', 'g'), '<[^>]*>', '', 'g'), '$', '')"""
+BODY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*?<body[^>]*>', ''), '(?s)</body>.*$', ''), '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>', '', 'g'), '(?s)<div class="ad">.*?</div>', '', 'g'), '<[^>]*>', '', 'g'), '$', '')"""
 
 
 def entities(x: str) -> str:
@@ -100,10 +100,12 @@ select document_id, case when text is null or text = '' then '' when hit is null
     "existing_documents": "select doc_id as document_id from documents where doc_id in (3, 5, 100000000)",
     "page_titles": f"select page_id, trim({entities("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) as title from pages",
     "page_text": rf"select page_id, trim(regexp_replace({entities(BODY)}, '\s+', ' ', 'g')) as content from pages",
-    "page_links": rf"""with l as (select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from pages), f as (select page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || href as link from l) select distinct page_id, link from f""",
+    "page_links": rf"""with l as (select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from pages), f as (select page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || href as link from l) select distinct page_id, replace(replace(replace(regexp_extract(link, '^https?://[^/]*/') || url_encode(regexp_extract(link, '^https?://[^/]*/(.*)$', 1)), '%2C', ','), '%2A', '*'), '%24', '$') as link from f""",
     "url_normalize": f"with {URLS} select page_id, normal from u1",
     "page_domains": f"with {URLS} select domain, count(*) as pages from u1 group by 1",
-    "domain_facets": f"with {URLS}, d as (select distinct normal, domain, html from u1), body as (select domain, {toks('d', 'domain', BODY).strip().split('from d where')[0].split('select domain as document_id, ')[1].rpartition(' as ws')[0]} as ws from d), hit as (select domain from body where list_contains(ws, 'thing') or list_contains(ws, 'things')) select domain, count(*) as count from hit group by 1 union all select 'all', count(*) from hit",
+    "domain_facets": rf"""with {URLS}, pagedocs as (select normal, any_value(domain) as domain, min_by({entities(BODY)}, page_id) as content from u1 group by 1), {toks('pagedocs', 'normal', 'content')},
+distinct_words as (select distinct word from words), {stems('distinct_words')}, hit as (select distinct p.domain, p.normal from words w join stem using (word) join pagedocs p on p.normal = w.document_id where term = 'thing')
+select domain, count(*) as count from hit group by 1 union all select 'all', count(*) from hit""",
     "url_problems": "select * from (values ('ftp://example.com', 'protocol'), ('file:///etc/passwd', 'protocol'), ('http://localhost:8080', 'host'), ('http://app.internal/status', 'host'), ('http://printer.local/', 'host'), ('http://[::1]/', 'address'), ('http://10.1.2.3/x', 'address'), ('https://en.wikipedia.org/wiki/Algorithm', null), ('nonsense', 'format'), ('', 'empty')) t(url, problem)",
     "blocked_ips": "with o as (select o_orderkey as k, cast(hash(o_orderkey) % 4294967296 as bigint) as n from orders), a as (select k from o) select k, (ip // 16777216 in (0, 10, 127) or ip // 16777216 between 224 and 239 or ip = 4294967295 or ip // 65536 in (43518, 49320) or ip // 1048576 = 2753 or ip // 4194304 = 401) as blocked from (select k, (k * 2654435761) % 4294967296 as ip from a)",
     "percentiles": "select cast(quantile_disc(n_chars, 0.99) as bigint) as p99, avg(n_chars) as mean from documents",
