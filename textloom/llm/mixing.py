@@ -75,6 +75,16 @@ def _uniform(id_col: str, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def _edge(cells: DataFrame, left: DataFrame) -> DataFrame:
+    """``(source, edge, base, left)``: the cell in which a source's sum, in the order of its cells
+    and from ``below`` on, reaches ``left``, and the sum before it. A source has CELLS / 256 or
+    256 cells here, so its window is short however many documents it has."""
+    upto = F.sum("s").over(Window.partitionBy("source").orderBy("cell"))
+    sums = cells.withColumn("upto", upto).join(_small(left.withColumnRenamed("source", "__l")), F.col("source").eqNullSafe(F.col("__l")))
+    sums = sums.withColumn("upto", F.col("upto") + F.col("below")).withColumn("base", F.col("upto") - F.col("s"))
+    return materialise(sums.where("upto >= left and base < left").select("source", F.col("cell").alias("edge"), "base", "left"))
+
+
 class Mix:
     """What deciding a document's copies needs: a row a source, and a row a source and size class."""
 
@@ -88,12 +98,12 @@ class Mix:
         ranked = self.ranked(sizes).where("p > 0 and size > 0")
         left = self.classes.groupBy("source").agg(F.sum(F.col("whole") * F.col("s")).alias("certain"))
         left = self.targets.join(left.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).select("source", (F.col("target") - F.col("certain")).alias("left"))
-        own = Window.partitionBy("source").orderBy("cell")
-        hist = ranked.groupBy("source", "cell").agg(F.sum("size").alias("s"))
-        hist = hist.withColumn("upto", F.sum("s").over(own)).withColumn("base", F.col("upto") - F.col("s"))
-        l = _small(left.withColumnRenamed("source", "__s"))
-        edge = hist.join(l, F.col("source").eqNullSafe(F.col("__s"))).where("upto >= left and base < left").select(F.col("source").alias("__s"), F.col("cell").alias("edge"), "base", "left")
-        edge = materialise(edge)
+        hist = materialise(ranked.groupBy("source", "cell").agg(F.sum("size").alias("s")))
+        rough = hist.groupBy("source", F.shiftright("cell", 8).alias("cell")).agg(F.sum("s").alias("s"))
+        band = _edge(rough, left.select("source", "left", F.lit(0).cast("long").alias("below")))
+        inner = band.select(F.col("source").alias("__b"), F.col("edge").alias("__e"))
+        fine = hist.join(_small(inner), F.col("source").eqNullSafe(F.col("__b")) & (F.shiftright("cell", 8) == F.col("__e"))).select("source", "cell", "s")
+        edge = _edge(fine, band.select("source", "left", F.col("base").alias("below"))).withColumnRenamed("source", "__s")
         inside = ranked.join(_small(edge), F.col("source").eqNullSafe(F.col("__s")) & (F.col("cell") == F.col("edge")))
         order = Window.partitionBy("source").orderBy("odds", id_col).rowsBetween(Window.unboundedPreceding, 0)
         inside = inside.withColumn("sum", F.col("base") + F.sum("size").over(order))
