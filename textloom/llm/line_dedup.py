@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialise
-from textloom.llm.minhash import SIMILAR, Chars, linked, normal, small
+from textloom.llm.minhash import SIMILAR, SOLID, Chars, linked, normal, small
 
 K = 8
 
@@ -20,7 +20,7 @@ K = 8
 def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, line_no, norm, cls)`` for each line that has more than white space."""
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw"))
-    rows = rows.select("id", "line_no", normal(F.col("raw")).alias("norm")).where("norm <> ''")
+    rows = rows.where(F.col("raw").rlike(SOLID)).select("id", "line_no", normal(F.col("raw")).alias("norm"))
     return rows.withColumn("cls", F.xxhash64("norm"))
 
 
@@ -51,7 +51,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = materialise(gone.withColumnRenamed("id", "__id"))
     out = docs.join(small(gone), docs[id_col].eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text_col), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.size(F.filter(lines, lambda x: normal(x) != "")), F.lit(0)).cast("long"))
+    out = out.withColumn("n_lines", F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(SOLID))), F.lit(0)).cast("long"))
     out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).drop("__gone", "__id")

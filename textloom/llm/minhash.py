@@ -32,9 +32,16 @@ _MUL = (_SEED.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
 
+#: White space that a normal text does not have as it is: any run of two, any but a plain blank.
+_UNEVEN = r"[\s\u00a0]{2}|[\t\n\x0B\f\r\u00a0]"
+#: What makes a text more than white space.
+SOLID = r"[^\s\u00a0]"
+
+
 def normal(text: Column) -> Column:
-    """Lower case, white space folded and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[\s\u00a0]+", " "))
+    """Lower case, white space folded and trimmed. Even texts, which most are, are only looked at."""
+    low = F.lower(text)
+    return F.trim(F.when(low.rlike(_UNEVEN), F.regexp_replace(low, r"[\s\u00a0]+", " ")).otherwise(low))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -222,7 +229,7 @@ def linked(rows: DataFrame, shingles: Chars | Words, similar: float = SIMILAR, e
     banded = sketch.select(F.explode("bands").alias("key"), "cls")
     shared = banded.groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("key", "leader")
     shared = materialise(shared, paths)
-    met = materialise(banded.join(shared, "key"), paths)
+    met = materialise(banded.join(small(shared), "key"), paths)
     met = materialise(met.distinct(), paths)
     sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     members = materialise(met.join(materialise(sizes, paths), "key"), paths)
