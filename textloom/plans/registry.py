@@ -168,7 +168,7 @@ def crawl_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir)
-    return docs.select("document_id", text.highlight(F.substring("content", 1, 200), 'The "or').alias("html"))
+    return docs.select("document_id", text.highlight(F.col("content"), 'The "or').alias("html"))
 
 
 NAMES: list[Q] = [
