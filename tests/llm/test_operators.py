@@ -461,6 +461,22 @@ def test_repair_round_trip():
         assert s.window(3, a, b).tolist() == tokens[3][a:b].tolist()
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    pairs = rng.permutation(np.repeat(np.arange(15_000), 20))  # 20 places each among 600,000
+    seq = np.stack([2 * pairs, 2 * pairs + 1], 1).ravel()
+    seq[rng.choice(len(seq), 50, replace=False)] = -1
+    got, rules, lengths = repair_ids.compress(seq, 40_000)
+    left = Counter((a, b) for a, b in itertools.pairwise(got.tolist()) if a >= 0 and b >= 0)
+    assert max(left.values()) < repair_ids.LEAST
+    assert len(rules) >= 15_000
+    spelt = []
+    for a, b in rules.tolist():
+        spelt.append(tuple(x for s in (a, b) for x in (spelt[s - 40_000] if s >= 40_000 else (s,))))
+    assert lengths.tolist() == list(map(len, spelt))
+    assert [x for s in got.tolist() for x in (spelt[s - 40_000] if s >= 40_000 else (s,))] == seq.tolist()
+
+
 def test_token_files_against_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -1,8 +1,9 @@
 """Token ids in files: Re-Pair grammar compression by shard, with random access.
 
 A shard file holds, after a head of counts: ids of the documents, for each the number of its symbols
-and of its tokens, the rules (a pair of symbols each, by number from ``base``), the length each rule
-expands to, and the symbols. No rule spans two documents, so a document, or a range of it, is decoded
+and of its tokens, the distinct token ids, the rules (a pair of symbols each), the length each rule
+expands to, and the symbols, in as many bytes as they need. In a file symbols are numbered through,
+distinct ids first, then rules; in memory rules are numbered from ``base``. No rule spans two documents, so a document, or a range of it, is decoded
 alone. Files are written by Spark's text writer, a shard a row, and read by its binary file source.
 """
 
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import materialise
 
-MAGIC = b"TLRP1\n"
-HEAD = struct.Struct("<6sqqqqqq")  # magic, shard, documents, rules, symbols, base, bytes a symbol
-#: Rounds of replacement and pairs replaced a round; a pair must be that frequent in the part
-#: of the shard that is counted.
-ROUNDS, PAIRS, LEAST, COUNTED = 5, 1200, 8, 1 << 18
+MAGIC = b"TLRP2\n"
+HEAD = struct.Struct("<6sqqqqqqq")  # magic, shard, documents, distinct ids, rules, symbols, base, bytes a symbol
+#: A pair that comes so often in a shard becomes a rule; a round replaces pairs down to that share
+#: of the most frequent one's count.
+LEAST, SHARE = 8, 0.1
 SLOTS = 1 << 20
 #: Tokens after which a task closes a shard.
 SHARD = 2_000_000
@@ -36,42 +37,73 @@ TASK_BYTES = 8 << 20
 REMEMBERED = 700_000
 
 
+def _slot(key: np.ndarray, slots: int) -> np.ndarray:
+    return (key * 0x9E3779B97F4A7C1 >> 20) & (slots - 1)
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each comes."""
+    key = np.sort(key)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[at], np.diff(np.append(at, len(key)))
+
+
 def compress(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols (-1 parts documents and stays), rules and expansion lengths. In each round the most
-    frequent pairs are replaced at once, from the left where they overlap."""
-    rules, lengths = np.empty((0, 2), np.int64), np.empty(0, np.int64)
-    seq = seq.astype(np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        key = np.where((seq[:-1] < 0) | (seq[1:] < 0), -1, seq[:-1] << 32 | seq[1:])
-        step = max(1, len(key) // COUNTED)
-        blocks = key[: len(key) // step * step].reshape(-1, step)[:, 0] if step > 1 else key
-        found, count = np.unique(blocks[blocks >= 0], return_counts=True)
-        found, count = found[count >= LEAST], count[count >= LEAST]
-        if not len(found):
+    """Symbols (-1 parts documents and stays), rules and expansion lengths. Rounds go on until no
+    pair of neighbours comes LEAST times. In each round the pairs that come at least SHARE as often
+    as the most frequent one are replaced at once, from the left where they overlap; pairs that this
+    leaves with fewer than LEAST places wait for another round.
+
+    Every place is counted. A pair of old symbols never becomes more frequent, so once it comes too
+    seldom its places are not looked at again until a neighbour is replaced; the places of a slot
+    that has too few are dropped without sorting them. Places keep their numbers until the end;
+    ``after`` and ``before`` name the neighbours that are left.
+    """
+    rules, lengths = [np.empty((0, 2), np.int64)], np.empty(0, np.int64)
+    seq = np.append(seq, -1).astype(np.int64)  # the last place has a neighbour, too
+    after, before = np.arange(1, len(seq) + 1, dtype=np.int32), np.arange(-1, len(seq) - 1, dtype=np.int32)
+    gone, open_ = np.zeros(len(seq), bool), np.zeros(len(seq), bool)
+    live = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
+    while len(live):
+        slots = min(SLOTS, 4 << len(live).bit_length())
+        key = seq[live] << 32 | seq[after[live]]
+        slot = _slot(key, slots)
+        often = np.flatnonzero((np.bincount(slot, minlength=slots) >= LEAST)[slot])
+        live, key, slot = live[often], key[often], slot[often]
+        if not len(live):
             break
-        found = found[np.lexsort((found, -count))][:PAIRS]
-        first = base + len(rules)
-        slot = (found * 0x9E3779B97F4A7C1 >> 20) & (SLOTS - 1)
-        table = np.full(SLOTS, -1, np.int64)
-        table[slot[::-1]] = np.arange(len(found))[::-1]  # of pairs in one slot the most frequent
-        number = table[(key * 0x9E3779B97F4A7C1 >> 20) & (SLOTS - 1)]
-        hit = (number >= 0) & (found[number] == key)
-        start = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]]))
-        at = np.flatnonzero(hit)
-        if not len(at):
+        found, count = _counted(key)
+        if count.max() < LEAST:
             break
-        run = start[np.searchsorted(start, at, side="right") - 1]
-        at = at[(at - run) % 2 == 0]  # every other place of a run of overlapping pairs
-        seq[at] = first + number[at]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        pairs = np.stack([found >> 32, found & 0xFFFFFFFF], 1)
-        size = np.where(pairs >= base, np.concatenate([lengths, [0]])[np.minimum(np.maximum(pairs - base, 0), max(len(lengths) - 1, 0))] if len(lengths) else 0, 1)
-        rules, lengths = np.concatenate([rules, pairs]), np.concatenate([lengths, size.sum(1)])
-    return seq, rules, lengths
+        few = max(LEAST, count.max() * SHARE)
+        found, count = found[count >= few], count[count >= few]
+        found = found[np.lexsort((found, -count))]
+        table = np.full(slots, -1, np.int32)
+        table[_slot(found, slots)[::-1]] = np.arange(len(found))[::-1]  # of pairs in one slot the most frequent
+        number = table[slot]
+        hit = np.flatnonzero((number >= 0) & (found[number] == key))
+        at, number = live[hit], number[hit]
+        nth = np.arange(len(at))
+        run = np.maximum.accumulate(np.where(np.concatenate([[True], at[1:] != after[at[:-1]]]), nth, 0))
+        other = (nth - run) % 2 == 0  # every other place of a run of overlapping pairs
+        at, number = at[other], number[other]
+        uses = np.bincount(number, minlength=len(found))
+        made = uses >= min(LEAST, uses.max())
+        at, number = at[made[number]], number[made[number]]
+        seq[at] = base + len(lengths) + (np.cumsum(made) - 1)[number]
+        out = after[at]
+        gone[out] = True
+        after[at] = after[out]
+        before[after[at]] = at
+        open_[live] = open_[at] = open_[before[at[before[at] >= 0]]] = True
+        near = np.flatnonzero(open_)
+        open_[near] = False
+        live = near[~gone[near] & (seq[near] >= 0) & (seq[after[near]] >= 0)]
+        pairs = np.stack([found[made] >> 32, found[made] & 0xFFFFFFFF], 1)
+        size = np.where(pairs >= base, np.append(lengths, 1)[np.where(pairs >= base, pairs - base, -1)], 1)
+        rules.append(pairs)
+        lengths = np.concatenate([lengths, size.sum(1)])
+    return seq[:-1][~gone[:-1]], np.concatenate(rules), lengths
 
 
 def pack(shard: int, doc_ids: list[int | None], tokens: list[np.ndarray], base: int) -> bytes:
@@ -82,10 +114,14 @@ def pack(shard: int, doc_ids: list[int | None], tokens: list[np.ndarray], base:
     ends = np.flatnonzero(seq < 0)
     sizes = np.diff(np.concatenate([[-1], ends])) - 1
     symbols = seq[seq >= 0]
-    wide = 2 if base + len(rules) <= 1 << 16 else 4
+    kinds = np.flatnonzero(np.bincount(whole[whole >= 0], minlength=1))  # ids that the shard has
+    local = np.zeros(base + len(rules), np.int64)
+    local[kinds] = np.arange(len(kinds))
+    local[base:] = len(kinds) + np.arange(len(rules))
+    wide = next(w for w in (2, 3, 4) if len(kinds) + len(rules) <= 1 << 8 * w)
     ids = np.array([-(1 << 63) if i is None else i for i in doc_ids], "<i8")
-    head = HEAD.pack(MAGIC, shard, len(ids), len(rules), len(symbols), base, wide)
-    arrays = (ids, sizes.astype("<u4"), np.array([len(t) for t in tokens], "<u4"), rules.astype("<u4"), lengths.astype("<u4"), symbols.astype(f"<u{wide}"))
+    head = HEAD.pack(MAGIC, shard, len(ids), len(kinds), len(rules), len(symbols), base, wide)
+    arrays = (ids, sizes.astype("<u4"), np.array([len(t) for t in tokens], "<u4"), kinds.astype("<u4"), local[rules].astype("<u4"), lengths.astype("<u4"), local[symbols].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide])
     return head + b"".join(a.tobytes() for a in arrays)
 
 
@@ -93,7 +129,7 @@ class Shard:
     """A shard's arrays, and decoding from them."""
 
     def __init__(self, data: bytes, at: int = 0):
-        magic, self.number, n, rules, symbols, self.base, wide = HEAD.unpack_from(data, at)
+        magic, self.number, n, kinds, rules, symbols, self.base, wide = HEAD.unpack_from(data, at)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
         at += HEAD.size
@@ -104,11 +140,15 @@ class Shard:
         at += 4 * n
         self.n_tokens = take("<u4", n).astype(np.int64)
         at += 4 * n
-        self.rules = take("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
+        local = np.concatenate([take("<u4", kinds).astype(np.int64), self.base + np.arange(rules)])
+        at += 4 * kinds
+        self.rules = local[take("<u4", 2 * rules).reshape(-1, 2)]
         at += 8 * rules
         self.lengths = take("<u4", rules).astype(np.int64)
         at += 4 * rules
-        self.symbols = take(f"<u{wide}", symbols).astype(np.int64)
+        whole = np.zeros((symbols, 4), np.uint8)
+        whole[:, :wide] = take(np.uint8, wide * symbols).reshape(-1, wide)
+        self.symbols = local[whole.view("<u4")[:, 0]]
         self.end = at + wide * symbols
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self._flat = None
