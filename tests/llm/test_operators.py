@@ -149,6 +149,20 @@ def test_archive_round_trip(spark, tmp_path):
     assert all(r["refers_to"] in ids for r in found if r["kind"] == "revisit")
 
 
+def test_archives_any_url_and_any_long(spark, tmp_path):
+    most = (1 << 63) - 1
+    rows = [(1, "example.org/x", "a"), (2, "//host/x", "b"), (3, "ftp://host/x", "c"), (4, "/only/a/path", "d"), (5, "filedesc://x.arc", "e"), (6, "FileDesc:x", "f")]
+    rows += [(most, "http://z/", "same"), (most - 1, "http://y/", "same"), (None, "http://a/", "same"), (-most - 1, "http://l/", "low"), (0, "http://b/", "low")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for v in (1, 2):
+        archives.write_arc(pages, f"file://{tmp_path}/a{v}", v)
+        archives.convert(spark, f"file://{tmp_path}/a{v}", f"file://{tmp_path}/w{v}")
+        found = archives.read_warc(spark, f"file://{tmp_path}/w{v}").where("kind <> 'warcinfo'").collect()
+        got = {(r["order"], r["kind"], r["refers_to_order"]) for r in found}
+        assert got == {(i, "response", None) for i in (1, 2, 3, 4, 5, 6, most - 1, -most - 1)} | {(most, "revisit", most - 1), (None, "revisit", most - 1), (0, "revisit", -most - 1)}
+        assert len(found) == len(rows)
+
+
 def test_archives_empty_and_small(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     archives.write_arc(none, f"file://{tmp_path}/arc", 1)

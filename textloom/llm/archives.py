@@ -55,6 +55,12 @@ def http_field(head: bytes, name: str) -> str | None:
     return m[1].decode("utf-8", "replace").strip() if m else None
 
 
+def as_long(digits: str) -> int | None:
+    """A number written in digits, if a long can hold it."""
+    n = int(digits) if re.fullmatch(r"-?[0-9]{1,19}", digits) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     for b in batches:
         yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
@@ -84,7 +90,7 @@ def arc_records(rows: Iterator[tuple[str, bytes]]) -> Iterator[dict]:
         size += len(line) + 1
         if size >= int(head["length"]):
             data = b"\n".join(body)[: int(head["length"])]
-            if head["url"].startswith("filedesc:"):
+            if head["url"].startswith("filedesc:") and not data.startswith(b"HTTP/"):
                 version = 2 if data[:1] == b"2" else 1
             yield head | {"locator": f"{file}#{n:09d}", "content": data}
             n, head = n + 1, None
@@ -93,17 +99,17 @@ def arc_records(rows: Iterator[tuple[str, bytes]]) -> Iterator[dict]:
 def as_warc(record: dict) -> dict:
     """What the WARC record of an ARC record has: kind, date, order and payload digest."""
     url, content = record["url"], record["content"]
-    if url.startswith("filedesc:"):
-        kind, payload, head = "warcinfo", content, b""
-    elif content.startswith(b"HTTP/") and url.lower().startswith(("http:", "https:", "urn:")):
+    if content.startswith(b"HTTP/"):  # whatever its url
         kind = "response"
         head, payload = http_parts(content)
+    elif url.startswith("filedesc:"):
+        kind, payload, head = "warcinfo", content, b""
     else:
         kind, payload, head = "resource", content, b""
     order = http_field(head, ORDER) or ""
     return {
         "locator": record["locator"], "kind": kind, "url": url, "ip": record["ip"], "date": iso_date(record["date"]), "mime": record["mime"],
-        "order": int(order) if re.fullmatch(r"-?\d{1,18}", order) else None, "payload_bytes": len(payload), "payload_digest": digest(payload), "content": content,
+        "order": as_long(order), "payload_bytes": len(payload), "payload_digest": digest(payload), "content": content,
     }
 
 
@@ -217,7 +223,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0)
     revisits that refer to it. Records without an order come last. Digests are grouped and joined
     without contents; contents move only if there are more revisits than MAX_BROADCAST."""
     meta = materialise(read_arc(spark, arc_path, with_content=False).where(F.col("kind") == "response").where(F.col("payload_bytes") >= least).select("locator", "url", "date", "order", "payload_digest"))
-    place = F.struct(F.coalesce("order", F.lit((1 << 63) - 1)).alias("at"), "locator", "url", "date", "order")
+    place = F.struct(F.col("order").isNull().alias("last"), F.col("order").alias("at"), "locator", "url", "date", "order")
     first = meta.groupBy("payload_digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = meta.join(materialise(first), "payload_digest").where("locator <> first.locator")
     again = materialise(again.select("locator", F.col("first.locator").alias("first_locator"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"), F.col("first.order").alias("first_order")))
@@ -245,7 +251,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         if kind == "revisit":
             size, name = int(http_field(head, "Content-Length") or 0), fields.get("warc-payload-digest", "").removeprefix("sha1:")
         return {
-            "kind": kind, "record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "order": int(order) if order else None,
+            "kind": kind, "record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "order": as_long(order or ""),
             "payload_bytes": size, "payload_digest": name or digest(payload), "refers_to": fields.get("warc-refers-to"), "refers_to_order": int(refers) if refers else None,
         }
 
