@@ -458,6 +458,30 @@ def test_urls_aliases_pass_verdicts_on(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block"}
 
 
+def test_urls_every_link_of_a_page(spark):
+    canon, fresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rules = [("block", "bad.org", "/"), ("allow", "good.org", "/")]
+    links = {  # by page: canonical links, refreshes; 1 to 9 are of no rule's host
+        1: (["http://h.com/2", "http://h.com/3"], []), 2: ([], []), 3: ([], ["http://h.com/4", "http://bad.org/"]), 4: ([], []),
+        5: (["http://h.com/6"], []), 6: (["http://h.com/7"], ["http://h.com/6", "http://bad.org/5"]), 7: ([], ["http://x.net/", "http://good.org/7"]), 8: ([], []), 9: (["http://h.com/8", "/8"], []),
+    }
+    rows = [(i, f"http://h.com/{i}", "".join(canon.format(u) for u in c) + "text" + "".join(fresh.format(u) for u in f)) for i, (c, f) in links.items()]
+    rows += [(10, "http://x.net/", ""), (11, "http://bad.org/", ""), (12, "http://bad.org/5", ""), (13, "http://y.net/", "")]
+    names = {u for _, u, _ in rows} | {"http://good.org/7"}
+    group = {u: {u} for u in names}  # brute force: merge the groups of every edge
+    for i, (c, f) in links.items():
+        for to in c + f:
+            both = group[f"http://h.com/{i}"] | group["http://h.com" + to if to.startswith("/") else to]
+            group |= dict.fromkeys(both, both)
+    want = {}
+    for i, u, _ in rows:
+        said = "".join(group[u])
+        want[i] = "block" if "bad.org" in u else "allow" if "good.org" in said or "bad.org" not in said else "block"
+    assert {want[i] for i in (1, 2, 3, 4)} == {"block"} and {want[i] for i in (5, 6, 7, 10)} == {"allow"}
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules, default="allow")
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == want
+
+
 # op 10
 
 

@@ -46,12 +46,12 @@ def verdict_of(rule: Column, rules: list[tuple[str, str, str]]) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges ``(src, dst)`` of canonical links and of refreshes to another address in a page."""
+    """Edges ``(src, dst)`` of all canonical links and refreshes to another address in a page."""
     low = F.lower(F.col(html_col))
     html = F.col(html_col)
-    canon = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref""" + _ATTR, 1)
-    fresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'>\s;]+)""", 1)
-    found = pages.where(low.contains("canonical") | low.contains("refresh")).select(F.col(url_col).alias("url"), F.explode(F.array(canon, fresh)).alias("to"))
+    canon = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref""" + _ATTR), F.lit(1))
+    fresh = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'>\s;]+)"""), F.lit(1))
+    found = pages.where(low.contains("canonical") | low.contains("refresh")).select(F.col(url_col).alias("url"), F.explode(F.concat(canon, fresh)).alias("to"))
     found = found.where("to <> '' and url is not null")
     origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
