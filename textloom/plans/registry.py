@@ -97,8 +97,11 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document by its id. The index is kept first: else the planner would build it of that document only."""
     docs = corpus.documents(spark, sf_dir)
-    return search.document(docs, index.build(docs.where("document_id = 42")), 42)
+    built = index.build(docs)
+    built.doc_lengths.cache()
+    return search.document(docs, built, 42)
 
 
 def existing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
