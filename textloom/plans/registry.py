@@ -143,6 +143,11 @@ def url_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(u,) for u in tried], "url string").select("url", urls.url_problem(F.col("url")).alias("problem"))
 
 
+def page_url_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The safety check of every page's url; url_problems has one example of each answer."""
+    return corpus.read_table(spark, sf_dir, "pages").select("page_id", "url", urls.url_problem(F.col("url")).alias("problem"))
+
+
 def blocked_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses spread over the whole range, one an order."""
     n = F.pmod(F.col("o_orderkey").cast("long") * F.lit(2654435761), F.lit(1 << 32))
@@ -176,7 +181,7 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES: list[Q] = [
     corpus_count, vocabulary, word_counts, stem_vocab, doc_lengths, postings, term_df, index_stats, candidates, idf, bm25_topk, bm25_page2, phrase_counts, phrase_boost, suggest_prefix, snippets, document_lookup,
-    existing_documents, page_titles, page_text, page_links, url_normalize, page_domains, domain_facets, url_problems, blocked_ips, percentiles, domain_search, crawl_outcomes, highlights,
+    existing_documents, page_titles, page_text, page_links, url_normalize, page_domains, domain_facets, url_problems, page_url_problems, blocked_ips, percentiles, domain_search, crawl_outcomes, highlights,
 ]
 QUERIES: dict[str, Q] = {q.__name__: q for q in NAMES}
 ORACLE_SQL: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
