@@ -1,8 +1,9 @@
 """Legacy archive converter: ARC files to WARC, and readers and writers of both.
 
 Files are written and read by Spark's text source, so they may lie in any store Spark reaches: a
-record is one row, the row separator closes it, and gzip keeps a file in one task. Readers put the
-rows of a file together again and go by declared lengths, so payloads may hold any bytes.
+record is one row, the row separator closes it, and gzip keeps a file in one task; plain files, which
+Spark may split, are put together again by a shuffle. Readers put the rows of a file together and go
+by declared lengths, so payloads may hold any bytes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
+from textloom.llm.common import forget, join_hot, materialise, small
 
 # The fields of a url record by the version of its file.
 FIELDS = {
@@ -27,8 +28,6 @@ FIELDS = {
 NAMES = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ORDER = "X-Record-Order"
-#: Revisits are broadcast up to so many rows, else joined by shuffle.
-MAX_BROADCAST = 300_000
 RECORD = "locator string, kind string, url string, ip string, date string, mime string, order long, payload_bytes long, payload_digest string, content binary"
 
 
@@ -155,13 +154,24 @@ def warc_records(rows: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str,
             fields[k.strip().lower()] = v.strip()
 
 
+#: Ends of the names of compressed files, which Spark reads in one task each.
+WHOLE = (".gz", ".deflate", ".lz4", ".snappy", ".zst")
+
+
 def _read(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """The rows of files, each file's in order and in one task. Plain files, which Spark may split, are
+    put together again by a shuffle, sorted (and spilled) by place."""
     rows = spark.read.option("lineSep", separator).text(path)
-    return rows.select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("value"))
+    cols = [F.input_file_name().alias("file"), F.col("value").cast("binary").alias("value")]
+    if all(f.endswith(WHOLE) for f in rows.inputFiles()):
+        return rows.select(*cols)
+    rows = rows.select(*cols, F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("n"))
+    return rows.repartition("file").sortWithinPartitions("file", "start", "n").select("file", "value")
 
 
 def _write(df: DataFrame, path: str, separator: str) -> None:
-    df.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "gzip").text(path)
+    out = df.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator)
+    out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _batched(rows: Iterator[dict], names: list[str], types: list[pa.DataType], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -220,15 +230,22 @@ def read_arc(spark: SparkSession, path: str, with_content: bool = True) -> DataF
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0) -> None:
     """Write the records of ARC files as WARC. Of responses with equal payloads of at least
     ``least`` bytes, that of the smallest order (then place) stays a response; the others become
-    revisits that refer to it. Records without an order come last. Digests are grouped and joined
-    without contents; contents move only if there are more revisits than MAX_BROADCAST."""
-    meta = materialise(read_arc(spark, arc_path, with_content=False).where(F.col("kind") == "response").where(F.col("payload_bytes") >= least).select("locator", "url", "date", "order", "payload_digest"))
+    revisits that refer to it. Records without an order come last, ties go by place. Digests are
+    grouped and joined without contents, those of very many records apart; contents move only if
+    the list of revisits is too large to be broadcast. Records of other kinds, empty payloads and
+    repeated records are converted like any; archives without records give archives without any."""
+    paths: list[str] = []
+    meta = materialise(read_arc(spark, arc_path, with_content=False).where(F.col("kind") == "response").where(F.col("payload_bytes") >= least).select("locator", "url", "date", "order", "payload_digest"), paths)
     place = F.struct(F.col("order").isNull().alias("last"), F.col("order").alias("at"), "locator", "url", "date", "order")
     first = meta.groupBy("payload_digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = meta.join(materialise(first), "payload_digest").where("locator <> first.locator")
-    again = materialise(again.select("locator", F.col("first.locator").alias("first_locator"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"), F.col("first.order").alias("first_order")))
-    small = F.broadcast(again) if again.count() <= MAX_BROADCAST else again
-    joined = read_arc(spark, arc_path).join(small, "locator", "left")
+    first = materialise(first, paths)
+    told = F.octet_length("first.locator") + F.octet_length("first.url") + 200
+    size, total = first.agg(F.sum(told), F.sum("n")).first()
+    again = join_hot(meta, first, "payload_digest", "n", total or 0, size or 0).where("locator <> first.locator")
+    again = again.select("locator", F.col("first.locator").alias("first_locator"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"), F.col("first.order").alias("first_order"))
+    again = materialise(again, paths)
+    size = again.agg(F.sum(F.octet_length("locator") + F.octet_length("first_locator") + F.octet_length("first_url") + 100)).first()[0]
+    joined = read_arc(spark, arc_path).join(small(again, size or 0), "locator", "left")
     names = joined.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +253,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0)
         yield from _batched(({"record": warc_bytes(r)} for r in rows), ["record"], [pa.binary()])
 
     _write(joined.mapInArrow(run, "record binary"), warc_path, "\r\n")
+    forget(spark, *paths)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
