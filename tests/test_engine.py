@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom import api
 from textloom.functions import urls
 from textloom.operators import crawl, index, pages, rank, search
-from textloom.sources import corpus
+from textloom.sources import corpus, shared
 from textloom.streaming.ingest import ingest, stored
 
 
@@ -96,6 +96,7 @@ def test_search_facets_and_domains(spark, site):
     assert [r["rank"] for r in rows] == [1, 2, 3, 4] and {r["title"] for r in rows} == {"One", "http://x.com/2", "Three", "plain"}
     one = search.search(built, site, "data", domain="X.com")
     assert one.total_results == 2 and {r["domain"]: r["count"] for r in one.facets.collect()}["all"] == 4
+    assert one.active_domain == "X.com" and search.search(built, site, "data", domain="ALL").total_results == 0
     assert search.search(built, site, "data", domain="www.x.com").total_results == 0
     none = search.search(built, site, "the of")
     assert (none.total_results, none.total_pages, none.results.count()) == (0, 1, 0)
@@ -150,7 +151,10 @@ def test_crawl_reports(spark):
     one = crawl.crawl(table, none, "http://s.org/", 2, 1)
     assert (one.status, one.summary["total_pages_indexed"], one.summary["stopped_reason"]) == ("indexed", 1, "max_pages_reached")
     old = spark.createDataFrame([("http://s.org/",)], "document_id string")
-    assert crawl.crawl(table, old, "http://s.org/?utm_source=x", 1, 1).status == "already_indexed"
+    assert one.single == {"status": "indexed", "url": "http://s.org/", "title": "t", "tokens_indexed": 2, "child_links_found": 2} and got.single is None
+    again = crawl.crawl(table, old, "http://s.org/?utm_source=x", 1, 1)
+    assert again.status == again.single["status"] == "already_indexed" and again.single["url"] == "http://s.org/?utm_source=x"
+    assert crawl.crawl(table, none, "http://s.org/", 2, 5, same_domain=True).summary["total_pages_indexed"] == 2
     bad = crawl.crawl(table, none, "http://localhost/", 9, 9)
     assert (bad.status, bad.summary["requested_max_depth"], bad.summary["requested_max_pages"], bad.summary["stopped_reason"]) == ("no_pages_indexed", 2, 5, "queue_empty")
     codes = [("timeout of 10s", "", 504), ("", "ENOTFOUND", 502), ("Unsupported Content Type", "", 415), ("Invalid URL format", "", 400), ("x", None, 500)]
@@ -184,6 +188,32 @@ def test_streaming_ingest(spark, tmp_path):
     for n, rows in enumerate(([("a", "one two"), ("b", "x")], [("a", "three")])):
         spark.createDataFrame(rows, "document_id string, content string").write.mode("append").parquet(f"{tmp_path}/in")
         ingest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    words, lengths = stored(spark, f"{tmp_path}/out")
-    assert {r["document_id"]: r["doc_len"] for r in lengths.collect()} == {"a": 1, "b": 0}
-    assert [(r["document_id"], r["word"]) for r in words.collect()] == [("a", "three")]
+    new = stored(spark, f"{tmp_path}/out")
+    assert {r["document_id"]: r["doc_len"] for r in new.doc_lengths.collect()} == {"a": 1, "b": 0}
+    assert [(r["document_id"], r["word"]) for r in new.words().collect()] == [("a", "three")]
+    # a search sees what was added to a snapshot, and not what it replaced
+    snaps = corpus.Snapshots(spark, f"{tmp_path}/index")
+    snaps.rebuild(spark.createDataFrame([("a", "old words three"), ("c", "three old cats")], "document_id string, content string"))
+    both = index.merged(snaps.current(), new)
+    assert sorted(d for d, _ in scores(rank.rank(both, ["three"]))) == ["a", "c"] and [d for d, _ in scores(rank.rank(both, ["old"]))] == ["c"]
+    assert {r["document_id"]: r["doc_len"] for r in both.doc_lengths.collect()} == {"a": 1, "b": 0, "c": 3}
+    assert {r["word"]: r["frequency"] for r in both.vocabulary().collect()} == {"three": 2, "old": 1, "cats": 1}
+    found = search.search(both, both.documents.withColumn("title", F.lit("t")), "three")
+    assert sorted((r["document_id"], r["snippet"]) for r in found.results.collect()) == [("a", "three"), ("c", "three old cats")]
+
+
+def test_pointer_of_snapshots(spark, tmp_path):
+    """A read error is not taken for an empty store, and the greatest name counts."""
+    snaps = corpus.Snapshots(spark, f"{tmp_path}/i")
+    docs = spark.createDataFrame([("a", "one")], "document_id string, content string")
+    first, second = snaps.rebuild(docs), snaps.rebuild(docs)
+    names = shared.names(spark, f"{tmp_path}/i/current")
+    assert [n.partition("-")[2] for n in names] == [first, second]
+    snaps.clear()
+    assert snaps.current() is None and snaps.rebuild(docs) and snaps.current().corpus().first()["n"] == 1
+    bad = tmp_path / "store"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_bytes(b"no parquet at all")
+    rows = spark.createDataFrame([("a", "A", "cats run", "a", 1)], "document_id string, title string, content string, url string, ord int")
+    with pytest.raises(Exception, match="parquet"):
+        corpus.insert(spark, str(bad), rows)

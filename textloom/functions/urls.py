@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
 from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -41,10 +42,11 @@ def _v4_number(ip: Column) -> Column:
 
 
 def _v4_blocked(ip: Column) -> Column:
-    n, out = _v4_number(ip), F.lit(False)
-    for net in map(ipaddress.ip_network, BLOCKED_V4):
-        out = out | n.between(int(net.network_address), int(net.broadcast_address))
-    return out
+    """The number is computed once and compared as a lambda's variable; written out for each network,
+    the expression would outgrow a compiled method."""
+    nets = [ipaddress.ip_network(n) for n in BLOCKED_V4]
+    inside = lambda n: reduce(lambda a, b: a | b, (n.between(int(x.network_address), int(x.broadcast_address)) for x in nets))
+    return F.exists(F.array(_v4_number(ip)), inside)
 
 
 def _ip6_blocked(text: str | None) -> bool:

@@ -19,6 +19,7 @@ class Report:
     summary: dict
     outcomes: DataFrame  # ord, depth, url, outcome, reason, title, tokens_indexed, child_links_found
     documents: DataFrame  # document_id, title, content, url of the pages to store
+    single: dict | None = None  # the short form of the answer where one page was asked for
 
 
 def crawl(pages: DataFrame, stored: DataFrame, seed: str, max_depth: int = 1, max_pages: int = 1, same_domain: bool = False) -> Report:
@@ -31,46 +32,63 @@ def crawl(pages: DataFrame, stored: DataFrame, seed: str, max_depth: int = 1, ma
     """
     depth_limit, page_limit = min(max(1, max_depth), MAX_DEPTH), min(max(1, max_pages), MAX_PAGES)
     spark = pages.sparkSession
-    known = pages.withColumn("__n", urls.normalized(F.col("url")))
+    known = pages.where("url is not null")
     frontier = spark.createDataFrame([(1, 0, urls.normalize_url(seed))], "depth int, ord long, url string")
     seen, done = None, None
+    held: list[DataFrame] = []
     for depth in range(1, depth_limit + 1):
         first = Window.partitionBy("url").orderBy("ord")
         todo = frontier.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
         if seen is not None:
             todo = todo.join(seen, "url", "left_anti")
-        old = stored.select(F.col("document_id").alias("url"), F.lit(True).alias("__stored")).distinct()
-        at = known.join(F.broadcast(todo.select(F.col("url").alias("__n"))), "__n", "left_semi")
+        todo = todo.withColumn("__problem", urls.url_problem(F.col("url"))).persist()  # a page's links at most
+        held.append(todo)
+        few = F.broadcast(todo.select(F.col("url").alias("__n")))
+        old = stored.join(few, F.col("document_id") == F.col("__n"), "left_semi").select(F.col("document_id").alias("url"), F.lit(True).alias("__stored")).distinct()
+        # hosts are compared first, in the JVM; normal forms, which take Python, only of their pages
+        hosts = F.broadcast(todo.select(urls.host(F.col("url")).alias("__h")).distinct())
+        near = known.join(hosts, urls.host(F.col("url")) == F.col("__h"), "left_semi").withColumn("__n", urls.normalized(F.col("url")))
+        at = near.join(few, "__n", "left_semi")
         got = parsed(at.groupBy("__n").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p")).select("p.*"), same_domain)
         got = got.select(F.col("document_id").alias("url"), "title", "content", "links")
         rows = todo.join(old, "url", "left").join(got, "url", "left")
-        problem = urls.url_problem(F.col("url"))
+        problem = F.col("__problem")
         outcome = F.when(F.col("__stored"), "skipped").when(problem.isNotNull() | F.col("links").isNull(), "error").otherwise("indexed")
         reason = F.when(F.col("__stored"), "already_indexed").when(problem.isNotNull(), problem).when(F.col("links").isNull(), "not_found")
-        rows = rows.withColumn("outcome", outcome).withColumn("reason", reason).cache()  # a page's links at most
+        rows = rows.withColumn("outcome", outcome).withColumn("reason", reason).persist()
+        held.append(rows)
         done = rows if done is None else done.unionByName(rows)
         seen = todo.select("url") if seen is None else seen.unionByName(todo.select("url"))
         frontier = rows.where("outcome = 'indexed'").select("ord", F.posexplode("links").alias("k", "url"))
         frontier = frontier.select(F.lit(depth + 1).alias("depth"), (F.col("ord") * 1_000_000 + F.col("k") + 1).alias("ord"), "url")
     turn = Window.orderBy("depth", "ord").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum((F.col("outcome") == "indexed").cast("int")).over(turn), F.lit(0))
-    done = done.withColumn("__before", before).where(F.col("__before") < page_limit).cache()
+    done = done.withColumn("__before", before).where(F.col("__before") < page_limit).persist()
     ok = F.col("outcome") == "indexed"
-    outcomes = done.select(
+    shown = done.select(
         "depth", "ord", "url", "outcome", "reason", F.when(ok, F.col("title")).alias("title"),
-        F.when(ok, F.size(text.tokens(F.col("content")))).alias("tokens_indexed"), F.when(ok, F.size("links")).alias("child_links_found"),
+        F.when(ok, F.size(text.tokens(F.col("content")))).alias("tokens_indexed"), F.when(ok, F.size("links")).alias("child_links_found"), F.when(ok, F.col("content")).alias("content"),
     )
+    # a page's links for each of page_limit pages at most: they are kept as rows, and nothing stays cached
+    kept = spark.createDataFrame(shown.collect(), shown.schema)
+    for x in [done, *held]:
+        x.unpersist()
+    done, outcomes = kept, kept.drop("content")
     count = lambda what: F.count(F.when(F.col("outcome") == what, 1)).alias(what)
     n = done.agg(count("indexed"), count("skipped"), count("error"), F.coalesce(F.max(F.when(ok, F.col("depth"))), F.lit(0)).alias("deepest")).first()
     why = "max_pages_reached" if n["indexed"] >= page_limit else "max_depth_reached" if n["deepest"] >= depth_limit else "queue_empty"
     alone = page_limit == 1 and n["skipped"] == 1 and not n["indexed"]
+    one = done.where(ok).first() if page_limit == 1 and n["indexed"] == 1 else None
+    single = {"status": "indexed", **{k: one[k] for k in ("url", "title", "tokens_indexed", "child_links_found")}} if one else None
+    if alone:
+        single = {"status": "already_indexed", "message": "This URL has already been indexed.", "url": seed}
     status = "indexed" if n["indexed"] else "already_indexed" if alone else "no_pages_indexed"
     summary = {
         "total_pages_indexed": n["indexed"], "total_pages_skipped": n["skipped"], "total_pages_errored": n["error"], "max_depth_reached": n["deepest"],
         "requested_max_depth": depth_limit, "requested_max_pages": page_limit, "stopped_reason": why,
     }
     new = done.where(ok).select(F.col("url").alias("document_id"), "title", "content", "url")
-    return Report(status, summary, outcomes, new)
+    return Report(status, summary, outcomes, new, single)
 
 
 def error_status(message: Column, code: Column) -> Column:

@@ -1,60 +1,150 @@
-"""The inverted index as DataFrames: tokens, postings, document lengths, vocabulary, statistics."""
+"""The inverted index as DataFrames: postings, document lengths, vocabulary, statistics."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import text
-from textloom.functions.stem import with_stem
+from textloom.functions.stem import stem_word, with_stem
+from textloom.functions.text import DOCUMENT_LEAST, STOP_WORDS
+
+#: Bytes of text that a worker takes from a batch at once, and stems that it remembers.
+PIECE, REMEMBERED = 2 << 20, 200_000
+_WORD = re.compile(f"[a-z0-9]{{{DOCUMENT_LEAST},}}").findall
+_STOPS = frozenset(STOP_WORDS)
+
+
+class Stems(dict):
+    """From a word to its stem; stop words are None. Emptied when it is full."""
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = None if word in _STOPS else stem_word(word)
+        return found
+
+
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
+def _postings(documents: DataFrame, terms: list[str] | None) -> DataFrame:
+    """``(term, document_id, tf, positions)`` in one narrow pass: a document's words are grouped where
+    they are read, so nothing is shuffled, and only the terms that are asked for leave the pass."""
+    wanted = None if terms is None else frozenset(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stem_of = Stems()
+        for b in batches:
+            for part in _pieces(b):
+                owners, found, places = [], [], []
+                for i, content in enumerate(part.column(1).to_pylist()):
+                    at: dict[str, list[int]] = {}
+                    kept = [t for t in map(stem_of.__getitem__, _WORD(content.lower())) if t is not None]
+                    for pos, term in enumerate(kept):
+                        if wanted is None or term in wanted:
+                            if term in at:
+                                at[term].append(pos)
+                            else:
+                                at[term] = [pos]
+                    owners += [i] * len(at)
+                    found += at
+                    places += at.values()
+                tf = np.fromiter(map(len, places), np.int64, len(places))
+                flat = pa.array(np.fromiter(chain.from_iterable(places), np.int32, int(tf.sum())))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), part.column(0).take(pa.array(owners, pa.int64())), pa.array(tf), lists], ["term", "document_id", "tf", "positions"])
+
+    kind = documents.schema["document_id"].dataType.simpleString()
+    return documents.select("document_id", "content").mapInArrow(run, f"term string, document_id {kind}, tf long, positions array<int>")
+
+
+def _counted(documents: DataFrame) -> DataFrame:
+    """``(document_id, word, n)`` of the words that are kept, not stemmed; one narrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _pieces(b):
+                owners, words, counts = [], [], []
+                for i, content in enumerate(part.column(1).to_pylist()):
+                    n = Counter(_WORD(content.lower()))
+                    for w in _STOPS & n.keys():
+                        del n[w]
+                    owners += [i] * len(n)
+                    words += n
+                    counts += n.values()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners, pa.int64())), pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["document_id", "word", "n"])
+
+    kind = documents.schema["document_id"].dataType.simpleString()
+    return documents.select("document_id", "content").mapInArrow(run, f"document_id {kind}, word string, n long")
+
+
+def _lengths(documents: DataFrame) -> DataFrame:
+    """``(document_id, doc_len)``; documents without tokens count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _pieces(b):
+                n = [sum(w not in _STOPS for w in _WORD(x.lower())) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32())], ["document_id", "doc_len"])
+
+    kind = documents.schema["document_id"].dataType.simpleString()
+    return documents.select("document_id", "content").mapInArrow(run, f"document_id {kind}, doc_len int")
 
-#: Distinct words up to which the dictionary of stems is broadcast to the tokens.
-DICTIONARY_BROADCAST = 1_000_000
 
-
-@dataclass
 class Index:
-    """``words (document_id, pos, word)`` is the base: positions count the words that are kept.
-    Everything else is derived, so a query reads only what it needs: terms are matched to the few
-    words that stem to them before any token moves."""
+    """What searching needs of an index. This one has its tables: ``postings (term, document_id, tf,
+    positions)``, where positions count the words that are kept, ``words (document_id, word, n)``,
+    not stemmed, and ``doc_lengths (document_id, doc_len)``. Stored tables are sorted by term and
+    by word, so that the terms of a query are a filter on the scan."""
+
+    def __init__(self, documents: DataFrame, postings: DataFrame, words: DataFrame, doc_lengths: DataFrame, vocabulary: DataFrame | None = None):
+        self.documents, self.doc_lengths = documents, doc_lengths
+        self._postings, self._words, self._vocabulary = postings, words, vocabulary
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """All postings, or those of the terms."""
+        if terms is None:
+            return self._postings
+        return self._postings.where(F.col("term").isin(*terms)) if terms else self._postings.limit(0)
 
-    documents: DataFrame  # document_id, content
-    words: DataFrame
-    doc_lengths: DataFrame  # document_id, doc_len; documents without tokens count
-    _dictionary: DataFrame | None = field(default=None, repr=False)
+    def words(self) -> DataFrame:
+        return self._words
 
     def vocabulary(self) -> DataFrame:
         """``(word, frequency)`` of unstemmed words of two characters or more."""
-        return self.words.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
+        if self._vocabulary is not None:
+            return self._vocabulary
+        return self.words().groupBy("word").agg(F.sum("n").alias("frequency"))
 
     def dictionary(self) -> DataFrame:
-        """``(word, term)``: the stem of each distinct word. It is persisted: every query uses it,
-        and a filter on terms pushed into the stemmer's steps would multiply their expressions."""
-        if self._dictionary is None:
-            self._dictionary = with_stem(self.words.select("word").distinct()).persist()
-        return self._dictionary
+        """``(word, term)``: the stem of each distinct word."""
+        return with_stem(self.vocabulary().select("word"))
 
     def term_positions(self, terms: list[str] | None = None) -> DataFrame:
         """``(document_id, pos, term)``, of all terms or of the given ones only."""
-        words = self.dictionary()
-        if terms is not None:
-            return self.words.join(F.broadcast(words.where(F.col("term").isin(*terms))) if terms else words.limit(0), "word").select("document_id", "pos", "term")
-        small = words.limit(DICTIONARY_BROADCAST + 1).count() <= DICTIONARY_BROADCAST
-        return self.words.join(F.broadcast(words) if small else words, "word").select("document_id", "pos", "term")
-
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
-        """``(term, document_id, tf, positions)``."""
-        rows = self.term_positions(terms).groupBy("term", "document_id")
-        return rows.agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        return self.postings(terms).select("document_id", F.explode("positions").alias("pos"), "term")
 
     def term_frequencies(self, terms: list[str] | None = None) -> DataFrame:
-        """``(term, document_id, tf)``, with partial counts before the exchange."""
-        return self.term_positions(terms).groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("tf"))
+        """``(term, document_id, tf)``."""
+        return self.postings(terms).select("term", "document_id", "tf")
 
     def document_frequencies(self, terms: list[str] | None = None) -> DataFrame:
-        return self.term_frequencies(terms).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        """``(term, df)``: a posting is a document, so counting them is enough."""
+        return self.postings(terms).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def corpus(self) -> DataFrame:
         """One row ``(n, avgdl)``; an empty index has 0 and 0."""
@@ -62,30 +152,48 @@ class Index:
 
     def stats(self) -> DataFrame:
         """``(total_documents, total_terms, average_document_length)``, the last to two places."""
-        terms = self.dictionary().agg(F.countDistinct("term").alias("total_terms"))
+        terms = self.postings().select("term").distinct().agg(F.count(F.lit(1)).alias("total_terms"))
         shown = F.floor(F.col("avgdl") * 100 + 0.5) / 100
         return self.corpus().crossJoin(terms).select(F.col("n").alias("total_documents"), "total_terms", shown.alias("average_document_length"))
 
     def candidates(self, terms: list[str]) -> DataFrame:
         """Documents that hold any of the terms."""
-        return self.term_positions(terms).select("document_id").distinct()
+        return self.postings(terms).select("document_id").distinct()
+
+
+class Fresh(Index):
+    """An index of documents as they are: each table is one narrow pass over the texts, made when it
+    is asked for."""
+
+    def __init__(self, documents: DataFrame):
+        super().__init__(documents, None, None, _lengths(documents))
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        return _postings(self.documents, terms)
+
+    def words(self) -> DataFrame:
+        return _counted(self.documents)
 
 
-def build(documents: DataFrame) -> Index:
-    """Index ``(document_id, content)``; null and empty contents are left out. One narrow pass
-    gives tokens, lengths and positions; nothing is shuffled until a query asks."""
-    docs = documents.where("content is not null and content <> ''").select("document_id", "content")
-    tokened = docs.select("document_id", text.tokens(F.col("content")).alias("tokens"))
-    words = tokened.select("document_id", F.posexplode("tokens").alias("pos", "word"))
-    return Index(docs, words, tokened.select("document_id", F.size("tokens").alias("doc_len")))
+def build(documents: DataFrame) -> Fresh:
+    """Index ``(document_id, content)``; null and empty contents are left out."""
+    return Fresh(documents.where("content is not null and content <> ''").select("document_id", "content"))
 
 
 def from_tokens(tokens: DataFrame) -> Index:
     """An index over ``(document_id, tokens)`` that are stemmed already; used by tests."""
-    words = tokens.select("document_id", F.posexplode("tokens").alias("pos", "word"))
-    index = Index(tokens.select("document_id", F.concat_ws(" ", "tokens").alias("content")), words, tokens.select("document_id", F.size("tokens").alias("doc_len")))
-    index.dictionary = lambda: words.select("word", F.col("word").alias("term")).distinct()  # type: ignore[method-assign]
-    return index
+    words = tokens.select("document_id", F.posexplode("tokens").alias("pos", "term"))
+    postings = words.groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    docs = tokens.select("document_id", F.concat_ws(" ", "tokens").alias("content"))
+    return Index(docs, postings, postings.select("document_id", F.col("term").alias("word"), F.col("tf").alias("n")), tokens.select("document_id", F.size("tokens").alias("doc_len")))
+
+
+def merged(old: Index, new: Index) -> Index:
+    """One index of both: documents that the new one has replace those of the old one. Only ids are
+    compared; a hidden document's rows are left out by an anti join."""
+    ids = new.doc_lengths.select("document_id")
+    both = lambda a, b: a.join(ids, "document_id", "left_anti").select(*b.columns).unionByName(b)
+    return Index(both(old.documents, new.documents), both(old.postings(), new.postings()), both(old.words(), new.words()), both(old.doc_lengths, new.doc_lengths))
 
 
 def latest(versions: DataFrame, by: str) -> DataFrame:

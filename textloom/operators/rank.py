@@ -22,8 +22,8 @@ def idf(index: Index, terms: list[str]) -> DataFrame:
 
 
 def bm25(index: Index, terms: list[str]) -> DataFrame:
-    """``(document_id, score)`` of every document that holds a term. Term rows and the corpus row
-    are broadcast; document lengths are joined by document, and scores summed without a further
+    """``(document_id, score)`` of every document that holds a term. Term rows and the corpus row are
+    broadcast; document lengths are joined by document, and scores summed without a further
     exchange on the same key."""
     weights = F.broadcast(idf(index, terms).crossJoin(F.broadcast(index.corpus().select("avgdl"))))
     rows = index.term_frequencies(terms).join(weights, "term").join(index.doc_lengths, "document_id")

@@ -27,17 +27,19 @@ class Response:
 
 
 def facets(candidates: DataFrame) -> DataFrame:
-    """``(domain, count)`` of candidates by domain, and ``all`` of them; before any domain filter.
-    Both come from one pass; a domain that is itself named ``all`` is added to the total's row."""
-    rows = candidates.select(urls.domain(F.col("document_id").cast("string")).alias("domain"))
+    """``(domain, count)`` of candidates by domain, and ``all`` of them, if only 0; before any domain
+    filter. Both come from one read; a domain named ``all`` is added to the total's row."""
+    domain = urls.domain(F.col("document_id").cast("string"))
+    rows = candidates.select(F.explode(F.array(F.lit("all"), domain)).alias("domain"))
     counts = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("count"))
-    total = rows.agg(F.count(F.lit(1)).alias("count")).select(F.lit("all").alias("domain"), "count")
-    return counts.unionByName(total).groupBy("domain").agg(F.sum("count").alias("count"))
+    none = candidates.sparkSession.range(1).select(F.lit("all").alias("domain"), F.lit(0).cast("long").alias("count"))
+    return counts.unionByName(none).groupBy("domain").agg(F.sum("count").alias("count"))
 
 
 def in_domain(candidates: DataFrame, target: str | None) -> DataFrame:
-    """Candidates of a domain; ``all`` or nothing keeps every one. ``www.`` is not taken off."""
-    if not target or target.lower() == "all":
+    """Candidates of a domain, in any case; ``all``, in lower case, or nothing keeps every one.
+    ``www.`` is not taken off."""
+    if not target or target == "all":
         return candidates
     return candidates.where(urls.domain(F.col("document_id").cast("string")) == target.lower())
 
@@ -63,8 +65,7 @@ def search(index: Index, documents: DataFrame, query: str, page: int = 1, limit:
     page, limit, pages, ranked = rank.page_bounds(total, page, limit)
     scores = rank.rank(index, terms, phrases, None if chosen is found else chosen)
     rows = rank.numbered(scores, ranked).where((F.col("rank") > (page - 1) * limit) & (F.col("rank") <= page * limit))
-    active = domain.lower() if domain else "all"
-    return Response(query, total, page, limit, pages, active, facets(found), enrich(rows, documents, query))
+    return Response(query, total, page, limit, pages, domain or "all", facets(found), enrich(rows, documents, query))
 
 
 def suggest(vocabulary: DataFrame, prefix: str | None, n: int = 5) -> DataFrame:

@@ -17,10 +17,20 @@ QUERY = "blend inti ist"
 Q = Callable[[SparkSession, str], DataFrame]
 
 
-def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+def _fresh(spark: SparkSession, sf_dir: str) -> index.Index:
+    """An index made now, for the queries that are the build itself."""
     return index.build(corpus.documents(spark, sf_dir))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index of the documents, which the first search of a session builds."""
+    return corpus.stored_index(spark, "documents", f"{sf_dir}/documents.parquet", lambda: corpus.documents(spark, sf_dir))
+
+
+def _page_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return corpus.stored_index(spark, "pages", f"{sf_dir}/pages.parquet", lambda: pages.corpus(corpus.read_table(spark, sf_dir, "pages")))
+
+
 def corpus_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir)
     full = F.col("content").isNotNull() & (F.col("content") != "")
@@ -28,7 +38,7 @@ def corpus_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).vocabulary()
+    return _fresh(spark, sf_dir).vocabulary()
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,20 +48,20 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stem_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).dictionary()
+    return _fresh(spark, sf_dir).dictionary()
 
 
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).doc_lengths.withColumn("doc_len", F.col("doc_len").cast("long"))
+    return _fresh(spark, sf_dir).doc_lengths.withColumn("doc_len", F.col("doc_len").cast("long"))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _index(spark, sf_dir).postings()
+    rows = _fresh(spark, sf_dir).postings()
     return rows.select("term", "document_id", "tf", F.array_min("positions").cast("long").alias("first_pos"), F.array_max("positions").cast("long").alias("last_pos"))
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).document_frequencies()
+    return _fresh(spark, sf_dir).document_frequencies()
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +85,9 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.documents(spark, sf_dir)
-    return _shown(search.search(index.build(docs), docs, QUERY, page=2, limit=7).results)
+    """The second page of results, with titles and snippets."""
+    rows = search.search(_index(spark, sf_dir), corpus.documents(spark, sf_dir), QUERY, page=2, limit=7).results
+    return rows.select(F.col("rank").cast("long").alias("rank"), "document_id", "title", F.round("score", 6).alias("score"), "snippet")
 
 
 def phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +108,8 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document by its id. The index is kept first: else the planner would build it of that document only."""
-    docs = corpus.documents(spark, sf_dir)
-    built = index.build(docs)
-    built.doc_lengths.cache()
-    return search.document(docs, built, 42)
+    """A document by its id, with its length from the index of all documents."""
+    return search.document(corpus.documents(spark, sf_dir), _index(spark, sf_dir), 42)
 
 
 def existing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +142,7 @@ def page_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = index.build(pages.corpus(corpus.read_table(spark, sf_dir, "pages")))
-    return search.facets(built.candidates(text.parse_query("things")[0]))
+    return search.facets(_page_index(spark, sf_dir).candidates(text.parse_query("things")[0]))
 
 
 def url_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +169,12 @@ def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of results within one domain, with titles and snippets."""
-    docs = pages.corpus(corpus.read_table(spark, sf_dir, "pages")).cache()
-    return search.search(index.build(docs), docs, "things", domain="Tionble.example.org").results
+    """The best pages of the domain that has most pages, with titles and snippets."""
+    table = corpus.read_table(spark, sf_dir, "pages")
+    domains = table.where("url is not null").groupBy(urls.domain(F.col("url")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    most = domains.orderBy(F.desc("n"), "d").first()["d"]
+    rows = search.search(_page_index(spark, sf_dir), pages.corpus(table), "en er ou tion", domain=most.upper()).results
+    return rows.select(F.col("rank").cast("long").alias("rank"), "document_id", "title", F.round("score", 6).alias("score"), "snippet")
 
 
 def crawl_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

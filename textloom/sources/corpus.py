@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.operators.index import Index, build
+from textloom.sources import shared
 
 SCHEMA = T.StructType(
     [
@@ -53,65 +55,59 @@ def new_rows(store: DataFrame, rows: DataFrame, order: str = "ord") -> tuple[Dat
 def insert(spark: SparkSession, path: str, rows: DataFrame, order: str = "ord") -> None:
     """Append new documents with their times; duplicates are left out."""
     now = F.current_timestamp()
-    try:
-        store = spark.read.schema(SCHEMA).parquet(path)
-        store.isEmpty()
-    except Exception:  # a store that does not exist yet
-        store = spark.createDataFrame([], SCHEMA)
+    there = shared.exists(spark, path)
+    store = spark.read.schema(SCHEMA).parquet(path) if there else spark.createDataFrame([], SCHEMA)
     fresh, _ = new_rows(store, rows, order)
     full = fresh.select("document_id", "title", "content", "url", now.alias("indexed_at"), now.alias("created_at"), now.alias("updated_at"))
     full.write.mode("append").parquet(path)
 
 
 class Snapshots:
-    """Index versions under one folder. A build writes a new version, words sorted by term ranges
-    so that a term's row groups can be skipped, and the pointer is moved last: readers see the old
-    version or the new one, never a part."""
+    """Index versions under one folder. A build writes a new version, postings sorted by term and the
+    vocabulary by word, so that other row groups are skipped; last it creates an empty file whose
+    name is the version. The greatest name counts: readers see the old version or the new one,
+    never a part, and never none."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _point(self, version: str) -> None:
+        number = int((shared.names(self.spark, f"{self.root}/current") or ["0"])[-1].partition("-")[0]) + 1
+        shared.touch(self.spark, f"{self.root}/current/{number:012d}-{version}")
+
     def rebuild(self, store: DataFrame) -> str:
         version = uuid.uuid4().hex
         at = f"{self.root}/{version}"
         index = build(store)
-        terms = index.term_positions()
-        terms.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id", "pos").write.parquet(f"{at}/terms")
+        index.postings().repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.parquet(f"{at}/postings")
         index.doc_lengths.write.parquet(f"{at}/doc_lengths")
-        index.vocabulary().repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{at}/vocabulary")
+        index.words().write.parquet(f"{at}/words")
+        words = self.spark.read.parquet(f"{at}/words").groupBy("word").agg(F.sum("n").alias("frequency"))
+        words.repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{at}/vocabulary")
         index.documents.write.parquet(f"{at}/documents")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/current")
+        self._point(version)
         return version
 
     def current(self) -> Index | None:
         """The index of the current version, or nothing before the first build and after clear()."""
-        try:
-            row = self.spark.read.parquet(f"{self.root}/current").first()
-        except Exception:  # no version was written
-            return None
-        if row is None or not row["version"]:
+        version = (shared.names(self.spark, f"{self.root}/current") or ["0-"])[-1].partition("-")[2]
+        if not version:
             return None
-        at = f"{self.root}/{row['version']}"
-        read = lambda name: self.spark.read.parquet(f"{at}/{name}")
-        return StoredIndex(read("documents"), read("terms"), read("doc_lengths"), read("vocabulary"))
+        read = lambda name: self.spark.read.parquet(f"{self.root}/{version}/{name}")
+        return Index(read("documents"), read("postings"), read("words"), read("doc_lengths"), read("vocabulary"))
 
     def clear(self) -> None:
-        self.spark.createDataFrame([("",)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/current")
-
-
-class StoredIndex(Index):
-    """An index whose stems are stored: a term filter reaches the scan."""
-
-    def __init__(self, documents: DataFrame, terms: DataFrame, doc_lengths: DataFrame, vocabulary: DataFrame):
-        super().__init__(documents, terms.withColumnRenamed("term", "word"), doc_lengths)
-        self._terms, self._vocabulary = terms, vocabulary
-
-    def vocabulary(self) -> DataFrame:
-        return self._vocabulary
-
-    def dictionary(self) -> DataFrame:
-        return self._terms.select(F.col("term").alias("word"), "term").distinct()
-
-    def term_positions(self, terms: list[str] | None = None) -> DataFrame:
-        rows = self._terms if terms is None else self._terms.where(F.col("term").isin(*terms)) if terms else self._terms.limit(0)
-        return rows.select("document_id", "pos", "term")
+        """From now on there is no index."""
+        self._point("")
+
+
+def stored_index(spark: SparkSession, name: str, source: str, make) -> Index:
+    """The stored index of a source's documents, in the shared folder: built from ``make()`` where none
+    was, and again where the source's files have changed."""
+    key = hashlib.sha1(f"{name} {shared.stamp(spark, source)}".encode()).hexdigest()
+    snapshots = Snapshots(spark, f"{shared.shared_dir(spark)}/textloom-index/{key}")
+    found = snapshots.current()
+    if found is None:
+        snapshots.rebuild(make())
+        found = snapshots.current()
+    return found
