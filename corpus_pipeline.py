@@ -18,8 +18,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of similar lines the first stays; a document that loses its last line goes, one that had no
     line stays. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).where("n_removed < n_lines or n_lines = 0")
-    changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    out = line_dedup.dedup_lines(docs)
+    n_lines, n_removed = (F.col(f"`{c}`") for c in out.columns[-2:])
+    out = out.where((n_removed < n_lines) | (n_lines == 0))
+    changed = F.when(n_removed > 0, F.length("text")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
