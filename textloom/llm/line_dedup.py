@@ -3,7 +3,7 @@
 A line is compared in its normal form: lower case, white space folded. Lines of one normal form are
 one class, named by a 64-bit hash (of 10^11 classes some 270 pairs would share a name). Classes
 whose sets of K-character shingles have a Jaccard similarity of at least 0.8 are linked, links are
-closed to components, and of each component the first line by (id, line number) stays.
+closed to components, and of each component exactly one line stays: the first by id, text, line number.
 """
 
 from __future__ import annotations
@@ -11,47 +11,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
-from textloom.llm.minhash import SIMILAR, SOLID, Chars, linked, normal, small
+from textloom.llm.common import forget, join_hot, materialise, numbered, renamed, small
+from textloom.llm.minhash import SIMILAR, Chars, lines, linked, sketched
 
 K = 8
 
 
-def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, line_no, norm, cls)`` for each line that has more than white space."""
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw"))
-    rows = rows.where(F.col("raw").rlike(SOLID)).select("id", "line_no", normal(F.col("raw")).alias("norm"))
-    return rows.withColumn("cls", F.xxhash64("norm"))
+def duplicates(rows: DataFrame) -> DataFrame:
+    """``(row, n_lines, gone array<int>)`` of every row ``(row, id, text)``: how many lines have more than
+    white space, and the places of those that are not the first of their component, null for none.
 
-
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, line_no)`` of every line that is not the first of its component.
-
-    Lines of rows with a null id come after all others. Of rows that repeat an id, lines with equal
-    (id, line number) are told apart by nothing and share one decision.
+    The first is by id (null last), then by a hash of the text, the row's number and the place. So each
+    row decides for itself, whether its id is null, repeated or its own.
     """
-    rows = exploded(docs, id_col, text_col)
-    occurrences = materialise(rows.select("id", "line_no", F.col("cls").alias("line")))
-    found = linked(rows, Chars(K), SIMILAR)
-    big = (1 << 63) - 1
-    first = F.min(F.struct(F.coalesce("id", F.lit(big)).alias("id"), "line_no")).alias("first")
-    per_line = materialise(occurrences.groupBy("line").agg(first, F.count(F.lit(1)).alias("n")))
-    rooted = per_line.join(found, per_line["line"] == found["node"], "left").select("line", "n", "first", F.coalesce("component", "line").alias("component"))
-    best = materialise(rooted.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where(F.col("all") > 1))
-    rule = materialise(rooted.join(best, "component").select("line", "keep"))
-    gone = occurrences.join(rule, "line").where((F.coalesce("id", F.lit(big)) != F.col("keep.id")) | (F.col("line_no") != F.col("keep.line_no")))
-    return gone.select("id", "line_no")
+    paths: list[str] = []
+    sketch = materialise(sketched(rows, lines, Chars(K)), paths)
+    found = linked(rows, sketch, lines, Chars(K), SIMILAR)
+    places = sketch.where("classes is not null").select("row", "id", "mark", F.posexplode("classes").alias("no", "line")).where("line is not null")
+    per_line = places.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    per_line = per_line.join(small(found), per_line["line"] == found["node"], "left").where("n > 1 or node is not null")
+    per_line = materialise(per_line.select("line", "n", F.coalesce("component", "line").alias("component")), paths)
+    again = per_line.groupBy("component").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("component")
+    rule = materialise(per_line.join(small(materialise(again, paths)), "component").select("line", "n", "component"), paths)
+    total = rule.agg(F.sum("n")).first()[0] or 0
+    places = materialise(join_hot(places, rule, "line", "n", total).drop("line", "n"), paths)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "row", "no")).alias("first")
+    best = places.groupBy("component").agg(first, F.count(F.lit(1)).alias("n"))
+    best = materialise(best.select("component", "n", F.col("first.row").alias("keep_row"), F.col("first.no").alias("keep_no")), paths)
+    gone = join_hot(places.select("row", "no", "component"), best, "component", "n", total).where("row <> keep_row or no <> keep_no")
+    gone = materialise(gone.groupBy("row").agg(F.collect_list("no").alias("gone")), paths)
+    size = gone.agg(F.sum(F.size("gone") * 4 + 64)).first()[0] or 0
+    per_row = sketch.where("classes is not null").select("row", F.size(F.array_compact("classes")).alias("n_lines"))
+    out = materialise(per_row.join(small(gone, size), "row", "left"))
+    forget(rows.sparkSession, *paths)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text's surviving lines, and ``n_lines`` and ``n_removed`` long (lines with more
-    than white space). Null texts stay null; blank lines stay. A text may become empty. Repeated
-    rows of one id share the decisions of that id, so their lines stay or go together."""
-    gone = duplicates(docs, id_col, text_col).groupBy("id").agg(F.collect_set("line_no").alias("__gone"))
-    gone = materialise(gone.withColumnRenamed("id", "__id"))
-    out = docs.join(small(gone), docs[id_col].eqNullSafe(F.col("__id")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(SOLID))), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).drop("__gone", "__id")
+    than white space; columns of docs that have these names keep them, and the new ones get a
+    leading underscore). Null texts stay null; blank lines stay. A text may become empty. Rows that
+    repeat, or have no id, are rows of their own: of equal rows one keeps its lines. An empty table
+    gives an empty result."""
+    rows = numbered(docs)
+    name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = F.col(name[text_col])
+    found = duplicates(rows.select("row", F.col(name[id_col]).alias("id"), text.alias("text")))
+    size = found.agg(F.sum(F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")) * 4 + 48)).first()[0] or 0
+    out = rows.join(small(found, size), "row").withColumn("n_lines", F.col("n_lines").cast("long"))
+    out = out.withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"))
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    out = out.withColumn(name[text_col], F.when(F.col("gone").isNull(), text).otherwise(kept))
+    return renamed(out, docs, ("n_lines", "n_removed"))

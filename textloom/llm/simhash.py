@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import components, materialise
-from textloom.llm.minhash import Words, linked, normal, small
+from textloom.llm.common import components, forget, join_hot, materialise, numbered, renamed, small
+from textloom.llm.minhash import Words, linked, sketched, whole
 
 #: Lower-cases A-Z only; bytes.split() then splits on exactly \x20 and \x09-\x0D.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -66,9 +66,9 @@ def links(fps: DataFrame) -> DataFrame:
     sizes = materialise(rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = materialise(rows.join(sizes, ["k", "v"]))
 
-    small = met.where(F.col("n") <= PAIRWISE).groupBy("k", "v").agg(F.collect_list("fp").alias("all"))
+    few = met.where(F.col("n") <= PAIRWISE).groupBy("k", "v").agg(F.collect_list("fp").alias("all"))
     near = lambda a: F.filter("all", lambda b: (b > a) & (F.bit_count(a.bitwiseXOR(b)) <= 2))
-    pairwise = small.select("all", F.explode("all").alias("src")).select("src", F.explode(near(F.col("src"))).alias("dst"))
+    pairwise = few.select("all", F.explode("all").alias("src")).select("src", F.explode(near(F.col("src"))).alias("dst"))
 
     rest = [[b for i in range(4) if i not in pair for b in range(16 * i, 16 * i + 16)] for pair in pairs]
     masks = F.array(*(F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in [0, *(1 << b for b in bits)])) for bits in rest))
@@ -95,28 +95,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; other columns are untouched.
+    """One row of docs of each group, the first by id (null last), then by a hash of its text; other
+    columns are untouched.
 
     Groups are the components of pairs whose sets of ``shingle``-word shingles have a Jaccard
-    similarity of ``similar`` or more. Candidates come from the fingerprints' pigeonhole links and
-    from MinHash bands: pairs at 0.8 differ in up to 14 of 64 bits, which no two or three
+    similarity of ``similar`` or more. Candidates share a component of the fingerprints' pigeonhole
+    links, or a MinHash band: pairs at 0.8 differ in up to 14 of 64 bits, which no two or three
     agreeing blocks can promise, so blocks alone would miss them. All candidates are verified.
     Texts that are equal but for case and white space are one class; null texts count as empty.
-    Rows with a null id cannot be told apart and stay, as do rows that repeat the smallest id.
+    Each row is one of its own, so repeated and null ids hide nothing: of equal rows one stays. An
+    empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), normal(F.coalesce(text_col, F.lit(""))).alias("norm"))
-    rows = rows.withColumn("cls", F.xxhash64("norm"))
-    prints = materialise(fingerprints(rows, "cls", "norm", shingle))
-    firsts = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    same = prints.join(firsts, "fp").where("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst")).distinct()
-    a, b = (firsts.select(F.col("fp").alias(f), F.col("first").alias(c)) for f, c in (("src", "a"), ("dst", "b")))
-    near = links(firsts.select("fp")).join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = linked(rows, Words(shingle), similar, materialise(same.unionByName(near)))
-
-    per = materialise(rows.groupBy("cls").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
-    rooted = per.join(found, per["cls"] == found["node"], "left").select("cls", "n", "first", F.coalesce("component", "cls").alias("root"))
-    keep = materialise(rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where(F.col("n") > 1))
-    rule = materialise(rooted.join(keep, "root").select("cls", "keep"))
-    gone = rows.select("id", "cls").join(rule, "cls").where("id <> keep").select(F.col("id").alias("__gone"))
-    gone = materialise(gone)
-    return docs.join(small(gone), docs[id_col] == F.col("__gone"), "left_anti")
+    paths: list[str] = []
+    rows = numbered(docs)
+    name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = rows.select("row", F.col(name[id_col]).alias("id"), F.col(name[text_col]).alias("text"))
+    sketch = materialise(sketched(plain, whole, Words(shingle), partial(fingerprint_of, shingle=shingle)), paths)
+    places = sketch.where("classes is not null").select("row", "id", "mark", F.col("tag").alias("fp"), F.col("classes")[0].alias("cls"))
+    fps = materialise(places.select("fp").distinct(), paths)
+    near = components(links(fps))
+    of_fp = places.select("fp", "cls").distinct().join(small(near), F.col("fp") == F.col("node"), "left")
+    buckets = of_fp.select(F.xxhash64(F.lit("fingerprint"), F.coalesce("component", "fp")).alias("key"), "cls")
+    found = linked(plain, sketch, whole, Words(shingle), similar, buckets)
+
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "row")).alias("first")
+    per = places.groupBy("cls").agg(first, F.count(F.lit(1)).alias("n"))
+    rooted = per.join(small(found), per["cls"] == found["node"], "left").where("n > 1 or node is not null")
+    rooted = materialise(rooted.select("cls", "n", "first", F.coalesce("component", "cls").alias("root")), paths)
+    best = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    best = materialise(best.select("root", F.col("keep.row").alias("keep")), paths)
+    rule = materialise(rooted.select("cls", "n", "root").join(small(best), "root").select("cls", "n", "keep"), paths)
+    total = rule.agg(F.sum("n")).first()[0] or 0
+    gone = materialise(join_hot(places.select("row", "cls"), rule, "cls", "n", total).where("row <> keep").select("row"))
+    forget(docs.sparkSession, *paths)
+    return renamed(rows.join(small(gone), "row", "left_anti"), docs)
