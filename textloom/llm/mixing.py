@@ -13,27 +13,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
+from textloom.llm.common import materialise, numbered, renamed, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Cells of the rank's histogram; only the documents of one cell a source are ever sorted.
 CELLS = 1 << 16
-#: The tables of targets are broadcast up to so many rows, else joined by shuffle.
-MAX_BROADCAST = 100_000
 
 
-def size_of(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _digits(size: str = "size") -> Column:
     return F.length(F.bin(F.col(size)))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
-
-
 def source_targets(sizes: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``(source, source_size, target)`` of ``(source, size)``: weights repeat over the sources by
     code point, null last; a source at its cap passes the excess on by weight. The sources' order
@@ -56,7 +50,7 @@ def expected_copies(sizes: DataFrame, targets: DataFrame, most: float = 3.0) ->
     """``(source, digits, whole, p)`` for each source and number of binary digits of a size."""
     cells = sizes.groupBy("source", _digits().alias("digits")).agg(F.sum("size").alias("s"))
     t = targets.select(F.col("source").alias("__s"), "target")
-    cells = cells.join(_small(t), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("w", F.lit(1.0) / F.col("digits"))
+    cells = cells.join(small(t), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("w", F.lit(1.0) / F.col("digits"))
     own = Window.partitionBy("source")
     before = own.orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
     after = own.orderBy("digits").rowsBetween(0, Window.unboundedFollowing)
@@ -69,18 +63,26 @@ def expected_copies(sizes: DataFrame, targets: DataFrame, most: float = 3.0) ->
     return cells.select("source", "digits", "whole", (F.col("copies") - F.col("whole")).alias("p"), "s")
 
 
-def _uniform(id_col: str, seed: int) -> Column:
-    """A number in (0, 1) that the id and the seed fix."""
-    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
+def _uniform(*parts: Column) -> Column:
+    """A number in (0, 1) that the parts fix."""
+    digest = F.md5(F.concat_ws(":", *parts))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def drawn(row: Column, ident: Column, source: Column, text: Column, seed: int) -> list[Column]:
+    """Columns ``row, source, size, u, v``: u is fixed by the id and the text, v tells rows apart that
+    have both in common."""
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    u = _uniform(plain(ident), F.md5(plain(text)), F.lit(str(seed)))
+    return [row.alias("row"), source.alias("source"), size_of(text).alias("size"), u.alias("u"), _uniform(row.cast("string")).alias("v")]
+
+
 def _edge(cells: DataFrame, left: DataFrame) -> DataFrame:
     """``(source, edge, base, left)``: the cell in which a source's sum, in the order of its cells
     and from ``below`` on, reaches ``left``, and the sum before it. A source has CELLS / 256 or
     256 cells here, so its window is short however many documents it has."""
     upto = F.sum("s").over(Window.partitionBy("source").orderBy("cell"))
-    sums = cells.withColumn("upto", upto).join(_small(left.withColumnRenamed("source", "__l")), F.col("source").eqNullSafe(F.col("__l")))
+    sums = cells.withColumn("upto", upto).join(small(left.withColumnRenamed("source", "__l")), F.col("source").eqNullSafe(F.col("__l")))
     sums = sums.withColumn("upto", F.col("upto") + F.col("below")).withColumn("base", F.col("upto") - F.col("s"))
     return materialise(sums.where("upto >= left and base < left").select("source", F.col("cell").alias("edge"), "base", "left"))
 
@@ -88,10 +90,10 @@ def _edge(cells: DataFrame, left: DataFrame) -> DataFrame:
 class Mix:
     """What deciding a document's copies needs: a row a source, and a row a source and size class."""
 
-    def __init__(self, sizes: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 11, id_col: str = "doc_id"):
-        """sizes: ``(id_col, source, size)``. Aggregates go by source, then by source and cell with
-        partial sums, so a source with a third of all rows is never gathered in one task."""
-        self.seed, self.id_col = seed, id_col
+    def __init__(self, sizes: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)):
+        """sizes: see drawn(). Aggregates go by source, then by source and cell with partial sums, so
+        a source with a third of all rows is never gathered in one task; only the distinct odds of
+        the cell that holds a source's cut are ordered."""
         self.targets = materialise(source_targets(sizes, most, weights))
         cells = expected_copies(sizes, self.targets, most)
         self.classes = materialise(cells)
@@ -102,22 +104,25 @@ class Mix:
         rough = hist.groupBy("source", F.shiftright("cell", 8).alias("cell")).agg(F.sum("s").alias("s"))
         band = _edge(rough, left.select("source", "left", F.lit(0).cast("long").alias("below")))
         inner = band.select(F.col("source").alias("__b"), F.col("edge").alias("__e"))
-        fine = hist.join(_small(inner), F.col("source").eqNullSafe(F.col("__b")) & (F.shiftright("cell", 8) == F.col("__e"))).select("source", "cell", "s")
+        fine = hist.join(small(inner), F.col("source").eqNullSafe(F.col("__b")) & (F.shiftright("cell", 8) == F.col("__e"))).select("source", "cell", "s")
         edge = _edge(fine, band.select("source", "left", F.col("base").alias("below"))).withColumnRenamed("source", "__s")
-        inside = ranked.join(_small(edge), F.col("source").eqNullSafe(F.col("__s")) & (F.col("cell") == F.col("edge")))
-        order = Window.partitionBy("source").orderBy("odds", id_col).rowsBetween(Window.unboundedPreceding, 0)
-        inside = inside.withColumn("sum", F.col("base") + F.sum("size").over(order))
-        best = F.struct(F.abs(F.col("sum") - F.col("left")).alias("off"), F.col("sum").alias("sum"), F.col("odds").alias("odds"), F.col(id_col).alias("last"))
-        cut = inside.groupBy("source").agg(F.min(best).alias("best")).select(F.col("source").alias("__c"), "best")
+        inside = ranked.join(small(edge), F.col("source").eqNullSafe(F.col("__s")) & (F.col("cell") == F.col("edge")))
+        tied = inside.groupBy("source", "odds", "base", "left").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy("source").orderBy("odds").rowsBetween(Window.unboundedPreceding, -1)
+        tied = tied.withColumn("before", F.col("base") + F.coalesce(F.sum("s").over(order), F.lit(0)))
+        part = (F.col("left") - F.col("before")) / F.col("s")
+        one = (part > 0.5).cast("double")  # a single row is taken or not; of equal odds, a part of the rows
+        tied = tied.withColumn("part", F.when(F.col("n") == 1, one).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))))
+        sum_ = F.col("before") + F.col("part") * F.col("s")
+        best = F.struct(F.abs(sum_ - F.col("left")).alias("off"), sum_.alias("sum"), F.col("odds").alias("odds"), F.col("part").alias("part"))
+        cut = tied.groupBy("source").agg(F.min(best).alias("best")).select(F.col("source").alias("__c"), "best")
         cut = edge.join(cut, F.col("__s").eqNullSafe(F.col("__c")), "left")
-        near = F.col("best.off") < F.col("left") - F.col("base")  # else no document of the cell
-        cut = cut.select("__s", "edge", F.when(near, F.col("best.odds")).alias("cut_odds"), F.when(near, F.col("best.last")).alias("cut_id"), near.alias("some"))
-        self.cuts = materialise(cut)
+        self.cuts = materialise(cut.select("__s", "edge", F.col("best.odds").alias("cut"), F.col("best.part").alias("part")))
 
     def ranked(self, df: DataFrame) -> DataFrame:
         """df, which has source and size, with whole, p, odds and cell."""
-        c = _small(self.classes.select(F.col("source").alias("__k"), F.col("digits").alias("__d"), "whole", "p"))
-        u = _uniform(self.id_col, self.seed)
+        c = small(self.classes.select(F.col("source").alias("__k"), F.col("digits").alias("__d"), "whole", "p"))
+        u = F.col("u")
         df = df.join(c, F.col("source").eqNullSafe(F.col("__k")) & (_digits() == F.col("__d"))).drop("__k", "__d")
         df = df.withColumn("odds", F.when(F.col("p") > 0, (u / (1 - u)) * ((1 - F.col("p")) / F.col("p"))))
         return df.withColumn("cell", F.floor(F.col("odds") / (1 + F.col("odds")) * CELLS).cast("int"))
@@ -126,31 +131,36 @@ class Mix:
         """df, which has source and size, with source_size, target and copies; a left join to
         tables of a row a source, by broadcast where they are small."""
         t = self.targets.select(F.col("source").alias("__t"), "source_size", "target")
-        df = self.ranked(df).join(_small(t), F.col("source").eqNullSafe(F.col("__t"))).drop("__t")
-        df = df.join(_small(self.cuts), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-        below = (F.col("odds") < F.col("cut_odds")) | ((F.col("odds") == F.col("cut_odds")) & (F.col(self.id_col).isNull() | F.coalesce(F.col(self.id_col) <= F.col("cut_id"), F.lit(False))))
-        taken = (F.col("cell") < F.col("edge")) | ((F.col("cell") == F.col("edge")) & F.col("some") & below)
+        df = self.ranked(df).join(small(t), F.col("source").eqNullSafe(F.col("__t"))).drop("__t")
+        df = df.join(small(self.cuts), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+        below = (F.col("odds") < F.col("cut")) | ((F.col("odds") == F.col("cut")) & (F.col("v") < F.col("part")))
+        taken = (F.col("cell") < F.col("edge")) | ((F.col("cell") == F.col("edge")) & below)
         copies = F.col("whole") + F.coalesce(taken & (F.col("p") > 0), F.lit(False)).cast("long")
-        return df.withColumn("copies", copies.cast("long")).drop("whole", "p", "odds", "cell", "edge", "cut_odds", "cut_id", "some")
+        return df.withColumn("copies", copies.cast("long")).drop("whole", "p", "odds", "cell", "edge", "cut", "part", "u", "v")
 
 
 def mix(docs: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row of docs: ``(id_col, source, size, source_size, target, copies, taken)``.
 
-    Null and empty texts have size 0 and are taken 0 words. Documents with equal ids share their
-    random number, so reruns and repeated rows agree; a null id counts as an empty one. An empty
-    table gives an empty result.
+    Null and empty texts have size 0 and are taken 0 words. A document's random number is fixed by
+    its id and text, so reruns agree; rows that have both in common are taken one by one, as many
+    as the target needs, whether their id is null or not. An empty table gives an empty result.
     """
-    sizes = materialise(docs.select(F.col(id_col), F.col(source_col).alias("source"), size_of(text_col).alias("size")))
-    out = Mix(sizes, most, weights, seed, id_col).decide(sizes)
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def mixed_documents(docs: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with its columns. The texts are
-    not shuffled: targets and cuts come to them by broadcast. Rows without words get no copies."""
-    cols = docs.columns
-    base = docs.select(F.col(id_col).alias("__id"), F.col("source"), F.struct(*cols).alias("__row"), size_of(text_col).alias("size"))
-    sizes = materialise(base.select("__id", "source", "size"))
-    out = Mix(sizes, most, weights, seed, "__id").decide(base)
-    return out.where("copies > 0 and size > 0").select(F.explode(F.array_repeat("__row", F.col("copies").cast("int"))).alias("r")).select(*(F.col(f"r.`{c}`").alias(c) for c in cols))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    sizes = materialise(rows.select("id", *drawn(F.col("row"), F.col("id"), F.col("source"), F.col("text"), seed)))
+    out = Mix(sizes, most, weights).decide(sizes)
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with its columns as they came. Rows
+    without words get no copies; null sources are one source; see mix() for ids and repeated rows.
+    The texts are written once, with row numbers; targets and cuts come to them by broadcast."""
+    rows = numbered(docs)
+    name = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    drawn_ = drawn(F.col("row"), name[id_col], name[source_col], name[text_col], seed)
+    sizes = materialise(rows.select(*drawn_))
+    base = rows.select(F.struct(*(f"c{i}" for i in range(len(docs.columns)))).alias("doc"), *drawn_[1:])
+    out = Mix(sizes, most, weights).decide(base)
+    out = out.where("copies > 0 and size > 0").select(F.explode(F.array_repeat("doc", F.col("copies").cast("int"))).alias("doc"))
+    return renamed(out.select("doc.*"), docs)

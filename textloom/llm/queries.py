@@ -93,7 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": r"""
-with sizes as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+with sizes as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5(coalesce(text, '')) as mark from documents),
 per as (select source, cast(sum(size) as bigint) as source_size, 3.0::double * sum(size) as cap from sizes group by source),
 weighed as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as w from per),
 levels as (select *, sum(source_size) over () as total, sum(w) over () as all_w,
@@ -105,7 +105,7 @@ cells as (select s.source, length(bin(s.size)) as digits, sum(s.size)::double as
 scaled as (select *, coalesce((target - 3 * coalesce(sum(s) over (partition by source order by digits rows between unbounded preceding and 1 preceding), 0)) / nullif(sum(s / digits) over (partition by source order by digits rows between current row and unbounded following), 0) * (1.0::double / digits) >= 3, false) as is_full from cells),
 copies as (select *, case when is_full then 3.0 else least(3.0, coalesce(greatest(target - 3 * coalesce(sum(case when is_full then s end) over (partition by source), 0), 0.0) / nullif(sum(case when not is_full then s / digits end) over (partition by source), 0) * (1.0::double / digits), 0.0)) end as c from scaled),
 parts as (select source, digits, floor(c) as whole, c - floor(c) as p, sum(floor(c) * s) over (partition by source) as certain, target from copies),
-drawn as (select s.*, p.whole, p.p, p.target - p.certain as rest, (('0x' || substr(md5(coalesce(cast(s.doc_id as varchar), '') || ':11'), 1, 13))::bigint + 0.5) / 4503599627370496 as u
+drawn as (select s.*, p.whole, p.p, p.target - p.certain as rest, (('0x' || substr(md5(coalesce(cast(s.doc_id as varchar), '') || ':' || s.mark || ':11'), 1, 13))::bigint + 0.5) / 4503599627370496 as u
     from sizes s join parts p on s.source is not distinct from p.source and length(bin(s.size)) = p.digits),
 ranked as (select *, (u / (1 - u)) * ((1 - p) / p) as odds from drawn where p > 0 and size > 0),
 sums as (select *, sum(size) over (partition by source order by odds, doc_id rows between unbounded preceding and current row)::double as upto from ranked),
