@@ -116,15 +116,31 @@ select d.doc_id, d.size, t.source_size, t.target, cast((d.whole + case when k.do
 from drawn d join targets t on d.source is not distinct from t.source left join taken k on d.doc_id = k.doc_id
 """,
     "op9_urls": r"""
-with p as (select page_id, url, html, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+with recursive p as (select page_id, url, html, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 q as (select page_id, url, html, rest, least(coalesce(nullif(strpos(rest, '/'), 0), 1 << 30), coalesce(nullif(strpos(rest, '?'), 0), 1 << 30), coalesce(nullif(strpos(rest, '#'), 0), 1 << 30)) as cut from p),
 r as (select page_id, url, html, coalesce(lower(substr(rest, 1, cut - 1)), '') as host, coalesce(substr(rest, cut), '') as tail from q),
 s as (select page_id, url, html, host, substr(tail, 1, least(coalesce(nullif(strpos(tail, '?'), 0), 1 << 30), coalesce(nullif(strpos(tail, '#'), 0), 1 << 30)) - 1) as path from r),
 rules(v, h, pre) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 fit as (select s.page_id, s.url, max_by(h || pre, length(h || pre)) as rule, max_by(v, length(h || pre)) as v from s join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, pre) group by 1, 2),
-links as (select split_part(url, '#', 1) as a, split_part(regexp_extract(html, '(?i)<link\s[^>]*rel="canonical"[^>]*href="([^"]+)"', 1), '#', 1) as b from s where html ilike '%canonical%'),
-passed as (select l.a, max(f.v) as v from links l join s t on split_part(t.url, '#', 1) = l.b join fit f on f.page_id = t.page_id where l.b <> '' group by 1)
+named as (select *, split_part(url, '#', 1) as bare, regexp_extract(split_part(url, '#', 1), '(?s)^(.*?://[^/?#]*)', 1) as origin from s where contains(url, '://')),
+tags as (select bare, origin, unnest(list_concat(
+    regexp_extract_all(html, '(?is)<link\s(?:[^>]*\s)?rel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''>\s]+)', 1),
+    regexp_extract_all(html, '(?is)<link\s(?:[^>]*\s)?href\s*=\s*["'']?([^"''>\s]+)["'']?\s(?:[^>]*\s)?rel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract_all(html, '(?is)<meta\s(?:[^>]*\s)?http-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''>\s;]+)', 1))) as raw from named where html is not null),
+links as (select bare as a, replace(raw, '&amp;', '&') as t, origin from tags where raw <> ''),
+full_links as (select a, split_part(case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*://') then t when starts_with(t, '//') then regexp_extract(a, '^([^:]*:)', 1) || t
+    when starts_with(t, '/') then origin || t else regexp_extract(a, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) || t end, '#', 1) as b from links),
+heads as (select a, b, regexp_extract(a, '(?s)^(.*?://[^/?#]*)', 1) as ha, regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1) as hb from full_links),
+edges as (select lower(ha) || substr(a, length(ha) + 1) as a, lower(hb) || substr(b, length(hb) + 1) as b from heads),
+pair as (select a, b from edges where a <> b union select b, a from edges where a <> b),
+reach(a, b) as (select a, a from pair union select r.a, e.b from reach r join pair e on r.b = e.a),
+nodes as (select distinct a as node, strpos(a, '://') as head from pair),
+parts as (select node, substr(node, head + 3) as rest from nodes),
+places as (select node, regexp_extract(rest, '(?s)^([^/?#]*)', 1) as host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path from parts),
+said as (select node, max_by(v, length(h || pre)) as v from places join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, pre) group by 1),
+passed as (select r.a as node, case when bool_or(v = 'allow') then 'allow' else 'block' end as v from reach r join said on said.node = r.b group by 1),
+own as (select page_id, host, path, html, url, lower(origin) || substr(bare, length(origin) + 1) as node from named)
 select s.page_id, s.host, s.path, f.rule, coalesce(f.v, d.v, 'allow') as verdict
-from s left join fit f on s.page_id = f.page_id left join passed d on split_part(s.url, '#', 1) = d.a
+from s left join (select distinct url, node from own) o on s.url = o.url left join (select distinct url, rule, v from fit) f on s.url = f.url left join passed d on o.node = d.node
 """,
 }

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import components, materialise
+from textloom.llm.common import components, materialise, small
 
 _ATTR = r"""\s*=\s*["']?([^"'>\s]+)"""
 
@@ -46,13 +46,14 @@ def verdict_of(rule: Column, rules: list[tuple[str, str, str]]) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges ``(src, dst)`` of all canonical links and refreshes to another address in a page."""
+    """Edges ``(src, dst)`` of all canonical links and refreshes to another address in a page. Null html
+    has none, nor has a page whose url is null or without ``://``."""
     low = F.lower(F.col(html_col))
     html = F.col(html_col)
     canon = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref""" + _ATTR), F.lit(1))
     fresh = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'>\s;]+)"""), F.lit(1))
     found = pages.where(low.contains("canonical") | low.contains("refresh")).select(F.col(url_col).alias("url"), F.explode(F.concat(canon, fresh)).alias("to"))
-    found = found.where("to <> '' and url is not null")
+    found = found.where("to <> '' and contains(url, '://')")
     origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     to = F.regexp_replace("to", "&amp;", "&")
@@ -66,7 +67,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
     redirects: further edges ``(src, dst)`` of urls. A null url, or one without ``://``, has empty
     host and path, fits no rule and has no aliases. Repeated rows are judged alike; an empty table
     gives an empty result. Only urls with an edge enter the components; a component's verdict goes
-    back by its member's name, a join with one row a name on one side.
+    back by its member's name, by broadcast where the names are small. Beyond that it is a join with
+    one row a name on one side, of which adaptive execution splits the pages of one url.
     """
     edges = page_links(pages, url_col, html_col)
     if redirects is not None:
@@ -78,7 +80,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
     passed = F.when(F.col("a") == 1, F.lit("allow")).when(F.col("b") == 1, F.lit("block"))
     aliases = found.join(materialise(verdicts), "component").select("node", passed.alias("passed")).where("passed is not null")
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(node_of(url), F.lit("")).alias("node"))
+    rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    rows = rows.join(materialise(aliases), "node", "left")
+    rows = rows.join(small(materialise(aliases)), "node", "left")
     return rows.select(id_col, "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), "passed", F.lit(default)).alias("verdict"))
