@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import forget, join_hot, materialise, small
+from textloom.llm.common import forget, join_hot, materialise, small, small_batches
 
 # The fields of a url record by the version of its file.
 FIELDS = {
@@ -161,6 +161,7 @@ WHOLE = (".gz", ".deflate", ".lz4", ".snappy", ".zst")
 def _read(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """The rows of files, each file's in order and in one task. Plain files, which Spark may split, are
     put together again by a shuffle, sorted (and spilled) by place."""
+    small_batches(spark)
     rows = spark.read.option("lineSep", separator).text(path)
     cols = [F.input_file_name().alias("file"), F.col("value").cast("binary").alias("value")]
     if all(f.endswith(WHOLE) for f in rows.inputFiles()):
@@ -210,13 +211,17 @@ def write_arc(pages: DataFrame, path: str, version: int, id_col: str = "page_id"
 
         yield from _batched(records(), ["record"], [pa.binary()])
 
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long"), url_col, F.encode(F.col(html_col), "UTF-8"))
     _write(rows.mapInArrow(run, "record binary"), path, "\n")
 
 
 def read_arc(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:
     """Records of ARC files of either version, converted in meaning (see RECORD). With or without
-    their content, which the digests cover in any case."""
+    their content, which the digests cover in any case. A record without an order has a null one;
+    empty contents are records; records that repeat are read as often as they come; lines between
+    records, and a record that the file's end cuts short, are passed over; files without records
+    give no rows."""
     names = [x.split()[0] for x in RECORD.split(", ")]
     types = [pa.string()] * 6 + [pa.int64(), pa.int64(), pa.string(), pa.binary()]
     n = None if with_content else -1

@@ -65,8 +65,14 @@ def materialise(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of text that a worker takes from an Arrow batch at once.
-PIECE = 2 << 20
+#: Bytes of text that a worker takes from an Arrow batch at once, and bytes of such a batch.
+PIECE, BATCH = 2 << 20, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send Arrow batches of BATCH bytes at most to Python workers. Spark's own bound
+    of 64 MB is held several times over on both sides, for each task of an executor at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
 def pieces(b: pa.RecordBatch, text: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:

@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import components, forget, materialise, pieces, small
+from textloom.llm.common import components, forget, materialise, pieces, small, small_batches
 
 SIMILAR = 0.8
 #: 10 bands of 4: a pair at 0.8 shares a band with probability 0.995, at 0.9 with 0.99998.
@@ -195,6 +194,7 @@ def sketched(rows: DataFrame, units: Callable[[str], list[str | None]], shingles
     and mostly once a task."""
     from xxhash import xxh64_intdigest
 
+    small_batches(rows.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"row long, id {kind}, mark long, tag long, classes array<long>, no int, cls long, bands array<long>"
 
@@ -293,8 +293,8 @@ def forest(alike: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _links(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b)}, dtype="int64")
+def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"src": pa.array(np.minimum(a, b), pa.int64()), "dst": pa.array(np.maximum(a, b), pa.int64())})
 
 
 def _inside(dealt: DataFrame, shingles: Chars | Words, similar: float) -> DataFrame:
@@ -322,8 +322,7 @@ def _inside(dealt: DataFrame, shingles: Chars | Words, similar: float) -> DataFr
         if len(ids) > 1:
             sets = shingle_sets([t for x in held for t in x.column(3).to_pylist()], shingles)
             pairs = np.array(forest(similarities(sets, sets) >= similar), int).reshape(-1, 2)
-            a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
+            yield from _links(ids[pairs[:, 0]], ids[pairs[:, 1]]).to_batches()
 
     rows = dealt.repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "cls", "norm")
     return rows.mapInArrow(run, "src long, dst long").distinct()
@@ -339,16 +338,16 @@ def _across(members: DataFrame, shingles: Chars | Words, similar: float) -> Data
     x = open_.join(small(xs), "key").withColumn("x", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("xs"))).withColumn("y", every("blocks")).select("key", "x", "y", "cls", "c", "norm")
     y = members.join(small(xs), "key").withColumn("x", every("xs")).select(F.col("key").alias("key_b"), F.col("x").alias("x_b"), F.col("block").alias("y_b"), F.col("cls").alias("cls_b"), F.col("c").alias("c_b"), F.col("norm").alias("norm_b"))
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
-            return _links(np.empty(0, int), np.empty(0, int))
-        alike = similarities(shingle_sets(a["norm"].tolist(), shingles), shingle_sets(b["norm_b"].tolist(), shingles)) >= similar
+            return _links(np.empty(0, np.int64), np.empty(0, np.int64))
+        alike = similarities(shingle_sets(a["norm"].to_pylist(), shingles), shingle_sets(b["norm_b"].to_pylist(), shingles)) >= similar
         c, d = a["c"].to_numpy(), b["c_b"].to_numpy()
         i, j = np.nonzero(alike & (c[:, None] != d[None, :]))
         _, one = np.unique(np.stack([c[i], d[j]], 1), axis=0, return_index=True)
         return _links(a["cls"].to_numpy()[i[one]], b["cls_b"].to_numpy()[j[one]])
 
-    return x.groupBy("key", "x", "y").cogroup(y.groupBy("key_b", "x_b", "y_b")).applyInPandas(meet, "src long, dst long").distinct()
+    return x.groupBy("key", "x", "y").cogroup(y.groupBy("key_b", "x_b", "y_b")).applyInArrow(meet, "src long, dst long").distinct()
 
 
 def linked(rows: DataFrame, sketch: DataFrame, units: Callable[[str], list[str | None]], shingles: Chars | Words, similar: float = SIMILAR, buckets: DataFrame | None = None) -> DataFrame:

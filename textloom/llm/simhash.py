@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import components, forget, join_hot, materialise, numbered, renamed, small
+from textloom.llm.common import components, forget, join_hot, materialise, numbered, renamed, small, small_batches
 from textloom.llm.minhash import Words, linked, sketched, whole
 
 #: Lower-cases A-Z only; bytes.split() then splits on exactly \x20 and \x09-\x0D.
@@ -42,10 +42,11 @@ def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp long)`` for every row; null and empty texts get 0."""
 
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(t, shingle) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def fp(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint_of(t.as_py(), shingle) for t in texts], pa.int64())
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"))
 
 
@@ -86,12 +87,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     come; an empty table gives an empty result.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, shingle))
-    fps = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    fps = materialise(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
     linked = components(links(fps.select("fp"))).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = materialise(fps.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    of_fp = materialise(rooted.join(materialise(least), "root").select("fp", "component"))
-    return rows.join(of_fp, "fp").select("id", "fp", "component")
+    rooted = materialise(fps.join(small(linked), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")))
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("m")))
+    prints, total = least.agg(F.sum("m")).first()[0] or 0, fps.agg(F.sum("n")).first()[0] or 0
+    of_fp = materialise(join_hot(rooted, least, "root", "m", prints).select("fp", "n", "component"))
+    return join_hot(rows, of_fp, "fp", "n", total).select("id", "fp", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import components, materialise, small
+from textloom.llm.common import components, join_hot, materialise, small
 
 _ATTR = r"""\s*=\s*["']?([^"'>\s]+)"""
 
@@ -76,9 +76,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
     found = components(edges.where("src is not null and dst is not null"))
     rule = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)
     said = found.withColumn("said", verdict_of(rule, rules))
-    verdicts = said.groupBy("component").agg(F.max((F.col("said") == "allow").cast("int")).alias("a"), F.max((F.col("said") == "block").cast("int")).alias("b"))
+    verdicts = said.groupBy("component").agg(F.max((F.col("said") == "allow").cast("int")).alias("a"), F.max((F.col("said") == "block").cast("int")).alias("b"), F.count(F.lit(1)).alias("n"))
     passed = F.when(F.col("a") == 1, F.lit("allow")).when(F.col("b") == 1, F.lit("block"))
-    aliases = found.join(materialise(verdicts), "component").select("node", passed.alias("passed")).where("passed is not null")
+    verdicts = materialise(verdicts)
+    total = verdicts.agg(F.sum("n")).first()[0] or 0
+    aliases = join_hot(found, verdicts, "component", "n", total).select("node", passed.alias("passed")).where("passed is not null")
     url = F.col(url_col)
     rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
