@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from textloom.llm.common import materialise
 
 #: The tree is fitted on at most about so many vectors, and calibrated on so many queries.
-SAMPLE, CALIBRATION = 20_000, 64
-BRANCHES, LEAF = 8, 48
-#: Vectors and queries that meet in one group at most; larger leaves are dealt into more groups.
-BLOCK = 200
+SAMPLE, CALIBRATION = 100_000, 64
+BRANCHES, LEAF = 8, 24
+#: Vectors, and queries, that meet in one group about.
+BLOCK, QUERIES = 2048, 512
 #: Copies of one vector are thinned in so many heaps before they meet.
 SALTS = 16
 
@@ -57,6 +57,24 @@ class Tree:
         return out
 
 
+    def cells(self, sizes: np.ndarray, block: int = BLOCK) -> np.ndarray:
+        """The cell of each leaf: neighbouring leaves together, in the order of the tree, until they have
+        about ``block`` of the rows that ``sizes`` counts; a larger leaf is a cell of its own."""
+        order, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            todo += reversed(self.children[node])
+            if node in self.leaf_of:
+                order.append(self.leaf_of[node])
+        out, cell, held = np.zeros(len(order), np.int64), 0, 0
+        for leaf in order:
+            if held and held + sizes[leaf] > block:
+                cell, held = cell + 1, 0
+            out[leaf] = cell
+            held += sizes[leaf]
+        return out
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(1)[None, :] - 2 * x @ centres.T).argmin(1)
 
@@ -116,7 +134,31 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
-    return np.array(col.tolist(), np.float64)
+    return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.empty((0, 0))
+
+
+def _collected(rows: DataFrame) -> np.ndarray:
+    """The vectors ``v`` of a bounded number of rows, as one matrix."""
+    found = rows.select("v").toArrow().column(0).combine_chunks()
+    return found.flatten().to_numpy().reshape(len(found), -1) if len(found) else np.empty((0, 0))
+
+
+def _best(q: np.ndarray, x: np.ndarray, ids: list, seen: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+    """For each query the nearest ``k`` ``(distance, id)`` among the rows it has seen, ties to the smaller
+    id. A matrix product leaves out what is surely too far; distances are then taken exactly."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = (q**2).sum(1)[:, None], (x**2).sum(1)[None, :]
+        near = norms[0] + norms[1] - 2 * q @ x.T
+    out = []
+    for i, d in enumerate(near):
+        own = np.flatnonzero(seen[i])
+        d = d[own]
+        if len(d) > k and np.isfinite(d).all():
+            slack = 1e-9 * (norms[0][i, 0] + norms[1][0, own].max())  # far above the product's error
+            own = own[d <= np.partition(d, k - 1)[k - 1] + slack]
+        exact = _distances(x[own], q[i])
+        out.append(sorted((float(e), int(n)) for e, j in zip(exact, own, strict=True) for n in ids[j])[:k])
+    return out
 
 
 def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -152,14 +194,15 @@ def _calibrate(index: DataFrame, tree: Tree, queries: np.ndarray, k: int, target
     return visits
 
 
-def search(rows: DataFrame, k: int = 10, every: int = 100, target: float = 0.98, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, k: int = 10, every: int = 100, target: float = 0.95, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, id, score)``: the k nearest found of each row whose id is divisible by
     ``every``, by Euclidean distance in double precision, ties to the smaller id.
 
-    The tree is fitted on a bounded sample; every row is indexed. Leaves are dealt into groups of
-    bounded size, and so are the queries that visit them, so neither a crowded leaf nor a popular
-    query fills a task. Unusable vectors (see usable()) are neither queries nor answers. Rows that
-    repeat an id count once for each copy of their vector; an empty table gives an empty result.
+    The tree is fitted on a bounded sample; every row is indexed. Neighbouring leaves are put into
+    cells of bounded size, larger ones are dealt into several groups, and so are the queries that
+    visit them, so neither a crowded leaf nor a popular query fills a task. Unusable vectors (see
+    usable()) are neither queries nor answers. Rows that repeat an id count once for each copy of
+    their vector; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     rows = usable(rows, id_col, vec_col)
@@ -170,7 +213,7 @@ def search(rows: DataFrame, k: int = 10, every: int = 100, target: float = 0.98,
         empty = spark.createDataFrame([], schema)
         return empty.select(F.col("q").alias("query_id"), F.lit(1).alias("rank"), "id", "score")
     part = F.pmod(F.xxhash64("h", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n))
-    tree = fit_tree(_matrix(unique.where(part).select("v").toPandas()["v"]))
+    tree = fit_tree(_collected(unique.where(part)))
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -183,35 +226,43 @@ def search(rows: DataFrame, k: int = 10, every: int = 100, target: float = 0.98,
     vectors = materialise(index.join(asked.select("h", "g").distinct(), ["h", "g"], "left_semi").select("h", "g", "v"))
     m = max(vectors.count(), 1)
     some = vectors.where(F.pmod(F.xxhash64("h", F.lit(4)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, CALIBRATION / m)))
-    visits = _calibrate(index, tree, _matrix(some.select("v").toPandas()["v"]).reshape(-1, tree.centres[0].shape[1]), k, target)
+    visits = _calibrate(index, tree, _collected(some).reshape(-1, tree.centres[0].shape[1]), k, target)
 
-    @F.pandas_udf("array<long>")
-    def visited(v: pd.Series) -> pd.Series:
-        return pd.Series([tree.visits(np.array(q), visits) for q in v])
+    sizes = np.zeros(len(tree.leaf_of), np.int64)  # as many as leaves, which the sample bounds
+    for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["leaf"]] = r["n"]
+    cell_of = tree.cells(sizes)
 
-    goes = materialise(vectors.withColumn("leaf", F.explode(visited("v"))))
-    # a row a leaf: how many groups its vectors and its queries are dealt into
-    dealt = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("xs"))
-    dealt = dealt.join(goes.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("qs")), "leaf")
-    dealt = F.broadcast(materialise(dealt))  # as many rows as leaves, which the sample bounds
+    def visiting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for h, g, v in zip(b["h"], b["g"], b["v"], strict=True):
+                leaves = np.array(tree.visits(v, visits))
+                cells = cell_of[leaves]
+                out += [(h, g, v, int(c), leaves[cells == c]) for c in np.unique(cells)]
+            yield pd.DataFrame(out, columns=["h", "g", "v", "cell", "leaves"])
+
+    goes = materialise(vectors.mapInPandas(visiting, "h long, g long, v array<double>, cell long, leaves array<long>"))
+    rows_of = np.bincount(cell_of, sizes).astype(int)
+    blocks = spark.createDataFrame([(c, max(1, -(-n // BLOCK))) for c, n in enumerate(rows_of.tolist())], "cell long, xs long")
+    dealt = goes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("qs")).join(blocks, "cell")
+    dealt = F.broadcast(materialise(dealt))  # no more rows than leaves
+    cell = F.broadcast(spark.createDataFrame(list(enumerate(cell_of.tolist())), "leaf long, cell long"))
     own = lambda size, s: F.pmod(F.xxhash64("h", F.lit(s)), F.col(size))
     every_one = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.col(size) - 1))
-    xs = index.join(dealt, "leaf").withColumn("x", own("xs", 5)).withColumn("y", every_one("qs")).select("leaf", "x", "y", "v", "ids")
-    qs = goes.join(dealt, "leaf").withColumn("y", own("qs", 6)).withColumn("x", every_one("xs")).select("leaf", "x", "y", "h", "g", "v")
+    xs = index.join(cell, "leaf").join(dealt, "cell").withColumn("x", own("xs", 5)).withColumn("y", every_one("qs")).select("cell", "x", "y", "leaf", "v", "ids")
+    qs = goes.join(dealt, "cell").withColumn("y", own("qs", 6)).withColumn("x", every_one("xs")).select("cell", "x", "y", "h", "g", "v", "leaves")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            x, ids = _matrix(b["v"]), b["ids"].tolist()
-            for h, g, q in zip(a["h"], a["g"], a["v"], strict=True):
-                d = _distances(x, np.array(q))
-                best = sorted((float(d[j]), int(i)) for j in np.argsort(d, kind="stable")[: k + 1] for i in ids[j])
-                edge = best[min(len(best), k + 1) - 1][0]
-                ties = [(float(d[j]), int(i)) for j in np.flatnonzero(d <= edge) for i in ids[j]]
-                out += [(h, g, i, s) for s, i in sorted(ties)[: k + 1]]
+            leaf = b["leaf"].to_numpy()
+            seen = np.stack([np.isin(leaf, x) for x in a["leaves"]])
+            found = _best(_matrix(a["v"]), _matrix(b["v"]), b["ids"].tolist(), seen, k + 1)
+            out = [(h, g, i, s) for h, g, best in zip(a["h"], a["g"], found, strict=True) for s, i in best]
         return pd.DataFrame(out, columns=["h", "g", "id", "score"])
 
-    met = qs.groupBy("leaf", "x", "y").cogroup(xs.groupBy("leaf", "x", "y")).applyInPandas(meet, "h long, g long, id long, score double")
+    met = qs.groupBy("cell", "x", "y").cogroup(xs.groupBy("cell", "x", "y")).applyInPandas(meet, "h long, g long, id long, score double")
     best = met.withColumn("n", F.row_number().over(Window.partitionBy("h", "g").orderBy("score", "id"))).where(F.col("n") <= k + 1)
     best = materialise(best.select("h", "g", F.col("id").alias("found"), "score"))
     answers = asked.withColumnRenamed("id", "query_id").join(best, ["h", "g"]).where("found <> query_id")
