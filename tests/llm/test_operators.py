@@ -121,9 +121,54 @@ def test_near_copies_against_brute_force(spark):
     assert kept == set(least.values())
 
 
+def test_near_copies_of_rows_without_ids_of_their_own(spark):
+    """Repeated and null ids hide nothing, and of equal rows one stays."""
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    copy, other = " ".join(words * 4), " ".join(reversed(words * 3))
+    rows = [(5, other + " and its own end", "a"), (5, copy, "a"), (1, copy.upper(), "b"), (None, "nothing like any other text of these rows", "c"), (None, copy, "c"), (8, "ties", "d"), (8, "ties", "d")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.drop_near_duplicates(docs_of(spark, rows)).collect())
+    assert got == sorted((str(i), t) for i, t, _ in (rows[0], rows[2], rows[3], rows[5]))
+    odd = simhash.drop_near_duplicates(docs_of(spark, ODD))
+    assert odd.columns == docs_of(spark, []).columns
+    assert sorted(str(r["doc_id"]) for r in odd.collect()) == ["1", "4", "6", "7", "None"]
+    assert simhash.drop_near_duplicates(docs_of(spark, [])).count() == 0
+
+
 # op 2
 
 
+def test_archive_query_against_brute_force(spark, tmp_path):
+    pages = common.table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url", "html").collect()
+    rows = [tuple(r) for r in pages] + [(None, "http://n/", pages[0]["html"]), (900_001, None, None), (900_000, "x", ""), (900_002, "http://m/", "é\r\n" * 20_000), (900_003, "http://m/", "é\r\n" * 20_000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"file://{tmp_path}/pages.parquet")
+    body = {i: (h or "").encode() for i, _, h in rows}
+    least = {}
+    for i, b in body.items():
+        least[b] = min(least.get(b, (2, 0)), (i is None, i or 0))
+    want = set()
+    for i, b in body.items():
+        first = least[b][1] if least[b] != (i is None, i or 0) else None
+        want.add((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first is None else "revisit", first))
+    got = [tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in queries.op2_archives(spark, f"file://{tmp_path}").collect()]
+    assert len(got) == len(rows) and set(got) == want
+
+
+def test_plain_archives_that_are_split(spark, tmp_path):
+    """Uncompressed files of many splits lose no record."""
+    record = lambda i: f"http://h/{i} 1.2.3.4 19961001000000 text/html {len(body(i))}\n{body(i)}\n"
+    body = lambda i: f"HTTP/1.1 200 OK\r\n{archives.ORDER}: {i}\r\n\r\n" + "\n".join(f"line {i} {j}" for j in range(i % 50))
+    (tmp_path / "a").mkdir()
+    for k in range(2):
+        (tmp_path / "a" / f"{k}.arc").write_bytes((f"filedesc://{k}.arc 0.0.0.0 19961001000000 text/plain 6\n1 0 x\n\n" + "".join(record(i) for i in range(k, 600, 2))).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = archives.read_arc(spark, f"file://{tmp_path}/a").where("kind = 'response'").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["order"], r["content"].decode()) for r in got) == [(i, body(i)) for i in range(600)]
+
+
 def test_archive_round_trip(spark, tmp_path):
     bodies = [None, "", "plain", "plain", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nxyz", "x\ny 1.1.1.1 19990101000000 text/html 5\nabcde\n", "é" * 5000, "plain", "\r\n", "\n"]
     rows = [(i, None if i == 3 else f"http://a b.example/{i}\n", b, "extra", "extra") for i, b in enumerate(bodies)] + [(2, "http://again.example/", "plain", "", "")]
@@ -221,19 +266,32 @@ def test_mix_odd_rows(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0 and mixing.mixed_documents(docs_of(spark, [])).count() == 0
 
 
+def test_mix_of_rows_without_ids_of_their_own(spark):
+    """Null and repeated ids, and rows that are equal: each source is still met as nearly as a row."""
+    rows = [(None, f"w{i} " * 20, "a") for i in range(300)] + [(7, "same text of five words", "b")] * 400 + [(i, "x " * 30, "c") for i in range(200)]
+    got = mixing.mix(docs_of(spark, rows)).toPandas()
+    for source, g in got.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= {"a": 20, "b": 5 * 4 * 20, "c": 30}[source]  # b: four standard deviations
+    assert sorted(got["taken"]) == sorted(mixing.mix(docs_of(spark, rows)).toPandas()["taken"])
+
+
 # op 4
 
 
+def brute_shingles(text, k=8):
+    return {text[i : i + k] for i in range(max(1, len(text) - k + 1))}
+
+
 def brute_lines(rows):
-    """How many lines each row loses."""
+    """For each row ``(id, text)`` the places of its lines that are not the first of their component."""
     classes = {}
-    for i, t in rows:
+    for r, (i, t) in enumerate(rows):
         for n, l in enumerate((t or "").split("\n")):
             k = " ".join(l.lower().replace("\u00a0", " ").split())
             if k:
-                classes.setdefault(k, []).append((i, n))
-    keys, shingles = list(classes), minhash.Chars(line_dedup.K)
-    sets, at = [shingles.of(k) for k in keys], defaultdict(list)
+                classes.setdefault(k, []).append((i, r, n))
+    keys, at = list(classes), defaultdict(list)
+    sets = [brute_shingles(k) for k in keys]
     for n, s in enumerate(sets):
         for g in s:
             at[g].append(n)
@@ -242,22 +300,56 @@ def brute_lines(rows):
         for m, c in Counter(m for g in s for m in at[g] if m < n).items():
             if c >= 0.8 * (len(s) + len(sets[m]) - c):
                 pairs.append((m, n))
-    groups = defaultdict(list)
+    groups, out = defaultdict(list), defaultdict(set)
     for n, r in enumerate(roots(len(keys), pairs)):
         groups[r] += classes[keys[n]]
-    return Counter(i for g in groups.values() for i, _ in sorted(g)[1:])
+    for g in groups.values():
+        for _, r, n in sorted(g)[1:]:
+            out[r].add(n)
+    return out
+
+
+def test_line_dedup_query_against_brute_force(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in common.table(spark, sf, "documents").orderBy("doc_id").collect()]
+    gone, want = brute_lines(rows), set()
+    for r, (i, t) in enumerate(rows):
+        lines = t.split("\n")
+        want.add((i, sum(bool(x.strip()) for x in lines), len(gone[r]), "\n".join(x for n, x in enumerate(lines) if n not in gone[r])))
+    got = [tuple(r[c] for c in ("doc_id", "n_lines", "n_removed", "text")) for r in queries.op4_line_dedup(spark, sf).collect()]
+    assert len(got) == len(rows) and set(got) == want
+
+
+def test_line_dedup_of_rows_without_ids_of_their_own(spark):
+    """Each row decides for itself: unique lines stay, and of each component exactly one."""
+    rows = [(None, "a unique sentence of its own", "a"), (None, "the line that is copied", "a"), (3, "the line that is copied", "a"), (5, "only here, and nowhere else", "b"), (5, "THE  line that is copied", "b"), (9, "equal rows", "c"), (9, "equal rows", "c"), (None, "equal nulls", "c"), (None, "equal nulls", "c")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect())
+    want = [("3", rows[2][1]), ("5", ""), ("5", rows[3][1]), ("9", ""), ("9", "equal rows"), ("None", ""), ("None", ""), ("None", rows[0][1]), ("None", "equal nulls")]
+    assert got == sorted(want)
+    named = docs_of(spark, rows).withColumn("n_lines", F.lit(77)).withColumn("row", F.lit("r")).withColumn("c0", F.lit(1))
+    out = line_dedup.dedup_lines(named)
+    assert out.columns == [*named.columns, "_n_lines", "n_removed"]
+    assert {(r["n_lines"], r["_n_lines"], r["row"], r["c0"]) for r in out.collect()} == {(77, 1, "r", 1)}
 
 
-def test_line_dedup_against_brute_force(spark, sf):
-    docs = common.table(spark, sf, "documents")
-    want = brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
-    got = line_dedup.dedup_lines(docs).collect()
-    assert {r["doc_id"]: r["n_removed"] for r in got if r["n_removed"]} == dict(want)
-    by = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for r in got:
-        old, new = by[r["doc_id"]].split("\n"), r["text"].split("\n")
-        rest = iter(old)
-        assert r["text"] == "" or all(any(x == y for y in rest) for x in new)
+@pytest.mark.parametrize("most", [24 << 20, 0])
+def test_line_dedup_with_and_without_broadcasts(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MAX_BROADCAST", most)
+    monkeypatch.setattr(common, "HOT", 0.02)
+    rows = [(i, f"a line that every row has\nline {i} of its own {i * i}\nsome {i % 7} pairs share this one", "s") for i in range(60)]
+    got = sorted((r["doc_id"], r["n_removed"]) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect())
+    gone = brute_lines([(i, t) for i, t, _ in rows])
+    assert got == [(i, len(gone[i])) for i in range(60)]
+
+
+def test_similarities_against_sets():
+    rng = random.Random(4)
+    texts = [minhash.normal("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 300)))) for _ in range(40)] + ["", "é" * 9, "x" * 5000]
+    for shingles in (minhash.Chars(8), minhash.Words(5)):
+        sets = [shingles.of(t) for t in texts]
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(minhash, "CELLS", 700)
+            got = minhash.similarities(minhash.shingle_sets(texts[:20], shingles), minhash.shingle_sets(texts, shingles))
+        assert np.array_equal(got, [[len(a & b) / len(a | b) for b in sets] for a in sets[:20]])
 
 
 def test_line_dedup_of_a_large_family(spark):
@@ -265,8 +357,11 @@ def test_line_dedup_of_a_large_family(spark):
     rng = random.Random(2)
     stem = "the quick brown fox jumps over the lazy dog while seven wizards box quietly at dawn"
     rows = [(i, f"{stem[: rng.randrange(60, 80)]} number {rng.randrange(10_000)}\nUnlike {rng.getrandbits(200)} anything {rng.getrandbits(200)}") for i in range(300)]
-    got = line_dedup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
-    assert {r["doc_id"]: r["n_removed"] for r in got if r["n_removed"]} == dict(brute_lines(rows))
+    for block in (256, 16):  # one block for each bucket, and many
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(minhash, "BLOCK", block)
+            got = line_dedup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in got if r["n_removed"]} == {i: len(x) for i, x in brute_lines(rows).items()}
 
 
 def test_line_dedup_odd_rows(spark):
@@ -345,6 +440,13 @@ def test_byte_bpe_query_and_odd_rows(spark):
 
     path = queries.tokenizer("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
+    at = "/root/testdata/sf0.01"
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = set()
+    for r in common.table(spark, at, "documents").collect():
+        ids = lib.encode(r["text"] or "", add_special_tokens=False).ids
+        want.add((r["doc_id"], len(ids), sha(np.array(ids, "<u4").tobytes()), sha(lib.decode(ids, skip_special_tokens=False).encode())))
+    assert {tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in queries.op6_byte_bpe(spark, at).collect()} == want
     got = byte_bpe.digests(docs_of(spark, ODD), path).collect()
     assert len(got) == len(ODD)
     for i, t, _ in ODD:
@@ -410,6 +512,53 @@ def test_viterbi_against_every_labelling():
         assert value(line_crf.viterbi(s, m)) == pytest.approx(value(best))
 
 
+def test_marginals_and_gradient_against_every_labelling():
+    rng = np.random.default_rng(1)
+    wide = len(line_crf.FEATURES)
+    seqs = [rng.normal(size=(n, wide)) for n in (1, 3, 6)]
+    x, mask = line_crf.padded(seqs)
+    theta = rng.normal(size=wide + 4) * 0.3
+    move = theta[-4:].reshape(2, 2)
+    z, p, both = line_crf.marginals(x, mask, theta)
+    for k, f in enumerate(seqs):
+        every = list(itertools.product((0, 1), repeat=len(f)))
+        value = np.array([sum(f[i] @ theta[:-4] * y[i] for i in range(len(f))) + sum(move[a, b] for a, b in itertools.pairwise(y)) for y in every])
+        prob = np.exp(value) / np.exp(value).sum()
+        assert z[k] == pytest.approx(np.log(np.exp(value).sum()))
+        assert p[k, : len(f)] == pytest.approx(prob @ np.array(every, float)) and not p[k, len(f) :].any()
+        for i in range(len(f) - 1):
+            assert both[k, i].ravel() == pytest.approx([sum(q for q, y in zip(prob, every, strict=True) if (y[i], y[i + 1]) == ab) for ab in itertools.product((0, 1), repeat=2)])
+    y = (rng.random(mask.shape) < 0.5).astype(int) * mask.astype(int)
+
+    def likelihood(t):
+        m, z = t[-4:].reshape(2, 2), line_crf.marginals(x, mask, t)[0]
+        return sum(sum(f[i] @ t[:-4] * y[k, i] for i in range(len(f))) + sum(m[y[k, i], y[k, i + 1]] for i in range(len(f) - 1)) - z[k] for k, f in enumerate(seqs))
+
+    got, step = line_crf.gradient(x, mask, y, theta), 1e-5 * np.eye(wide + 4)
+    assert got == pytest.approx([(likelihood(theta + e) - likelihood(theta - e)) / 2e-5 for e in step], abs=1e-5)
+
+
+def test_labellings_agree_with_the_mark():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7):
+        for good in (True, False):
+            labels, scores, sizes = rng.integers(0, 2, n), rng.normal(size=n), rng.integers(1, 9, n)
+            got = line_crf.agreeing(labels, scores, sizes, good)
+            assert (got @ sizes >= 0.5 * sizes.sum()) == good
+            assert all(g == good for g, l in zip(got, labels, strict=True) if g != l)
+
+
+def test_quality_query_against_its_parts(spark, sf):
+    rows = {r["doc_id"]: r["text"] for r in common.table(spark, sf, "documents").collect()}
+    model = line_crf.train(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
+    got = queries.op8_line_crf(spark, sf).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert len(got) == len(rows)
+    for r in got:
+        assert tuple(r[c] for c in names) == brute_base(rows[r["doc_id"]])
+        assert r["kept"] == (not r["base_failed"] and line_crf.judge(rows[r["doc_id"]], model, 0.5)[1])
+
+
 def test_quality_keeps_good_texts(spark):
     at = "/root/testdata/sf0.01"
     got = queries.op8_line_crf(spark, at).join(common.table(spark, at, "labels"), "doc_id").toPandas()
@@ -422,7 +571,7 @@ def test_quality_keeps_good_texts(spark):
 def test_quality_odd_rows(spark):
     docs = docs_of(spark, ODD)
     model = line_crf.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
-    assert model == line_crf.PRIOR
+    assert not any(model["emit"])
     got = line_crf.quality(docs, model).collect()
     assert len(got) == len(ODD) and {r["n_words"] for r in got if r["doc_id"] in (1, 2, 3)} == {0}
     kept = line_crf.filter_quality(docs, model)

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -22,3 +23,25 @@ def test_query_equals_sql(spark, name, size):
     got, want = queries.QUERIES[name](spark, at).toPandas(), c.execute(queries.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
+
+
+def test_url_verdicts_of_link_graphs_equal_sql(spark, tmp_path):
+    """Chains, hubs and rings of canonical links and refreshes, absolute and relative, null html."""
+    rng = random.Random(9)
+    hosts = ["a.net", "B.net", "www.x.com", "example.org", "y.org"]
+    paths = ["/", "/es/1", "/en/12", "/de/3", "/fr/4", "/p/q/r", "/p/s"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [f"http://hub.net/{i}" for i in range(40)] + [None, "no scheme/es/"]
+    rows = []
+    for i, u in enumerate(urls):
+        html = "<html>text"
+        for to in rng.sample(["/p/s", "s", "//a.net/", *[x for x in urls if x]], rng.randrange(3)) if rng.random() < 0.5 else []:
+            to = rng.choice(["http://hub.net/0", "http://a.net/de/0"]) if "hub" in (u or "") else to
+            html += rng.choice([f'<link rel="canonical" href="{to}">', f"<LINK href='{to}' class=x rel='canonical'>", f'<meta http-equiv="refresh" content="0; url={to}">'])
+        rows.append((i, u, None if i % 11 == 5 else html))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    names = ("page_id", "host", "path", "rule", "verdict")
+    got = queries.QUERIES["op9_urls"](spark, f"file://{tmp_path}").select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(f"select {', '.join(names)} from ({queries.ORACLE_SQL['op9_urls']})").fetchall())
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
