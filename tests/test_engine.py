@@ -141,6 +141,16 @@ def test_page_parse():
     assert pages.parse("http://ex.org/", None) == ("http://ex.org/", "", [])
 
 
+def test_pages_that_are_read(spark):
+    """Content types that are no page, and pages over the limit, are left out; urls are shown short."""
+    rows = [(1, "http://a.org/1", "<p>x</p>", "Text/HTML; charset=utf-8"), (2, "http://a.org/2", "x", "application/pdf"), (3, "http://a.org/3", "x", None), (4, "http://a.org/4", "<p>y</p>", "application/xhtml+xml"), (5, "http://a.org/5", "z" * (pages.MAX_BYTES + 1), "text/html")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, content_type string")
+    assert sorted((r["page_id"], r["content"]) for r in pages.parsed(table).collect()) == [(1, "x"), (4, "y")]
+    shown = {"HTTP://Ex.org:80/a/b?c#d": "ex.org/a/b", "http://ex.org": "ex.org/", "no url": "no url"}
+    got = spark.createDataFrame([(u,) for u in shown], "u string").select("u", urls.display_url(F.col("u")).alias("s")).collect()
+    assert {r["u"]: r["s"] for r in got} == shown
+
+
 def test_crawl_reports(spark):
     link = lambda *to: "<title>t</title><body>word " + "".join(f'<a href="{t}">x</a>' for t in to) + "</body>"
     table = spark.createDataFrame([(1, "http://s.org/", link("/a", "/b", "/a")), (2, "http://s.org/a", link("/c")), (3, "http://s.org/c", link())], "page_id long, url string, html string")

@@ -117,6 +117,7 @@ SQL: dict[str, str] = {
     "page_links": f"with {LINKS} select distinct page_id, link from links",
     "url_normalize": f"with {URLS} select page_id, normal from u1",
     "page_domains": f"with {URLS} select domain, count(*) as pages from u1 group by 1",
+    "page_display_urls": r"""select page_id, case when contains(url, '://') then lower(regexp_extract(url, '://([^/?#:]*)', 1)) || case when regexp_extract(url, '://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '://[^/?#]*([^?#]*)', 1) end else url end as shown from pages""",
     "domain_facets": f"""with {PAGEDOCS}, {toks('pagedocs', 'normal', 'content')},
 distinct_words as (select distinct word from words), {stems('distinct_words')}, hit as (select distinct p.domain, p.normal from words w join stem using (word) join pagedocs p on p.normal = w.document_id where term = 'thing')
 select domain, count(*) as count from hit group by 1 union all select 'all', count(*) from hit""",
@@ -134,7 +135,7 @@ select depth, ord, url, case when here then 'indexed' else 'error' end as outcom
     "highlights": """select doc_id as document_id, regexp_replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;'), '(the|or)', '<mark class="highlight">\\1</mark>', 'gi') as html from documents""",
     "page_url_problems": """with p as (select page_id, url, lower(regexp_extract(url, '^\\s*([A-Za-z][A-Za-z0-9+.-]*):', 1)) as scheme, lower(regexp_extract(url, '(?i)^\\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\\s]+)', 1)) as host from pages)
 select page_id, url, case when url is null or url = '' then 'empty' when scheme = '' then 'format' when scheme not in ('http', 'https') then 'protocol' when host = '' then 'format' when host = 'localhost' or suffix(host, '.local') or suffix(host, '.internal') or suffix(host, '.localhost') then 'host' when regexp_matches(host, '^[0-9]+(\\.[0-9]+){3}$') then 'address' end as problem from p""",
-    "url_problems": "select * from (values ('ftp://example.com', 'protocol'), ('file:///etc/passwd', 'protocol'), ('http://localhost:8080', 'host'), ('http://app.internal/status', 'host'), ('http://printer.local/', 'host'), ('http://[::1]/', 'address'), ('http://10.1.2.3/x', 'address'), ('https://en.wikipedia.org/wiki/Algorithm', null), ('nonsense', 'format'), ('', 'empty')) t(url, problem)",
+    "url_problems": "select * from (values ('ftp://example.com', 'protocol'), ('file:///etc/passwd', 'protocol'), ('http://localhost:8080', 'host'), ('http://app.internal/status', 'host'), ('http://printer.local/', 'host'), ('http://[::1]/', 'address'), ('http://10.1.2.3/x', 'address'), ('http://[fe80::1]/', 'address'), ('http://[::ffff:10.0.0.1]/', 'address'), ('http://[2606:4700::1111]/', null), ('https://en.wikipedia.org/wiki/Algorithm', null), ('nonsense', 'format'), ('', 'empty')) t(url, problem)",
     "blocked_ips": "select k, (ip // 16777216 in (0, 10, 127) or ip // 16777216 between 224 and 239 or ip = 4294967295 or ip // 65536 in (43518, 49320) or ip // 1048576 = 2753 or ip // 4194304 = 401) as blocked from (select o_orderkey as k, (o_orderkey * 2654435761) % 4294967296 as ip from orders)",
     "percentiles": "select cast(quantile_disc(n_chars, 0.99) as bigint) as p99, avg(n_chars) as mean from documents",
 }

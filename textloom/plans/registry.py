@@ -141,12 +141,17 @@ def page_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("domain").agg(F.count(F.lit(1)).alias("pages"))
 
 
+def page_display_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a result shows of its address."""
+    return corpus.read_table(spark, sf_dir, "pages").select("page_id", urls.display_url(F.col("url")).alias("shown"))
+
+
 def domain_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.facets(_page_index(spark, sf_dir).candidates(text.parse_query("things")[0]))
 
 
 def url_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tried = ["ftp://example.com", "file:///etc/passwd", "http://localhost:8080", "http://app.internal/status", "http://printer.local/", "http://[::1]/", "http://10.1.2.3/x", "https://en.wikipedia.org/wiki/Algorithm", "nonsense", ""]
+    tried = ["ftp://example.com", "file:///etc/passwd", "http://localhost:8080", "http://app.internal/status", "http://printer.local/", "http://[::1]/", "http://10.1.2.3/x", "http://[fe80::1]/", "http://[::ffff:10.0.0.1]/", "http://[2606:4700::1111]/", "https://en.wikipedia.org/wiki/Algorithm", "nonsense", ""]
     return spark.createDataFrame([(u,) for u in tried], "url string").select("url", urls.url_problem(F.col("url")).alias("problem"))
 
 
@@ -191,7 +196,7 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES: list[Q] = [
     corpus_count, vocabulary, word_counts, stem_vocab, doc_lengths, postings, term_df, index_stats, candidates, idf, bm25_topk, bm25_page2, phrase_counts, phrase_boost, suggest_prefix, snippets, document_lookup,
-    existing_documents, page_titles, page_text, page_links, url_normalize, page_domains, domain_facets, url_problems, page_url_problems, blocked_ips, percentiles, domain_search, crawl_outcomes, highlights,
+    existing_documents, page_titles, page_text, page_links, url_normalize, page_domains, page_display_urls, domain_facets, url_problems, page_url_problems, blocked_ips, percentiles, domain_search, crawl_outcomes, highlights,
 ]
 QUERIES: dict[str, Q] = {q.__name__: q for q in NAMES}
 ORACLE_SQL: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
