@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,24 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import delete, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as Spark's reader gives it; the path may be in any store Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one if driver and
-    executors are one process (tests); a cluster has to name a folder that all its machines see."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
 
@@ -40,11 +29,9 @@ def scratch(spark: SparkSession) -> str:
 
 
 def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch paths through Hadoop's file systems. A path that is not there is no error."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """Delete scratch paths."""
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, p)
 
 
 def clear(spark: SparkSession) -> None:
