@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -72,6 +74,16 @@ def pieces(b: pa.RecordBatch, text: int, most: int = PIECE) -> Iterator[pa.Recor
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         yield b.slice(at, end - at)
         at = end
+    release()
+
+
+def release() -> None:
+    """Give memory that is free back to the system; workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim:
+            trim(0)
 
 
 #: Bytes that a side of a join may have to be broadcast.
