@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL twins where SQL can express them."""
+"""The registered queries of the operators, and SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, archives, byte_bpe, line_crf, line_dedup, mixing, ranker, repair_ids, simhash, url_rules
+from textloom.llm import ann, archives, byte_bpe, line_crf, line_dedup, mixing, ranker, repair_ids, simhash, substring_dedup, timestamps, url_rules, vector_codes
 from textloom.llm.common import scratch, table
 
 
@@ -78,6 +78,21 @@ def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_ids.read(spark, at).withColumnRenamed("id", "doc_id")
 
 
+def op11_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.normalise(table(spark, sf_dir, "stamps"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.with_label_error(found.codes)
+    return rows.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_archives": op2_archives,
@@ -89,8 +104,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_crf": op8_line_crf,
     "op9_urls": op9_urls,
     "op10_repair_ids": op10_repair_ids,
+    "op11_timestamps": op11_timestamps,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_passages": op13_passages,
 }
 
+def vector_code_sql(rounds: int = 6) -> str:
+    """The rounds one after the other, all parts assigned anew in each."""
+    ctes = [
+        "q as materialized (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(floor(x::double * 4096) as bigint)) as v from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        "p as materialized (select r, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] as x from q, range(8) as parts(part))",
+        "s as (select r, row_number() over (order by vec_id) - 1 as entry from q qualify entry < 16)",
+        "b0 as materialized (select part, entry, x as c from s join p using (r))",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(f"a{k} as materialized (select r, part, any_value(x) as x, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::bigint * 16 + entry) as best from p join b{k} using (part) group by r, part)")
+        ctes.append(f"m{k} as (select part, best % 16 as entry, i, sum(x[i]) as total, count(*) as n from a{k}, range(1, len(x) + 1) as places(i) group by all)")
+        ctes.append(f"n{k} as (select part, entry, list((total - ((total % n + n) % n)) // n order by i)::bigint[] as c from m{k} group by part, entry)")
+        ctes.append(f"b{k + 1} as materialized (select o.part, o.entry, coalesce(n.c, o.c) as c from b{k} o left join n{k} n on o.part = n.part and o.entry = n.entry)")
+    ctes.append(f"books as (select part, entry, unnest(c) as x, unnest(range(len(c))) as i from b{rounds})")
+    ctes.append("digest as (select sha256(string_agg(x::varchar, ',' order by part, entry, i)) as codebooks_sha256 from books)")
+    ctes.append(f"e as (select r, string_agg(lower(printf('%02x', best % 16)), '' order by part) as code, sum(best // 16)::bigint as error from a{rounds} group by r)")
+    return f"with {', '.join(ctes)} select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from e join q using (r), digest"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": r"""
 with sizes as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5(coalesce(text, '')) as mark from documents),
@@ -142,5 +179,39 @@ passed as (select r.a as node, case when bool_or(v = 'allow') then 'allow' else
 own as (select page_id, host, path, html, url, lower(origin) || substr(bare, length(origin) + 1) as node from named)
 select s.page_id, s.host, s.path, f.rule, coalesce(f.v, d.v, 'allow') as verdict
 from s left join (select distinct url, node from own) o on s.url = o.url left join (select distinct url, rule, v from fit) f on s.url = f.url left join passed d on o.node = d.node
+""",
+    "op11_timestamps": r"""
+with s as (select stamp_id, source, zone, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as x from stamps),
+g as (select *, regexp_extract(x, '^(?:(20[0-9][0-9])-([0-9]{2})-([0-9]{2})|(20[0-9][0-9])([0-9]{2})([0-9]{2})|([0-9]{2})\.([0-9]{2})\.(20[0-9][0-9])|([0-9]{2}) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (20[0-9][0-9])|([0-9]{2})/([0-9]{2})/(20[0-9][0-9]))([T\x20]([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?(?:\x20?([AP])M)?(?:\x20?(?:(Z)|([+-])([0-9]{2}):?([0-9]{2})))?)?$',
+    ['y1', 'm1', 'd1', 'y2', 'm2', 'd2', 'd3', 'm3', 'y3', 'd4', 'b4', 'y4', 'p5', 'q5', 'y5', 'tail', 'h', 'mi', 'se', 'ap', 'z', 'sign', 'oh', 'om']) as f from s),
+n as (select stamp_id, source, zone, x, f.p5 <> '' as slashed, f.y1 || f.y2 || f.y3 || f.y4 || f.y5 as y,
+    f.m1 || f.m2 || f.m3 || f.p5 || case when f.b4 = '' then '' else lpad(cast((strpos('JanFebMarAprMayJunJulAugSepOctNovDec', f.b4) + 2) // 3 as varchar), 2, '0') end as m, f.d1 || f.d2 || f.d3 || f.d4 || f.q5 as d,
+    coalesce(try_cast(f.h as integer), 0) as h, coalesce(try_cast(f.mi as integer), 0) as mi, coalesce(try_cast(f.se as integer), 0) as se, f.ap as ap, f.z <> '' or f.sign <> '' as fixed,
+    case f.sign when '-' then -1 else 1 end * (coalesce(try_cast(f.oh as integer), 0) * 60 + coalesce(try_cast(f.om as integer), 0)) as off_minutes, coalesce(try_cast(f.oh as integer), 0) <= 14 and coalesce(try_cast(f.om as integer), 0) <= 59 as off_ok from g),
+c as (select *, case when off_ok and mi <= 59 and se <= 59 and (case when ap = '' then h <= 23 else h between 1 and 12 end) then try_cast(y || '-' || m || '-' || d as date) end as one,
+    case when slashed and off_ok and mi <= 59 and se <= 59 and (case when ap = '' then h <= 23 else h between 1 and 12 end) then try_cast(y || '-' || d || '-' || m as date) end as two,
+    ((case when ap = '' then h else h % 12 + case ap when 'P' then 12 else 0 end end * 60 + mi - off_minutes) * 60 + se) * 1000000::bigint as clock from n),
+v as (select source, count(*) filter (where slashed and one is null and two is not null) as dayfirst, count(*) filter (where slashed and two is null and one is not null) as monthfirst from c group by 1),
+k as (select stamp_id, zone, fixed or regexp_full_match(x, '[0-9]{10}|[0-9]{13}') as fixed,
+    case when regexp_full_match(x, '[0-9]{10}|[0-9]{13}') then 'epoch' when coalesce(one, two) is null then 'bad' when one <> two then case when dayfirst > 3 * monthfirst or monthfirst > 3 * dayfirst then 'votes' else 'default' end else 'plain' end as rule,
+    case when regexp_full_match(x, '[0-9]{10}') then x::bigint * 1000000 when regexp_full_match(x, '[0-9]{13}') then x::bigint * 1000
+        else epoch_us(case when one <> two and dayfirst > 3 * monthfirst then two else coalesce(one, two) end::timestamp) + clock end as wall
+    from c left join v on c.source is not distinct from v.source),
+o as (select *, wall - (epoch_us(timezone(zone, make_timestamptz(wall - 129600000000))) - (wall - 129600000000)) as before, wall - (epoch_us(timezone(zone, make_timestamptz(wall + 129600000000))) - (wall + 129600000000)) as after from k),
+w as (select *, epoch_us(timezone(zone, make_timestamptz(before))) = wall as fits_before, epoch_us(timezone(zone, make_timestamptz(after))) = wall as fits_after from o)
+select stamp_id, case when rule = 'bad' then null when fixed then wall when before = after or fits_before or not fits_after then before else after end as utc_us, rule,
+    rule <> 'bad' and (rule in ('votes', 'default') or (not fixed and before <> after and fits_before = fits_after)) as ambiguous
+from w
+""",
+    "op12_vector_codes": vector_code_sql(),
+    "op13_passages": r"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select doc_id, ws, unnest(range(1, len(ws) - 48)) as pos from t where len(ws) >= 50),
+h as (select doc_id, pos, md5(array_to_string(ws[pos : pos + 49], ' ')) as h from w),
+l as (select h, min(doc_id) as least from h group by 1),
+c as (select distinct doc_id, pos + k as place from h join l using (h), range(50) as r(k) where least < doc_id),
+p as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as place from t),
+j as (select p.doc_id, string_agg(p.word, ' ' order by p.place) as kept, count(*) as n from p left join c on p.doc_id = c.doc_id and p.place = c.place where c.place is null group by 1)
+select t.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(j.n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t left join j using (doc_id)
 """,
 }
