@@ -44,7 +44,7 @@ def get_stats(index: Index, documents: DataFrame) -> DataFrame:
 
 def get_suggestions(index: Index, q: str | None, limit=None) -> dict:
     q = (q or "").strip()
-    rows = searching.suggest(index.vocabulary(), q, whole(limit, 5)).collect() if q else []
+    rows = searching.complete(index, q, whole(limit, 5)).collect() if q else []
     return {"query": q, "suggestions": [r["word"] for r in rows]}
 
 

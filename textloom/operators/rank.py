@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.index import Index
+from textloom.operators.index import Index, domain_of, impact
 
-K1, B = 1.5, 0.75
 PHRASE_WEIGHT, PHRASE_PENALTY = 2.5, 0.1
 #: Results that are ranked at most, and rows of a page at most.
 MAX_RANKED, MAX_PAGE = 200, 50
@@ -21,47 +18,71 @@ def idf(index: Index, terms: list[str]) -> DataFrame:
     return index.document_frequencies(terms).crossJoin(F.broadcast(index.corpus())).select("term", "df", value.alias("idf"))
 
 
+def weights(index: Index, terms: list[str]) -> DataFrame:
+    """``(term, idf, avgdl)``, a row a query term."""
+    return idf(index, terms).crossJoin(F.broadcast(index.corpus().select("avgdl"))).select("term", "idf", "avgdl")
+
+
+def part(tf: Column, doc_len: Column) -> Column:
+    """What a term adds to a document's score; rows have ``idf`` and ``avgdl``."""
+    return impact(tf, doc_len, F.col("avgdl")) * F.col("idf")
+
+
 def bm25(index: Index, terms: list[str]) -> DataFrame:
-    """``(document_id, score)`` of every document that holds a term. Term rows and the corpus row are
-    broadcast; document lengths are joined by document, and scores summed without a further
-    exchange on the same key."""
-    weights = F.broadcast(idf(index, terms).crossJoin(F.broadcast(index.corpus().select("avgdl"))))
-    rows = index.term_frequencies(terms).join(weights, "term").join(index.doc_lengths, "document_id")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl"))
-    part = F.when(F.col("doc_len") > 0, F.col("tf") * (K1 + 1) * F.col("idf") / norm).otherwise(0.0)
-    return rows.groupBy("document_id").agg(F.sum(part).alias("score"))
+    """``(document_id, score)`` of every document that holds a term."""
+    return _summed(index.postings(terms).join(F.broadcast(weights(index, terms)), "term"), [])
 
 
-def phrase_matches(index: Index, phrase: list[str]) -> DataFrame:
-    """``(document_id, matches)``: places where the phrase's tokens follow each other, overlaps
-    included. Each position is moved back by its place in the phrase; a start that collects every
-    place is a match. Phrases of fewer than two tokens match nowhere."""
-    if len(phrase) < 2:
-        return index.doc_lengths.select("document_id", F.lit(0).cast("long").alias("matches")).limit(0)
-    places = F.create_map(*(x for t in dict.fromkeys(phrase) for x in (F.lit(t), F.array(*(F.lit(j) for j, p in enumerate(phrase) if p == t)))))
-    rows = index.term_positions(list(dict.fromkeys(phrase))).select("document_id", "pos", F.explode(places[F.col("term")]).alias("j"))
-    starts = rows.groupBy("document_id", (F.col("pos") - F.col("j")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    return starts.where(F.col("n") == len(phrase)).groupBy("document_id").agg(F.count(F.lit(1)).alias("matches"))
-
-
-def with_phrases(index: Index, scores: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """Scores raised by all matches if every phrase occurs, else lowered to a tenth."""
+def matches(places: Column, phrase: Column) -> Column:
+    """How often the phrase's tokens follow each other, overlaps included, in one document: places is a
+    map from a term to its positions. The positions of each token are moved back by its place in the
+    phrase; what is common to all of them are the starts. Fewer than two tokens match nowhere."""
+    at = lambda j: F.transform(F.coalesce(F.try_element_at(places, F.element_at(phrase, j)), F.array().cast("array<int>")), lambda p: p - j + 1)
+    rest = F.sequence(F.lit(2), F.size(phrase))
+    starts = F.aggregate(rest, at(F.lit(1)), lambda found, j: F.array_intersect(found, at(j)))
+    return F.when(F.size(phrase) >= 2, F.size(starts)).otherwise(0).cast("long")
+
+
+def boosted(score: Column, counts: list[Column] | Column) -> Column:
+    """A score raised by all matches if every phrase occurs, else lowered to a tenth; counts: a column a
+    phrase, or an array of them."""
+    counts = F.array(*counts) if isinstance(counts, list) else counts
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+    return F.when(F.size(counts) == 0, score).when(F.forall(counts, lambda c: c > 0), score * (1 + PHRASE_WEIGHT * total)).otherwise(score * PHRASE_PENALTY)
+
+
+def _summed(rows: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """Scores of postings with their weights, by document, in one exchange: phrases are looked for among
+    the positions that the same exchange brings together."""
+    score = F.sum(part(F.col("tf"), F.col("doc_len"))).alias("score")
     if not phrases:
-        return scores
-    names = [f"__m{i}" for i in range(len(phrases))]
-    for name, phrase in zip(names, phrases, strict=True):
-        scores = scores.join(phrase_matches(index, phrase).withColumnRenamed("matches", name), "document_id", "left")
-    counts = [F.coalesce(F.col(n), F.lit(0)) for n in names]
-    total, every = reduce(lambda a, b: a + b, counts), reduce(lambda a, b: a & b, (c > 0 for c in counts))
-    return scores.select("document_id", F.when(every, F.col("score") * (1 + PHRASE_WEIGHT * total)).otherwise(F.col("score") * PHRASE_PENALTY).alias("score"))
-
-
-def rank(index: Index, terms: list[str], phrases: list[list[str]] = (), subset: DataFrame | None = None) -> DataFrame:
-    """``(document_id, score)`` with a score over 0, of the subset's documents if one is given."""
-    scores = bm25(index, terms)
+        return rows.groupBy("document_id").agg(score)
+    needed = F.col("term").isin(*sorted({t for p in phrases for t in p}))
+    places = F.map_from_entries(F.collect_list(F.when(needed, F.struct("term", "positions")))).alias("places")
+    found = rows.groupBy("document_id").agg(score, places)
+    counts = [matches(F.col("places"), F.array(*map(F.lit, p))) for p in phrases]
+    return found.select("document_id", boosted(F.col("score"), counts).alias("score"))
+
+
+def phrase_matches(index: Index, phrase: list[str]) -> DataFrame:
+    """``(document_id, matches)`` of documents that hold the phrase."""
+    rows = index.postings(list(dict.fromkeys(phrase)))
+    places = F.map_from_entries(F.collect_list(F.struct("term", "positions")))
+    found = rows.groupBy("document_id").agg(places.alias("places"))
+    return found.select("document_id", matches(F.col("places"), F.array(*map(F.lit, phrase))).alias("matches")).where("matches > 0")
+
+
+def rank(index: Index, terms: list[str], phrases: list[list[str]] = (), subset: DataFrame | None = None, domain: str | None = None) -> DataFrame:
+    """``(document_id, score)`` with a score over 0, of the subset's documents if one is given, or of a
+    domain's. Postings hold their document's length, so they meet the weights, which are broadcast, and
+    then each other by document."""
+    rows = index.postings(terms)
+    if domain is not None:
+        rows = rows.where(domain_of(rows) == domain)
     if subset is not None:
-        scores = scores.join(subset.select("document_id"), "document_id", "left_semi")
-    return with_phrases(index, scores, list(phrases)).where("score > 0")
+        rows = rows.join(subset.select("document_id").distinct(), "document_id", "left_semi")
+    rows = rows.join(F.broadcast(weights(index, terms)), "term")
+    return _summed(rows, list(phrases)).where("score > 0")
 
 
 def order() -> list:
@@ -78,7 +99,12 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 
 def numbered(scores: DataFrame, k: int) -> DataFrame:
     """The k best with their rank from 1; only those rows are numbered."""
-    return top(scores, k).withColumn("rank", F.row_number().over(Window.orderBy(*order())))
+    return ordered(top(scores, k))
+
+
+def ordered(best: DataFrame) -> DataFrame:
+    """A few best rows with their rank from 1."""
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order())))
 
 
 def page_bounds(total: int, page: int, limit: int) -> tuple[int, int, int, int]:

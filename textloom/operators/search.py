@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import text, urls
+from textloom.functions import text
 from textloom.operators import rank
-from textloom.operators.index import Index
+from textloom.operators.index import Index, domain_of
+from textloom.sources.keyed import Keyed
 
 
 @dataclass
@@ -29,8 +30,7 @@ class Response:
 def facets(candidates: DataFrame) -> DataFrame:
     """``(domain, count)`` of candidates by domain, and ``all`` of them, if only 0; before any domain
     filter. Both come from one read; a domain named ``all`` is added to the total's row."""
-    domain = urls.domain(F.col("document_id").cast("string"))
-    rows = candidates.select(F.explode(F.array(F.lit("all"), domain)).alias("domain"))
+    rows = candidates.select(F.explode(F.array(F.lit("all"), domain_of(candidates))).alias("domain"))
     counts = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("count"))
     none = candidates.sparkSession.range(1).select(F.lit("all").alias("domain"), F.lit(0).cast("long").alias("count"))
     return counts.unionByName(none).groupBy("domain").agg(F.sum("count").alias("count"))
@@ -41,12 +41,15 @@ def in_domain(candidates: DataFrame, target: str | None) -> DataFrame:
     ``www.`` is not taken off."""
     if not target or target == "all":
         return candidates
-    return candidates.where(urls.domain(F.col("document_id").cast("string")) == target.lower())
+    return candidates.where(domain_of(candidates) == target.lower())
 
 
-def enrich(page: DataFrame, documents: DataFrame, query: str) -> DataFrame:
-    """A page's rows with title and snippet; the page, which has at most MAX_RANKED rows, is
-    broadcast to the documents. A document that is gone has neither."""
+def enrich(page: DataFrame, documents: DataFrame | Keyed, query: str) -> DataFrame:
+    """A page's rows with title and snippet; a document that is gone has neither. The page has at most
+    MAX_RANKED rows: in a keyed store its documents are looked up, else it is broadcast to them."""
+    if isinstance(documents, Keyed):
+        page = page.sparkSession.createDataFrame(page.collect(), page.schema)
+        documents = documents.find([r["document_id"] for r in page.select("document_id").collect()])
     page = F.broadcast(page)
     title = F.col("title") if "title" in documents.columns else F.lit(None).cast("string")
     docs = documents.select(F.col("document_id").alias("__id"), title.alias("__title"), "content")
@@ -56,14 +59,14 @@ def enrich(page: DataFrame, documents: DataFrame, query: str) -> DataFrame:
     return rows.select("rank", "document_id", name.alias("title"), "score", F.when(F.col("__id").isNotNull(), text.snippet(F.col("content"), F.lit(query))).alias("snippet"))
 
 
-def search(index: Index, documents: DataFrame, query: str, page: int = 1, limit: int = 10, domain: str | None = "all") -> Response:
+def search(index: Index, documents: DataFrame | Keyed, query: str, page: int = 1, limit: int = 10, domain: str | None = "all") -> Response:
     """Terms of the whole query find candidates, quoted phrases rank them, facets count them all."""
     terms, phrases = text.parse_query(query)
-    found = index.candidates(terms)
+    found = index.hits(terms)
     chosen = in_domain(found, domain)
     total = chosen.count()
     page, limit, pages, ranked = rank.page_bounds(total, page, limit)
-    scores = rank.rank(index, terms, phrases, None if chosen is found else chosen)
+    scores = rank.rank(index, terms, phrases, domain=None if chosen is found else domain.lower())
     rows = rank.numbered(scores, ranked).where((F.col("rank") > (page - 1) * limit) & (F.col("rank") <= page * limit))
     return Response(query, total, page, limit, pages, domain or "all", facets(found), enrich(rows, documents, query))
 
@@ -78,10 +81,22 @@ def suggest(vocabulary: DataFrame, prefix: str | None, n: int = 5) -> DataFrame:
     return rows.where(F.col("word").startswith(prefix)).orderBy(F.col("frequency").desc(), "word").limit(n)
 
 
-def document(documents: DataFrame, index: Index, document_id) -> DataFrame:
-    """A stored document with the number of its tokens, 0 if it is not indexed."""
+def complete(index: Index, prefix: str | None, n: int = 5) -> DataFrame:
+    """suggest() from an index, which may have stored each prefix's best words."""
+    prefix = (prefix or "").strip().lower()
+    return index.suggestions(prefix, n) if prefix and n >= 1 else index.vocabulary().limit(0)
+
+
+def document(documents: DataFrame | Keyed, index: Index, document_id) -> DataFrame:
+    """A stored document with the number of its tokens, 0 if it is not indexed. A keyed store knows that
+    number and opens the files that may hold the document."""
+    length = F.coalesce("doc_len", F.lit(0)).cast("long")
+    if isinstance(documents, Keyed):
+        one = documents.find([document_id])
+        return one.withColumn("token_length", length).drop("doc_len")
     one = documents.where(F.col("document_id") == document_id)
-    return one.join(index.doc_lengths, "document_id", "left").withColumn("token_length", F.coalesce("doc_len", F.lit(0)).cast("long")).drop("doc_len")
+    lengths = index.doc_lengths.where(F.col("document_id") == document_id)
+    return one.join(lengths, "document_id", "left").withColumn("token_length", length).drop("doc_len")
 
 
 def stats(index: Index, documents: DataFrame) -> DataFrame:

@@ -66,6 +66,27 @@ def phrase(words: list[str], name: str) -> str:
     return f"{name} as (select t0.document_id, count(*) as matches from terms t0 {joins} where t0.term = '{words[0]}' group by 1)"
 
 
+def batch_sql(query: str, phrase_words: str) -> str:
+    """The ten best documents for each query of the benchmark; query and phrase_words are SQL for the words of
+    the query and of its one phrase, which may be too short to be one."""
+    split = lambda x: f"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 1 and w not in ({STOPS}))"
+    return f"""with {toks()}, b0 as (select item_id as query_id, {split(query)} as ws, {split(phrase_words)} as ps from benchmark),
+distinct_words as (select distinct word from words union select unnest(ws) from b0 union select unnest(ps) from b0), {stems('distinct_words')},
+terms as (select document_id, pos, term from words join stem using (word)),
+asked as (select distinct query_id, term from (select query_id, unnest(ws) as word from b0) join stem using (word)),
+tf as (select term, document_id, count(*) as tf from terms group by 1, 2),
+corpus as (select count(*) as n, avg(len(ws)) as avgdl from toks),
+idf as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, corpus group by term, n),
+scores as (select query_id, document_id, sum(tf * 2.5 * idf / (tf + 1.5 * (0.25 + 0.75 * len(ws) / avgdl))) as score from asked join tf using (term) join idf using (term) join toks using (document_id), corpus group by 1, 2),
+quoted as (select query_id, len(ps) as m, unnest(ps) as word, unnest(range(len(ps))) as j from b0 where len(ps) > 1),
+starts as (select query_id, document_id, pos - j as start from quoted join stem using (word) join terms using (term) group by query_id, m, document_id, pos - j having count(*) = m),
+pairs as (select distinct query_id from quoted),
+found as (select query_id, document_id, count(*) as hits from starts group by 1, 2),
+boosted as (select s.query_id, s.document_id, case when p.query_id is null then score when hits > 0 then score * (1 + 2.5 * hits) else score * 0.1 end as score from scores s left join pairs p using (query_id) left join found f on f.query_id = s.query_id and f.document_id = s.document_id),
+best as (select *, row_number() over (partition by query_id order by round(score, 9) desc, document_id) as rank from boosted where score > 0)
+select query_id, rank, document_id, round(score, 6) as score from best where rank <= 10"""
+
+
 RANKED = "ranked as (select document_id, score, row_number() over (order by round(score, 9) desc, document_id) as rank from scores where score > 0)"
 BODY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*?<body[^>]*>', ''), '(?s)</body>.*$', ''), '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>', '', 'g'), '(?s)<div class="ad">.*?</div>', '', 'g'), '<[^>]*>', '', 'g'), '$', '')"""
 
@@ -109,6 +130,10 @@ SQL: dict[str, str] = {
     "phrase_counts": f"{INDEX}, {phrase(['nd', 'nd'], 'p')} select document_id, matches from p",
     "phrase_boost": f"{INDEX}, {bm25(['reat', 'er', 'ther', 'en'])}, {phrase(['reat', 'er'], 'p')}, {phrase(['ther', 'en'], 'q')}, boosted as (select s.document_id, case when p.matches > 0 and q.matches > 0 then score * (1 + 2.5 * (p.matches + q.matches)) else score * 0.1 end as score from scores s left join p using (document_id) left join q using (document_id)), best as (select document_id, score, row_number() over (order by round(score, 9) desc, document_id) as rank from boosted where score > 0) select rank, document_id, round(score, 6) as score from best where rank <= 20",
     "suggest_prefix": f"with {toks()} select word, count(*) as frequency from words where word like 'th%' group by 1 order by 2 desc, 1 limit 5",
+    "completions": f"with {toks()}, v as (select word, count(*) as frequency from words group by 1), p as (select word, frequency, unnest(range(1, least(length(word), 24) + 1)) as n from v), r as (select substr(word, 1, n) as prefix, word, frequency, row_number() over (partition by substr(word, 1, n) order by frequency desc, word) as rank from p) select prefix, rank, word, frequency from r where rank <= 5",
+    "bounded_topk": f"{INDEX}, {bm25(['thing', 'heon'])}, {RANKED} select rank, document_id, round(score, 6) as score from ranked where rank <= 10",
+    "batch_search": batch_sql("text", "''"),
+    "batch_phrases": batch_sql("array_to_string(string_split(text, ' ')[1:6], ' ')", "array_to_string(string_split(text, ' ')[3:4], ' ')"),
     "snippets": f"select doc_id as document_id, {snippet('text', ['thing', 'eau'])} as snippet from documents",
     "document_lookup": f"with {toks()} select d.doc_id as document_id, d.text as content, cast(coalesce(len(t.ws), 0) as bigint) as token_length from documents d left join toks t on d.doc_id = t.document_id where d.doc_id = 42",
     "existing_documents": "select doc_id as document_id from documents where doc_id in (3, 5, 100000000)",

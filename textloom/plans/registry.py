@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text, urls
-from textloom.operators import crawl, index, pages, rank, search
+from textloom.operators import batch, bounded, crawl, index, pages, rank, search
 from textloom.plans.oracle import SQL
 from textloom.sources import corpus
 
 #: Terms of the sample query; they stem to themselves but for "inties".
 QUERY = "blend inti ist"
+#: Words that many documents hold.
+FREQUENT = "thing heon"
 Q = Callable[[SparkSession, str], DataFrame]
 
 
@@ -86,7 +88,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of results, with titles and snippets."""
-    rows = search.search(_index(spark, sf_dir), corpus.documents(spark, sf_dir), QUERY, page=2, limit=7).results
+    built = _index(spark, sf_dir)
+    rows = search.search(built, built.keyed, QUERY, page=2, limit=7).results
     return rows.select(F.col("rank").cast("long").alias("rank"), "document_id", "title", F.round("score", 6).alias("score"), "snippet")
 
 
@@ -99,7 +102,38 @@ def phrase_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.suggest(_index(spark, sf_dir).vocabulary(), " TH", 5)
+    return search.complete(_index(spark, sf_dir), " TH", 5)
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best words of every prefix that has any, as the stored lists have them."""
+    rows = _index(spark, sf_dir).stored["completions"].where("rank <= 5")
+    return rows.select("prefix", F.col("rank").cast("long").alias("rank"), "word", "frequency")
+
+
+def bounded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for two frequent words, from the postings that bounds leave."""
+    return _shown(rank.ordered(bounded.top(_index(spark, sf_dir), text.parse_query(FREQUENT)[0], 10).rows))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _answers(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", F.col("rank").cast("long").alias("rank"), "document_id", F.round("score", 6).alias("score"))
+
+
+def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each text of the benchmark, taken as a query."""
+    return _answers(batch.search(_index(spark, sf_dir), _asked(spark, sf_dir), 10))
+
+
+def batch_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the first six words of each text, of which the third and fourth are a phrase."""
+    w = F.split("query", " ")
+    query = F.concat_ws(" ", w[0], w[1], F.concat(F.lit('"'), w[2], F.lit(" "), w[3], F.lit('"')), w[4], w[5])
+    return _answers(batch.search(_index(spark, sf_dir), _asked(spark, sf_dir).select("query_id", query.alias("query")), 10))
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +143,8 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document by its id, with its length from the index of all documents."""
-    return search.document(corpus.documents(spark, sf_dir), _index(spark, sf_dir), 42)
+    built = _index(spark, sf_dir)
+    return search.document(built.keyed, built, 42)
 
 
 def existing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +213,8 @@ def domain_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = corpus.read_table(spark, sf_dir, "pages")
     domains = table.where("url is not null").groupBy(urls.domain(F.col("url")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
     most = domains.orderBy(F.desc("n"), "d").first()["d"]
-    rows = search.search(_page_index(spark, sf_dir), pages.corpus(table), "en er ou tion", domain=most.upper()).results
+    built = _page_index(spark, sf_dir)
+    rows = search.search(built, built.keyed, "en er ou tion", domain=most.upper()).results
     return rows.select(F.col("rank").cast("long").alias("rank"), "document_id", "title", F.round("score", 6).alias("score"), "snippet")
 
 
@@ -195,7 +231,7 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES: list[Q] = [
-    corpus_count, vocabulary, word_counts, stem_vocab, doc_lengths, postings, term_df, index_stats, candidates, idf, bm25_topk, bm25_page2, phrase_counts, phrase_boost, suggest_prefix, snippets, document_lookup,
+    corpus_count, vocabulary, word_counts, stem_vocab, doc_lengths, postings, term_df, index_stats, candidates, idf, bm25_topk, bm25_page2, phrase_counts, phrase_boost, suggest_prefix, completions, bounded_topk, batch_search, batch_phrases, snippets, document_lookup,
     existing_documents, page_titles, page_text, page_links, url_normalize, page_domains, page_display_urls, domain_facets, url_problems, page_url_problems, blocked_ips, percentiles, domain_search, crawl_outcomes, highlights,
 ]
 QUERIES: dict[str, Q] = {q.__name__: q for q in NAMES}

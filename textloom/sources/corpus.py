@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.operators.index import Index, build
+from textloom.functions.text import tokens
+from textloom.operators.index import Index, bounds, completions, forward, inverted
 from textloom.sources import shared
+from textloom.sources.keyed import ROW_GROUP, Keyed
 
 SCHEMA = T.StructType(
     [
@@ -25,6 +28,10 @@ SCHEMA = T.StructType(
 )
 
 
+#: Stored indexes of another format are not read; to be raised when the tables of an index change.
+FORMAT = 3
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,21 +59,90 @@ def new_rows(store: DataFrame, rows: DataFrame, order: str = "ord") -> tuple[Dat
     return marked.where(fresh).drop("__old", "__n"), marked.where(~fresh).drop("__old", "__n")
 
 
-def insert(spark: SparkSession, path: str, rows: DataFrame, order: str = "ord") -> None:
-    """Append new documents with their times; duplicates are left out."""
-    now = F.current_timestamp()
-    there = shared.exists(spark, path)
-    store = spark.read.schema(SCHEMA).parquet(path) if there else spark.createDataFrame([], SCHEMA)
-    fresh, _ = new_rows(store, rows, order)
-    full = fresh.select("document_id", "title", "content", "url", now.alias("indexed_at"), now.alias("created_at"), now.alias("updated_at"))
-    full.write.mode("append").parquet(path)
+def _finish(spark: SparkSession, path: str) -> int:
+    """Put the files of the last commit in their place, if whoever made it did not come to it, and say its
+    number; 0 before the first."""
+    done = shared.names(spark, f"{path}/_commits")
+    if not done:
+        return 0
+    for name in filter(None, shared.read_text(spark, f"{path}/_commits/{done[-1]}").split("\n")):
+        shared.move(spark, f"{path}/_staged/{name}", f"{path}/{name.rpartition('/')[2]}")
+    return int(done[-1])
+
+
+def insert(spark: SparkSession, path: str, rows: DataFrame, order: str = "ord") -> int:
+    """Append new documents with their times; duplicates are left out. Says how often it had to start again.
+
+    Rows are compared with the store as it is after a commit, written aside, and become the next commit,
+    a small file of their files' names. Its number can be taken once: who comes second, compares
+    again with what the first one stored, so a document is never stored twice. Then the files are
+    moved in, by the one who committed, or by the next one if that one is lost.
+    """
+    again = 0
+    while True:
+        number = _finish(spark, path)
+        there = [n for n in shared.names(spark, path) if n[0] not in "._"]
+        store = spark.read.schema(SCHEMA).parquet(path) if there else spark.createDataFrame([], SCHEMA)
+        now = F.current_timestamp()
+        fresh, _ = new_rows(store, rows, order)
+        full = fresh.select("document_id", "title", "content", "url", now.alias("indexed_at"), now.alias("created_at"), now.alias("updated_at"))
+        own = uuid.uuid4().hex
+        full.write.parquet(f"{path}/_staged/{own}")
+        files = [f"{own}/{n}" for n in shared.names(spark, f"{path}/_staged/{own}") if n.startswith("part-")]
+        shared.make_dir(spark, f"{path}/_commits")
+        if shared.publish(spark, f"{path}/_commits/{number + 1:012d}", "\n".join(files)):
+            _finish(spark, path)
+            shared.delete(spark, f"{path}/_staged/{own}")
+            return again
+        shared.delete(spark, f"{path}/_staged/{own}")
+        again += 1
+
+
+def write_tables(spark: SparkSession, documents: DataFrame, at: str) -> None:
+    """The tables of an index of ``(document_id, content)`` under one path. The texts are read once, for the
+    forward rows; everything else is made of those, of which each table reads its columns."""
+    forward(documents).write.parquet(f"{at}/forward")
+    write_postings(spark, at)
+    rows = spark.read.parquet(f"{at}/forward")
+    df = spark.read.parquet(f"{at}/bounds").groupBy("term").agg(F.sum("n").alias("df"))
+    words = rows.select(F.explode("words").alias("w")).groupBy("w.word").agg(F.sum("w.n").alias("frequency"))
+    write_counts(at, df, words, rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total")))
+
+
+def write_postings(spark: SparkSession, at: str) -> None:
+    """Postings and bounds of the forward rows at the path, and the ranges of these rows' numbers."""
+    rows = Keyed(spark, at, "docno", "forward").measure().rows()
+    avgdl = rows.agg(F.avg("doc_len")).first()[0] or 0.0
+    order = ("term", "level", "docno")
+    inverted(rows, avgdl).repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP).parquet(f"{at}/postings")
+    found = bounds(spark.read.parquet(f"{at}/postings"), avgdl)
+    found.repartitionByRange("term", "level").sortWithinPartitions("term", "level").write.parquet(f"{at}/bounds")
+
+
+def write_counts(at: str, frequencies: DataFrame, vocabulary: DataFrame, totals: DataFrame) -> None:
+    """``(term, df)``, ``(word, frequency)`` and ``(n, total)`` under the path."""
+    frequencies.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/frequencies")
+    vocabulary.repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{at}/vocabulary")
+    totals.write.parquet(f"{at}/corpus")
+
+
+def write_completions(spark: SparkSession, at: str) -> None:
+    """Each prefix's best words, from the vocabulary at the path."""
+    made = completions(spark.read.parquet(f"{at}/vocabulary"))
+    made.repartitionByRange("prefix").sortWithinPartitions("prefix", "rank").write.option("parquet.block.size", ROW_GROUP).parquet(f"{at}/completions")
 
 
 class Snapshots:
     """Index versions under one folder. A build writes a new version, postings sorted by term and the
     vocabulary by word, so that other row groups are skipped; last it creates an empty file whose
     name is the version. The greatest name counts: readers see the old version or the new one,
-    never a part, and never none."""
+    never a part, and never none. One rebuild runs at a time: it holds a lease, a file that names its
+    holder; versions that no reader needs any more are deleted after it."""
+
+    #: Versions that are kept, for readers that opened one before the last rebuild.
+    KEPT = 2
+    #: Seconds after which a lease that was not given back, nor renewed, no longer counts.
+    LEASE = 3600.0
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -75,39 +151,96 @@ class Snapshots:
         number = int((shared.names(self.spark, f"{self.root}/current") or ["0"])[-1].partition("-")[0]) + 1
         shared.touch(self.spark, f"{self.root}/current/{number:012d}-{version}")
 
-    def rebuild(self, store: DataFrame) -> str:
+    def rebuilding(self) -> bool:
+        """Whether a rebuild is under way."""
+        age = shared.age(self.spark, f"{self.root}/lease")
+        return age is not None and age <= self.LEASE
+
+    def _take_lease(self, own: str) -> bool:
+        shared.make_dir(self.spark, self.root)
+        if shared.publish(self.spark, f"{self.root}/lease", own):
+            return True
+        if self.rebuilding():
+            return False
+        # its holder is lost: who can rename the old lease away is alone in doing so
+        stale = f"{self.root}/stale-{own}"
+        try:
+            shared.move(self.spark, f"{self.root}/lease", stale)
+        except OSError:
+            return False
+        shared.delete(self.spark, stale)
+        return shared.publish(self.spark, f"{self.root}/lease", own)
+
+    def _holds(self, own: str) -> bool:
+        return shared.age(self.spark, f"{self.root}/lease") is not None and shared.read_text(self.spark, f"{self.root}/lease") == own
+
+    def rebuild(self, store: DataFrame) -> str | None:
+        """A new version of all documents ``(document_id, content, ...)``, or nothing where a rebuild is
+        under way. An error leaves the old version in place, and so does a lease that ran out."""
         version = uuid.uuid4().hex
         at = f"{self.root}/{version}"
-        index = build(store)
-        index.postings().repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.parquet(f"{at}/postings")
-        index.doc_lengths.write.parquet(f"{at}/doc_lengths")
-        index.words().write.parquet(f"{at}/words")
-        words = self.spark.read.parquet(f"{at}/words").groupBy("word").agg(F.sum("n").alias("frequency"))
-        words.repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{at}/vocabulary")
-        index.documents.write.parquet(f"{at}/documents")
-        self._point(version)
+        if not self._take_lease(version):
+            return None
+        try:
+            write_tables(self.spark, scan(store), at)
+            write_completions(self.spark, at)
+            Keyed.write(store.withColumn("doc_len", F.size(tokens(F.coalesce("content", F.lit(""))))), f"{at}/documents")
+            if not self._holds(version):
+                raise TimeoutError("the lease of the rebuild ran out")
+            self._point(version)
+        except BaseException:
+            shared.delete(self.spark, at)
+            raise
+        finally:
+            if self._holds(version):
+                shared.delete(self.spark, f"{self.root}/lease")
+        self._clean()
         return version
 
+    def _clean(self) -> None:
+        """Delete the pointers and tables of all but the last KEPT versions, clear()'s among them, and what
+        rebuilds that were lost have left."""
+        names = shared.names(self.spark, f"{self.root}/current")
+        kept = {n.partition("-")[2] for n in names[-self.KEPT :]}
+        for n in names[: -self.KEPT]:
+            shared.delete(self.spark, f"{self.root}/current/{n}")
+        for folder in shared.names(self.spark, self.root):
+            old = shared.age(self.spark, f"{self.root}/{folder}/forward")
+            if folder not in kept | {"current", "lease"} and (old is None or old > self.LEASE or any(n.endswith(folder) for n in names)):
+                shared.delete(self.spark, f"{self.root}/{folder}")
+
     def current(self) -> Index | None:
         """The index of the current version, or nothing before the first build and after clear()."""
         version = (shared.names(self.spark, f"{self.root}/current") or ["0-"])[-1].partition("-")[2]
         if not version:
             return None
-        read = lambda name: self.spark.read.parquet(f"{self.root}/{version}/{name}")
-        return Index(read("documents"), read("postings"), read("words"), read("doc_lengths"), read("vocabulary"))
+        found = read_tables(self.spark, f"{self.root}/{version}", ("completions",))
+        found.keyed = Keyed(self.spark, f"{self.root}/{version}/documents")
+        found.documents = found.keyed.rows().drop("doc_len")
+        return found
 
     def clear(self) -> None:
         """From now on there is no index."""
         self._point("")
 
 
+def read_tables(spark: SparkSession, at: str, more: tuple[str, ...] = ()) -> Index:
+    """The index that write_tables() wrote; it has no documents of its own."""
+    read = lambda name: spark.read.parquet(f"{at}/{name}")
+    rows = read("forward")
+    words = rows.select("document_id", F.explode("words").alias("w")).select("document_id", "w.word", "w.n")
+    stored = {name: read(name) for name in ("frequencies", "corpus", "bounds", *more)}
+    found = Index(rows.select("document_id", F.lit(None).cast("string").alias("content")), read("postings"), words, rows.select("document_id", "doc_len"), read("vocabulary"), **stored)
+    found.numbered = Keyed(spark, at, "docno", "forward")
+    return found
+
+
 def stored_index(spark: SparkSession, name: str, source: str, make) -> Index:
     """The stored index of a source's documents, in the shared folder: built from ``make()`` where none
-    was, and again where the source's files have changed."""
-    key = hashlib.sha1(f"{name} {shared.stamp(spark, source)}".encode()).hexdigest()
+    was, and again where the source's files have changed. Who finds another one building it waits."""
+    key = hashlib.sha1(f"{FORMAT} {name} {shared.stamp(spark, source)}".encode()).hexdigest()
     snapshots = Snapshots(spark, f"{shared.shared_dir(spark)}/textloom-index/{key}")
-    found = snapshots.current()
-    if found is None:
-        snapshots.rebuild(make())
-        found = snapshots.current()
+    while (found := snapshots.current()) is None:
+        if snapshots.rebuild(make()) is None:
+            time.sleep(1)
     return found
