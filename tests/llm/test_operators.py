@@ -607,6 +607,42 @@ def test_urls_aliases_pass_verdicts_on(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block"}
 
 
+def test_urls_links_as_browsers_read_them(spark):
+    """What is in comments, scripts and attributes is no link; addresses are resolved by RFC 3986."""
+    c = '<link rel="canonical" href="{}">'.format
+    pages = {
+        f"<!-- {c('/no')} -->": [], f"<script>var a='<!--';{c('/no')}</script>{c('/ok')}": ["/ok"], f"<!-- {c('/no')}": [], f"<!-->{c('/s')}": ["/s"], c("?p=2"): ["/x/y.html?p=2"], c("../z"): ["/z"], c("./w"): ["/x/w"], c("/../../t"): ["/t"],
+        '<meta http-equiv="refresh" content="0; url=http://b.com/a;b=1">': ["http://b.com/a;b=1"], '<link rel="nofollow canonical" href=" http://t/ ">': ["http://t/"], f"<base href='/b/c/'><base href='/no/'>{c('d')}": ["/b/c/d"], c("/a?x=1&amp;y=2&#38;z=&#x263a;&#0;"): ["/a?x=1&y=2&z=☺&"],
+        '<link data-x="a>b" rel=canonical href=/gt>': ["/gt"], f"<p title='{c('/no')}'>": [], "<meta http-equiv=refresh content=\"1; URL='/q'\">": ["/q"], "<meta http-equiv=refresh content=5>": [], c("mailto:a@b"): [], c(""): [], "<LINK HREF=/U REL=CANONICAL>": ["/U"], "<link rel=canonical href=/1 href=/2>": ["/1"], c("#top"): ["/x/y.html?k=v"],
+    }
+    rows = [(f"http://h{i}.net/x/y.html?k=v", h) for i, h in enumerate(pages)] + [(None, c("/a")), ("no scheme", c("/a")), ("http://n.net/", None), ("http://n.net/", "")]
+    got = {}
+    for r in url_rules.page_links(spark.createDataFrame(rows, "url string, html string")).collect():
+        got.setdefault(r["src"], []).append(r["dst"])
+    want = {f"http://h{i}.net/x/y.html?k=v": [f"http://h{i}.net{u}" if u.startswith("/") else u for u in to] for i, to in enumerate(pages.values()) if to}
+    assert got == want
+
+
+def test_urls_resolved_by_the_standard(spark):
+    from urllib.parse import urljoin
+
+    refs = "g ./g g/ /g //g ?y g?y #s g#s g?y#s ;x g;x g;x?y#s . ./ .. ../ ../g ../.. ../../ ../../g ../../../g /./g /../g g. .g g.. ..g ./../g ./g/. g/./h g/../h g;x=1/./y g;x=1/../y g?y/./x g?y/../x".split() + [""]
+    rows = spark.createDataFrame([(r,) for r in refs], "r string").select("r", url_rules.resolved(F.lit("http://a/b/c/d;p?q"), F.col("r")).alias("x")).collect()
+    assert {r["r"]: r["x"] for r in rows} == {r: urljoin("http://a/b/c/d;p?q", r).partition("#")[0] for r in refs}
+
+
+def test_urls_of_long_broken_pages(spark, tmp_path):
+    """A page of megabytes takes seconds, whatever it leaves open."""
+    import time
+
+    broken = ["<link ", "<!--", '<meta x="', "<a href='\"", '<link rel="canonical" href="']
+    rows = [(f"http://a.net/{i}", "canonical " + x * (1_000_000 // len(x))) for i, x in enumerate(broken)]
+    spark.createDataFrame(rows, "url string, html string").write.parquet(f"{tmp_path}/pages")
+    began = time.time()
+    assert url_rules.page_links(spark.read.parquet(f"{tmp_path}/pages")).count() <= 1
+    assert time.time() - began < 60
+
+
 def test_urls_every_link_of_a_page(spark):
     canon, fresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
     rules = [("block", "bad.org", "/"), ("allow", "good.org", "/")]

@@ -160,13 +160,19 @@ s as (select page_id, url, html, host, substr(tail, 1, least(coalesce(nullif(str
 rules(v, h, pre) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 fit as (select s.page_id, s.url, max_by(h || pre, length(h || pre)) as rule, max_by(v, length(h || pre)) as v from s join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, pre) group by 1, 2),
 named as (select *, split_part(url, '#', 1) as bare, regexp_extract(split_part(url, '#', 1), '(?s)^(.*?://[^/?#]*)', 1) as origin from s where contains(url, '://')),
-tags as (select bare, origin, unnest(list_concat(
-    regexp_extract_all(html, '(?is)<link\s(?:[^>]*\s)?rel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''>\s]+)', 1),
-    regexp_extract_all(html, '(?is)<link\s(?:[^>]*\s)?href\s*=\s*["'']?([^"''>\s]+)["'']?\s(?:[^>]*\s)?rel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract_all(html, '(?is)<meta\s(?:[^>]*\s)?http-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''>\s;]+)', 1))) as raw from named where html is not null),
-links as (select bare as a, replace(raw, '&amp;', '&') as t, origin from tags where raw <> ''),
-full_links as (select a, split_part(case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*://') then t when starts_with(t, '//') then regexp_extract(a, '^([^:]*:)', 1) || t
-    when starts_with(t, '/') then origin || t else regexp_extract(a, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) || t end, '#', 1) as b from links),
+shown as (select bare, origin, regexp_replace(html, '(?is)<!--(?:-?>|.*?(?:-->|\z))|<script[\s>].*?(?:</script|\z)|<style[\s>].*?(?:</style|\z)|<title[\s>].*?(?:</title|\z)|<textarea[\s>].*?(?:</textarea|\z)', '', 'g') as body from named where html is not null),
+tags as (select bare, origin, unnest(regexp_extract_all(body, '(?is)<(?:link|meta|base)\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) as tag, body from shown),
+said_of as (select bare, origin, tag, regexp_extract(tag, '(?is)\srel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', ['a', 'b', 'c']) as rel, regexp_extract(tag, '(?is)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', ['a', 'b', 'c']) as href,
+    regexp_extract(tag, '(?is)\shttp-equiv\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', ['a', 'b', 'c']) as equiv, regexp_extract(tag, '(?is)\scontent\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', ['a', 'b', 'c']) as content,
+    regexp_extract(regexp_extract(body, '(?is)<base\s[^>]*>'), '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1) as base from tags),
+links as (select bare as a, origin, replace(base, '&amp;', '&') as base, trim(replace(case when regexp_matches(tag, '(?i)^<link') and list_contains(string_split_regex(lower(rel.a || rel.b || rel.c), '\s+'), 'canonical') then href.a || href.b || href.c
+    when regexp_matches(tag, '(?i)^<meta') and lower(equiv.a || equiv.b || equiv.c) = 'refresh' then trim(regexp_extract(content.a || content.b || content.c, '(?is)^\s*[0-9.]*\s*[;,]?\s*(?:url\s*=\s*)?(.*)$', 1), '"''') else '' end, '&amp;', '&')) as t from said_of),
+based as (select a, t, case when base = '' then a when contains(base, '://') then base when starts_with(base, '/') then origin || base else regexp_extract(a, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) || base end as b from links where t <> ''),
+joined as (select a, split_part(case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*:') then t when starts_with(t, '//') then regexp_extract(b, '^([^:]*:)', 1) || t when starts_with(t, '/') then regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1) || t
+    when starts_with(t, '?') then regexp_extract(b, '(?s)^(.*?://[^?#]*)', 1) || t when starts_with(t, '#') then b
+    else regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(b, '(?s)^.*?://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') || t end, '#', 1) as full_url from based),
+cut_up as (select a, regexp_extract(full_url, '(?s)^([^:]*://[^/?#]+)([^?#]*)(.*)$', ['head', 'path', 'query']) as u from joined where regexp_matches(full_url, '(?s)^[^:]*://[^/?#]')),
+full_links as (select a, u.head || case when regexp_matches(u.path, '/\.\.?(/|$)') then list_reduce(string_split(regexp_replace(substr(u.path, 2), '(^|/)(\.\.?)$', '\1\2/'), '/'), lambda acc, x: case when x = '..' then regexp_replace(acc, '/[^/]*$', '') when x = '.' then acc else acc || '/' || x end, '') else u.path end || u.query as b from cut_up),
 heads as (select a, b, regexp_extract(a, '(?s)^(.*?://[^/?#]*)', 1) as ha, regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1) as hb from full_links),
 edges as (select lower(ha) || substr(a, length(ha) + 1) as a, lower(hb) || substr(b, length(hb) + 1) as b from heads),
 pair as (select a, b from edges where a <> b union select b, a from edges where a <> b),
