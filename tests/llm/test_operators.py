@@ -583,6 +583,18 @@ def test_quality_odd_rows(spark):
 # op 9
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_mixing_of_equal_rows_is_a_fixed_size_sample(spark, parts):
+    """Rows equal in id and text: as many as the target needs, in any order and partitioning."""
+    rows = [(7, "w " * 100, "a")] * 64 + [(100 + i, "w " * (100 + i), "b") for i in range(57)]
+    random.Random(parts).shuffle(rows)
+    out = mixing.mix(docs_of(spark, rows).repartition(parts)).where("source = 'a'").collect()
+    target, taken = out[0]["target"], sum(r["taken"] for r in out)
+    assert len(out) == 64 and abs(taken - target) <= 50 and taken % 100 == 0
+    again = mixing.mix(docs_of(spark, rows[::-1]).repartition(parts + 1)).where("source = 'a'").collect()
+    assert Counter(r["copies"] for r in out) == Counter(r["copies"] for r in again)
+
+
 def test_urls_hosts_paths_rules(spark):
     urls = [
         (1, "http://Sub.Example.ORG/es/x?y#z", "example.org/es/", "block"), (2, "https://example.org/en/12", "example.org/en/1", "block"), (3, "https://a.org/es/", "org/", "allow"), (4, "http://x.com/fr/1", "com/fr/", "allow"),

@@ -70,11 +70,11 @@ def _uniform(*parts: Column) -> Column:
 
 
 def drawn(row: Column, ident: Column, source: Column, text: Column, seed: int) -> list[Column]:
-    """Columns ``row, source, size, u, v``: u is fixed by the id and the text, v tells rows apart that
-    have both in common."""
+    """Columns ``row, source, size, u, v``: u is fixed by the id and the text, v, which no two rows share,
+    tells rows apart that have both in common."""
     plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     u = _uniform(plain(ident), F.md5(plain(text)), F.lit(str(seed)))
-    return [row.alias("row"), source.alias("source"), size_of(text).alias("size"), u.alias("u"), _uniform(row.cast("string")).alias("v")]
+    return [row.alias("row"), source.alias("source"), size_of(text).alias("size"), u.alias("u"), F.xxhash64(row).alias("v")]
 
 
 def _edge(cells: DataFrame, left: DataFrame) -> DataFrame:
@@ -110,14 +110,31 @@ class Mix:
         tied = inside.groupBy("source", "odds", "base", "left").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
         order = Window.partitionBy("source").orderBy("odds").rowsBetween(Window.unboundedPreceding, -1)
         tied = tied.withColumn("before", F.col("base") + F.coalesce(F.sum("s").over(order), F.lit(0)))
-        part = (F.col("left") - F.col("before")) / F.col("s")
-        one = (part > 0.5).cast("double")  # a single row is taken or not; of equal odds, a part of the rows
-        tied = tied.withColumn("part", F.when(F.col("n") == 1, one).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))))
-        sum_ = F.col("before") + F.col("part") * F.col("s")
-        best = F.struct(F.abs(sum_ - F.col("left")).alias("off"), sum_.alias("sum"), F.col("odds").alias("odds"), F.col("part").alias("part"))
+        part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("left") - F.col("before")) / F.col("s")))
+        # a single row is taken or not; of rows with equal odds, as many as come nearest to the target
+        tied = tied.withColumn("m", F.when(F.col("n") == 1, (part > 0.5).cast("long")).otherwise(F.round(part * F.col("n")).cast("long")))
+        sum_ = F.col("before") + F.col("m") / F.col("n") * F.col("s")
+        best = F.struct(F.abs(sum_ - F.col("left")).alias("off"), sum_.alias("sum"), "odds", "m", "n")
         cut = tied.groupBy("source").agg(F.min(best).alias("best")).select(F.col("source").alias("__c"), "best")
         cut = edge.join(cut, F.col("__s").eqNullSafe(F.col("__c")), "left")
-        self.cuts = materialise(cut.select("__s", "edge", F.col("best.odds").alias("cut"), F.col("best.part").alias("part")))
+        cuts = materialise(cut.select("__s", "edge", F.col("best.odds").alias("cut"), F.col("best.m").alias("m"), F.col("best.n").alias("n")))
+        last = self._last(ranked, cuts.where("m > 0 and m < n"))
+        cuts = cuts.join(last, F.col("__s").eqNullSafe(F.col("__v")), "left")
+        vcut = F.when(F.col("m") == F.col("n"), F.lit((1 << 63) - 1)).otherwise(F.col("vcut"))
+        self.cuts = materialise(cuts.select("__s", "edge", "cut", vcut.alias("vcut")))
+
+    def _last(self, ranked: DataFrame, cuts: DataFrame) -> DataFrame:
+        """``(__v, vcut)``: of a source's rows that are equal in odds the m-th by v. They may be very many:
+        they are counted by v's upper bits first, and only those of one such cell are put in order."""
+        some = small(cuts.select(F.col("__s").alias("__t"), "cut", "m"))
+        equal = ranked.join(some, F.col("source").eqNullSafe(F.col("__t")) & (F.col("odds") == F.col("cut"))).withColumn("high", F.shiftright("v", 48))
+        upto = F.sum("k").over(Window.partitionBy("source").orderBy("high"))
+        hist = equal.groupBy("source", "high", "m").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", upto)
+        cell = hist.where((F.col("upto") >= F.col("m")) & (F.col("upto") - F.col("k") < F.col("m")))
+        cell = cell.select(F.col("source").alias("__h"), F.col("high").alias("__c"), (F.col("m") - F.col("upto") + F.col("k")).alias("nth"))
+        inside = equal.join(small(materialise(cell)), F.col("source").eqNullSafe(F.col("__h")) & (F.col("high") == F.col("__c")))
+        turn = F.row_number().over(Window.partitionBy("source").orderBy("v"))
+        return inside.withColumn("turn", turn).where("turn = nth").select(F.col("source").alias("__v"), F.col("v").alias("vcut"))
 
     def ranked(self, df: DataFrame) -> DataFrame:
         """df, which has source and size, with whole, p, odds and cell."""
@@ -133,18 +150,18 @@ class Mix:
         t = self.targets.select(F.col("source").alias("__t"), "source_size", "target")
         df = self.ranked(df).join(small(t), F.col("source").eqNullSafe(F.col("__t"))).drop("__t")
         df = df.join(small(self.cuts), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-        below = (F.col("odds") < F.col("cut")) | ((F.col("odds") == F.col("cut")) & (F.col("v") < F.col("part")))
+        below = (F.col("odds") < F.col("cut")) | ((F.col("odds") == F.col("cut")) & (F.col("v") <= F.col("vcut")))
         taken = (F.col("cell") < F.col("edge")) | ((F.col("cell") == F.col("edge")) & below)
         copies = F.col("whole") + F.coalesce(taken & (F.col("p") > 0), F.lit(False)).cast("long")
-        return df.withColumn("copies", copies.cast("long")).drop("whole", "p", "odds", "cell", "edge", "cut", "part", "u", "v")
+        return df.withColumn("copies", copies.cast("long")).drop("whole", "p", "odds", "cell", "edge", "cut", "vcut", "u", "v")
 
 
 def mix(docs: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row of docs: ``(id_col, source, size, source_size, target, copies, taken)``.
 
     Null and empty texts have size 0 and are taken 0 words. A document's random number is fixed by
-    its id and text, so reruns agree; rows that have both in common are taken one by one, as many
-    as the target needs, whether their id is null or not. An empty table gives an empty result.
+    its id and text, so reruns agree; of rows that have both in common as many are taken as the target
+    needs, whichever they are and however they are dealt out, whether their id is null or not. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     sizes = materialise(rows.select("id", *drawn(F.col("row"), F.col("id"), F.col("source"), F.col("text"), seed)))
