@@ -1,6 +1,7 @@
 """Index, ranking, search, suggestions, pages, urls, crawl, store, streaming, API."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,41 @@ def test_page_parse():
     assert pages.parse("http://ex.org/", None) == ("http://ex.org/", "", [])
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<p class="ad">x<p>content<p>more', "contentmore"),
+        ('<ul><li class="menu">x<li>content</li></ul>', "content"),
+        ('<dl><dt class=ad>x<dd>a<dt>b</dl>c', "abc"),
+        ('<table><tr><td class="ad">x<td>a<tr class=menu><td>y<tr><td>b</table>c', "abc"),
+        ('<table><tr class="ad"><td><p>x</table>c', "c"),
+        ('<div class="ad"><p>x</div>c', "c"),
+        ('<div class="ad"><ul><li>x</div>c', "c"),
+        ('<ul><li class="ad">x<ul><li>y</ul>z</li><li>a</ul>b', "ab"),
+        ('<p class="ad">x<table><tr><td>t</table>', "t"),
+        ('<select><option class=ad>x<option>a</select>b', "ab"),
+        ('<p class="ad">x<b>y</p>c</b>d', "cd"),
+        ("a</p>b</div>c</li>", "abc"),
+        ("<head><title>T</title>text<p>a", "texta"),
+        ("<div class=ad>x", ""),
+        ("a<script>x<!--</script>b<style>y</style>c<!-- d --!> e -->f<!", "abcf"),
+        ("a<br/>b<img src='>'>c<textarea><p>&amp;</textarea>d", "abc<p>&d"),
+        ('a<a href="b', "a"),
+        ("a < b <3 &lt;p&gt;", "a < b <3 <p>"),
+        ("<nav>x<nav>y</nav>z</nav>a<aside>b</nav>c</aside>d", "ad"),
+    ],
+)
+def test_pages_with_end_tags_left_out(html, text):
+    assert pages.parse("http://ex.org/", html)[1] == text
+
+
+@pytest.mark.parametrize("broken", ['<a href="', "<p>", "<div>", "<!--", "<script>", "<li><ul>", "<button><p><div>", "<table><tr><td>", "</p></div>", "<a href='\"", "&amp", "<b></i>"])
+def test_broken_pages_take_time_in_proportion(broken):
+    began = time.process_time()
+    pages.parse("http://ex.org/", broken * (1_000_000 // len(broken)))
+    assert time.process_time() - began < 15
+
+
 def test_pages_that_are_read(spark):
     """Content types that are no page, and pages over the limit, are left out; urls are shown short."""
     rows = [(1, "http://a.org/1", "<p>x</p>", "Text/HTML; charset=utf-8"), (2, "http://a.org/2", "x", "application/pdf"), (3, "http://a.org/3", "x", None), (4, "http://a.org/4", "<p>y</p>", "application/xhtml+xml"), (5, "http://a.org/5", "z" * (pages.MAX_BYTES + 1), "text/html")]

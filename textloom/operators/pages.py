@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,59 +20,155 @@ MAX_BYTES = 5 * 1024 * 1024
 BOILERPLATE = {"script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"}
 BOILERPLATE_CLASSES = {"sidebar", "menu", "ad"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Fixed values of HTML: what may stand in a head; what ends a paragraph that is open; elements across which
+# nothing is closed, and lists, across which no item is; formatting, which is closed alone.
+HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p pre search section summary table ul".split())
+BARRIERS = {"applet", "button", "caption", "marquee", "object", "table", "td", "template", "th"}
+LISTS = {"dl", "ol", "select", "ul"}
+ITEMS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+ROWS = {"tr": ("tr",), "tbody": ("tr", "tbody", "thead", "tfoot"), "thead": ("tr", "tbody", "thead", "tfoot"), "tfoot": ("tr", "tbody", "thead", "tfoot")}
+FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
 _SPACES = re.compile(SPACE_CLASS + "+")
+# A page is cut into comments, elements whose content is no markup, and tags; each alternative takes the rest of
+# the page where its end is missing, so none is tried in vain and cutting takes time in proportion.
+_TAG = r"""(?:[^>=]++|=\s*+(?:"(?:[^"]*+"|.*+)|'(?:[^']*+'|.*+))?+)*+(?:>|\Z)"""
+_MARKUP = re.compile(rf"(?is)<!--(?:-?>|.*?-->|.*+)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>])({_TAG})(.*?(?=</\1[\s/>])|.*+)|<(/?[a-z])([^\s/>]*+)({_TAG})|<[/!?]{_TAG}")
+_ATTRIBUTE = re.compile(r"""(?s)([^\s=>/]++)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
 
 
-class _Page(HTMLParser):
-    """Collects the first title, the first h1, links, and body text outside boilerplate."""
+def _attributes(rest: str) -> dict[str, str]:
+    """A tag's attributes, of equal names the first."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return found
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+
+class _Page:
+    """The first title, the first h1, links, and body text outside boilerplate. Open elements are a stack;
+    end tags that may be left out are implied. What is open is counted within its nearest barrier and
+    within its nearest list, so no tag looks through the stack in vain, however deep it is."""
+
+    def __init__(self, html: str):
         self.title: list[str] | None = None
         self.h1: list[str] | None = None
         self.text: list[str] = []
         self.links: list[str] = []
-        self.into: str | None = None  # title or h1 being read
-        self.head = False
-        self.drop: str | None = None  # element whose subtree is dropped, and how deep
-        self.depth = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        named = dict(reversed(attrs))
-        if tag == "a" and named.get("href"):
-            self.links.append(named["href"])
-        if tag in ("head", "body"):
-            self.head = tag == "head"
-        if tag in ("title", "h1") and getattr(self, tag) is None:
-            setattr(self, tag, [])
-            self.into = tag
-        if self.drop:
-            self.depth += tag == self.drop
-        elif tag not in VOID and (tag in BOILERPLATE or BOILERPLATE_CLASSES & set((named.get("class") or "").split())):
-            self.drop, self.depth = tag, 1
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "head":
+        self.head = self.in_h1 = False
+        self.dropped = 0  # open elements that are boilerplate
+        self.stack: list[tuple[str, bool, bool]] = []  # name, whether it is boilerplate, whether it is the h1
+        self.near, self.items = [Counter()], [Counter()]  # open elements by barrier, and by barrier or list
+        self.barriers: list[str] = []
+        at = 0
+        for m in _MARKUP.finditer(html):
+            if m.start() > at:
+                self._data(unescape(html[at : m.start()]))
+            at = m.end()
+            if m[1]:
+                self._raw(m[1].lower(), m[3])
+            elif m[4] and html[at - 1] == ">":  # a tag that the page's end cuts off is none
+                name = (m[4][-1] + m[5]).lower()
+                if m[4][0] == "/":
+                    self._end(name)
+                else:
+                    self._start(name, m[6])
+        if at < len(html):
+            self._data(unescape(html[at:]))
+
+    def _raw(self, name: str, content: str) -> None:
+        """An element whose content is no markup."""
+        if name == "title" and self.title is None:
+            self.title = [unescape(content)]
+        elif name not in HEAD and name not in BOILERPLATE:
+            self._data(unescape(content) if name == "textarea" else content)
+
+    def _data(self, text: str) -> None:
+        if self.head and text.strip():
             self.head = False
-        if tag == self.into:
-            self.into = None
-        if tag == self.drop:
-            self.depth -= 1
-            if not self.depth:
-                self.drop = None
-
-    def handle_data(self, data: str) -> None:
-        if self.into and self.drop not in ("script", "style"):
-            getattr(self, self.into).append(data)
-        if not self.head and not self.drop and self.into != "title":
-            self.text.append(data)
+        if self.in_h1:
+            self.h1.append(text)
+        if not self.head and not self.dropped:
+            self.text.append(text)
+
+    def _push(self, name: str, boilerplate: bool, first_h1: bool) -> None:
+        self.stack.append((name, boilerplate, first_h1))
+        self.near[-1][name] += 1
+        self.items[-1][name] += 1
+        self.dropped += boilerplate
+        if name in BARRIERS:
+            self.barriers.append(name)
+            self.near.append(Counter())
+        if name in BARRIERS or name in LISTS:
+            self.items.append(Counter())
+
+    def _pop(self) -> str:
+        name, boilerplate, first_h1 = self.stack.pop()
+        if name in BARRIERS:
+            self.barriers.pop()
+            self.near.pop()
+        if name in BARRIERS or name in LISTS:
+            self.items.pop()
+        self.near[-1][name] -= 1
+        self.items[-1][name] -= 1
+        self.dropped -= boilerplate
+        self.in_h1 = self.in_h1 and not first_h1
+        return name
+
+    def _close(self, names) -> None:
+        """Close elements up to the nearest of the names, which is open."""
+        while self._pop() not in names:
+            pass
+
+    def _leave_cell(self) -> None:
+        if self.barriers and self.barriers[-1] in ("td", "th"):
+            self._close(("td", "th"))
+
+    def _start(self, name: str, rest: str) -> None:
+        found = _attributes(rest) if "=" in rest else {}
+        if name == "a" and found.get("href"):
+            self.links.append(found["href"])
+        if name == "head":
+            self.head = True
+        elif name not in HEAD:
+            self.head = False
+        if name in ENDS_P and self.near[-1]["p"]:
+            self._close(("p",))
+        if name in ITEMS and any(self.items[-1][i] for i in ITEMS[name]):
+            self._close(ITEMS[name])
+            if name in ("dd", "dt", "li") and self.near[-1]["p"]:
+                self._close(("p",))
+        if name in ROWS or name in ("td", "th"):
+            self._leave_cell()
+            while any(self.near[-1][r] for r in ROWS.get(name, ())):
+                self._close(ROWS[name])
+        if name in VOID or name in ("head", "html", "body"):
+            return
+        first_h1 = name == "h1" and self.h1 is None
+        if first_h1:
+            self.h1, self.in_h1 = [], True
+        self._push(name, name in BOILERPLATE or bool(BOILERPLATE_CLASSES & set((found.get("class") or "").split())), first_h1)
+
+    def _end(self, name: str) -> None:
+        if name == "head":
+            self.head = False
+        if name in ROWS or name == "table":
+            below = self.near[-2] if self.barriers and self.barriers[-1] in ("td", "th") else Counter()
+            if below[name] or name == "table" and "table" in self.barriers:
+                self._leave_cell()
+        if name in BARRIERS:
+            if self.barriers and self.barriers[-1] == name:
+                self._close((name,))
+        elif name in FORMATTING:
+            if self.stack and self.stack[-1][0] == name:
+                self._pop()  # one that is misplaced holds nothing that counts: it is closed with what it is in
+        elif self.near[-1][name]:
+            self._close((name,))
 
 
 def parse(url: str | None, html: str | None, same_domain: bool = False) -> tuple[str | None, str, list[str]]:
     """Title (or first heading, or the url), folded text, and links in order of appearance."""
-    page = _Page()
-    page.feed(html or "")
-    page.close()
+    page = _Page(html or "")
     found: dict[str, None] = {}
     for href in page.links:
         link = resolve(href, url or "")
