@@ -48,16 +48,24 @@ def query_phrases(query: Column) -> Column:
 def snippet(content: Column, query: Column) -> Column:
     """About 200 characters around the first query word, in the query's order, that the content
     holds; without one the first 200; empty for empty content. Offsets count code points."""
-    low = F.lower(content)
     words = F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), SPACE_CLASS + "+"), lambda w: F.length(w) > 1)
-    hits = F.filter(F.transform(words, lambda w: F.position(w, low)), lambda p: p > 0)
-    at = F.when(F.size(hits) > 0, F.element_at(hits, 1) - 1)
-    start = F.greatest(at - LEAD, F.lit(0))
     size = F.length(content)
-    end = F.least(start + SNIPPET, size)
-    around = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(content, start + 1, end - start), F.when(end < size, "...").otherwise(""))
-    head = F.concat(F.substring(content, 1, SNIPPET), F.when(size > SNIPPET, "...").otherwise(""))
-    return F.when(content.isNull() | (content == ""), "").when(at.isNull(), head).otherwise(around)
+
+    def shown(at: Column) -> Column:
+        start = F.greatest(at - LEAD, F.lit(0))
+        end = F.least(start + SNIPPET, size)
+        around = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(content, start + 1, end - start), F.when(end < size, "...").otherwise(""))
+        head = F.concat(F.substring(content, 1, SNIPPET), F.when(size > SNIPPET, "...").otherwise(""))
+        return F.when(at.isNull(), head).otherwise(around)
+
+    hits = once(F.lower(content), lambda low: F.filter(F.transform(words, lambda w: F.position(w, low)), lambda p: p > 0))
+    at = once(hits, lambda h: F.when(F.size(h) > 0, F.element_at(h, 1) - 1))
+    return F.when(content.isNull() | (content == ""), "").otherwise(once(at, shown))
+
+
+def once(value: Column, then) -> Column:
+    """then(value), where the value is worked out once a row, however often it is used."""
+    return F.transform(F.array(value), then)[0]
 
 
 def escape_html(text: Column) -> Column:

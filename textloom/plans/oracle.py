@@ -160,7 +160,12 @@ select depth, ord, url, case when here then 'indexed' else 'error' end as outcom
     "highlights": """select doc_id as document_id, regexp_replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;'), '(the|or)', '<mark class="highlight">\\1</mark>', 'gi') as html from documents""",
     "page_url_problems": """with p as (select page_id, url, lower(regexp_extract(url, '^\\s*([A-Za-z][A-Za-z0-9+.-]*):', 1)) as scheme, lower(regexp_extract(url, '(?i)^\\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\\s]+)', 1)) as host from pages)
 select page_id, url, case when url is null or url = '' then 'empty' when scheme = '' then 'format' when scheme not in ('http', 'https') then 'protocol' when host = '' then 'format' when host = 'localhost' or suffix(host, '.local') or suffix(host, '.internal') or suffix(host, '.localhost') then 'host' when regexp_matches(host, '^[0-9]+(\\.[0-9]+){3}$') then 'address' end as problem from p""",
-    "url_problems": "select * from (values ('ftp://example.com', 'protocol'), ('file:///etc/passwd', 'protocol'), ('http://localhost:8080', 'host'), ('http://app.internal/status', 'host'), ('http://printer.local/', 'host'), ('http://[::1]/', 'address'), ('http://10.1.2.3/x', 'address'), ('http://[fe80::1]/', 'address'), ('http://[::ffff:10.0.0.1]/', 'address'), ('http://[2606:4700::1111]/', null), ('https://en.wikipedia.org/wiki/Algorithm', null), ('nonsense', 'format'), ('', 'empty')) t(url, problem)",
+    "page_assets": r"select page_id, regexp_matches(lower(split_part(split_part(url, '#', 1), '?', 1)), '\.(png|jpg|jpeg|gif|svg|ico|pdf|zip|tar|gz|mp3|mp4|css|js|woff|woff2|json|xml)$') as asset from pages",
+    "own_links": f"with {LINKS} select distinct l.page_id, l.link from links l join pages p using (page_id) where regexp_replace(lower(regexp_extract(l.link, '://([^/?#:]*)', 1)), '^www\\.', '') = regexp_replace(lower(regexp_extract(p.url, '://([^/?#:]*)', 1)), '^www\\.', '')",
+    "typed_pages": f"select page_id, {TITLE} as title from pages where page_id % 4 in (0, 1)",
+    "query_terms": f"with b0 as (select item_id as query_id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 1 and w not in ({STOPS}))) as word from benchmark), distinct_words as (select distinct word from b0), {stems('distinct_words')} select distinct query_id, term from b0 join stem using (word)",
+    "crawl_stored": f"with {URLS} select 1 as depth, 0 as ord, normal as url, 'skipped' as outcome, 'already_indexed' as reason, cast(null as varchar) as title, cast(null as integer) as tokens_indexed, cast(null as integer) as child_links_found from u1 order by page_id limit 1",
+    "fetch_errors": "select page_id, case when page_id % 5 = 0 or contains(lower(html), 'timeout') then 504 when page_id % 5 in (1, 2) then 502 when contains(lower(html), 'unsupported content type') then 415 when regexp_matches(lower(html), 'blocked|disallowed|invalid protocol|invalid url') then 400 else 500 end as status from pages",
     "blocked_ips": "select k, (ip // 16777216 in (0, 10, 127) or ip // 16777216 between 224 and 239 or ip = 4294967295 or ip // 65536 in (43518, 49320) or ip // 1048576 = 2753 or ip // 4194304 = 401) as blocked from (select o_orderkey as k, (o_orderkey * 2654435761) % 4294967296 as ip from orders)",
     "percentiles": "select cast(quantile_disc(n_chars, 0.99) as bigint) as p99, avg(n_chars) as mean from documents",
 }

@@ -185,13 +185,8 @@ def domain_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.facets(_page_index(spark, sf_dir).candidates(text.parse_query("things")[0]))
 
 
-def url_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tried = ["ftp://example.com", "file:///etc/passwd", "http://localhost:8080", "http://app.internal/status", "http://printer.local/", "http://[::1]/", "http://10.1.2.3/x", "http://[fe80::1]/", "http://[::ffff:10.0.0.1]/", "http://[2606:4700::1111]/", "https://en.wikipedia.org/wiki/Algorithm", "nonsense", ""]
-    return spark.createDataFrame([(u,) for u in tried], "url string").select("url", urls.url_problem(F.col("url")).alias("problem"))
-
-
 def page_url_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The safety check of every page's url; url_problems has one example of each answer."""
+    """The safety check of every page's url."""
     return corpus.read_table(spark, sf_dir, "pages").select("page_id", "url", urls.url_problem(F.col("url")).alias("problem"))
 
 
@@ -225,6 +220,44 @@ def crawl_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl(table, spark.createDataFrame([], "document_id string"), seed, 2, 5).outcomes
 
 
+def page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages' addresses name a file that is no page."""
+    return corpus.read_table(spark, sf_dir, "pages").select("page_id", urls.is_asset(F.col("url")).alias("asset"))
+
+
+def own_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page to its own domain."""
+    found = pages.parsed(corpus.read_table(spark, sf_dir, "pages"), same_domain=True)
+    return found.select("page_id", F.explode("links").alias("link"))
+
+
+def typed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are read when they come with content types, one of four by their id."""
+    kinds = F.array(*map(F.lit, ("Text/HTML; charset=utf-8", "application/xhtml+xml", "application/pdf", None)))
+    table = corpus.read_table(spark, sf_dir, "pages").withColumn("content_type", kinds[F.pmod("page_id", F.lit(4)).cast("int")])
+    return pages.parsed(table).select("page_id", "title")
+
+
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct terms of each text of the benchmark, taken as a query."""
+    return batch.parsed(_asked(spark, sf_dir))[0]
+
+
+def crawl_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl from the first page where every page of the table is stored already."""
+    table = corpus.read_table(spark, sf_dir, "pages")
+    seed = table.orderBy("page_id").first()["url"]
+    stored = table.select(urls.normalized(F.col("url")).alias("document_id"))
+    return crawl.crawl(table, stored, seed, 2, 5).outcomes
+
+
+def fetch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status that a failed fetch of each page has, with its text as the message."""
+    table = corpus.read_table(spark, sf_dir, "pages")
+    codes = F.array(*map(F.lit, ("ECONNABORTED", "ENOTFOUND", "ECONNREFUSED", None, "OTHER")))
+    return table.select("page_id", crawl.error_status(F.col("html"), codes[F.pmod("page_id", F.lit(5)).cast("int")]).alias("status"))
+
+
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir)
     return docs.select("document_id", text.highlight(F.col("content"), 'The "or').alias("html"))
@@ -232,7 +265,7 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES: list[Q] = [
     corpus_count, vocabulary, word_counts, stem_vocab, doc_lengths, postings, term_df, index_stats, candidates, idf, bm25_topk, bm25_page2, phrase_counts, phrase_boost, suggest_prefix, completions, bounded_topk, batch_search, batch_phrases, snippets, document_lookup,
-    existing_documents, page_titles, page_text, page_links, url_normalize, page_domains, page_display_urls, domain_facets, url_problems, page_url_problems, blocked_ips, percentiles, domain_search, crawl_outcomes, highlights,
+    existing_documents, page_titles, page_text, page_links, url_normalize, page_domains, page_display_urls, domain_facets, page_url_problems, page_assets, own_links, typed_pages, query_terms, crawl_stored, fetch_errors, blocked_ips, percentiles, domain_search, crawl_outcomes, highlights,
 ]
 QUERIES: dict[str, Q] = {q.__name__: q for q in NAMES}
 ORACLE_SQL: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
