@@ -192,7 +192,8 @@ def _batched(rows: Iterator[dict], names: list[str], types: list[pa.DataType], m
 def write_arc(pages: DataFrame, path: str, version: int, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "19960101000000") -> None:
     """Legacy files of a crawl: a version block, then a url record a page with its HTTP response.
     A null url becomes a urn of the id; blanks and control characters in urls are escaped; null
-    html is an empty payload."""
+    html is an empty payload. Rows that repeat give a record each; an empty table gives files with a
+    version block at most; other columns play no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[dict]:
@@ -264,7 +265,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0)
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """``(kind, record_id, url, date, order, payload_bytes, payload_digest, refers_to, refers_to_order)``
     of every record. A response's length and digest are taken from its payload, a revisit's from
-    its headers."""
+    its headers. Records that repeat are told each; what a record does not say is null; archives
+    without records give no rows."""
 
     def told(fields: dict[str, str], block: bytes) -> dict:
         kind = fields.get("warc-type", "")

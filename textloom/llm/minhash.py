@@ -358,7 +358,8 @@ def linked(rows: DataFrame, sketch: DataFrame, units: Callable[[str], list[str |
     into blocks by a hash, each compared with itself in full, and only links that span its
     components are emitted. In a bucket of several blocks the members outside its largest
     component then meet every block (see _across). So no link that banding offers is lost, and
-    no pairs are written out for a family of any size.
+    no pairs are written out for a family of any size. Rows with one text are one class; no rows, or
+    no candidates, give an empty result.
     """
     paths: list[str] = []
     banded = sketch.where("cls is not null").select(F.explode("bands").alias("key"), "cls")

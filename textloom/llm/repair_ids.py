@@ -392,7 +392,9 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """``(id, start, n_tokens, ids_crc32)`` of each document, and its ``ids`` on demand."""
+    """``(id, start, n_tokens, ids_crc32)`` of each document, and its ``ids`` on demand, as the files have
+    them: a document without text has its end id only, rows that repeat are told each, null ids stay
+    null, and files of an empty table give no rows."""
     names = ["task", "id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

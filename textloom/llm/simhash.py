@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges ``(src, dst)`` whose components are those of all pairs of the distinct ``fp`` at 2 or
-    fewer differing bits.
+    fewer differing bits. No fingerprints give no edges, nor does one alone.
 
     Of four 16-bit blocks, such a pair agrees in two at least, so each of the six pairs of blocks
     is a join key of 32 bits. Keys with up to PAIRWISE fingerprints are compared pair by pair. In
