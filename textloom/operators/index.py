@@ -48,7 +48,7 @@ def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def _dealt(documents: DataFrame) -> DataFrame:
+def dealt(documents: DataFrame) -> DataFrame:
     """documents over all cores where their files have fewer row groups than there are cores, so that
     reading gives few tasks; larger tables are read as they lie."""
     cores = documents.sparkSession.sparkContext.defaultParallelism
@@ -97,7 +97,7 @@ def _postings(documents: DataFrame, terms: list[str] | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), part.column(0).take(pa.array(owners, pa.int64())), *_places(places), pa.array(lengths, pa.int32())], ["term", "document_id", "tf", "positions", "doc_len"])
 
     kind = documents.schema["document_id"].dataType.simpleString()
-    return _dealt(documents.select("document_id", "content")).mapInArrow(run, f"term string, document_id {kind}, tf long, positions array<int>, doc_len int")
+    return dealt(documents.select("document_id", "content")).mapInArrow(run, f"term string, document_id {kind}, tf long, positions array<int>, doc_len int")
 
 
 def analysed(documents: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def analysed(documents: DataFrame) -> DataFrame:
 
     kind = documents.schema["document_id"].dataType.simpleString()
     shape = f"document_id {kind}, doc_len int, terms array<struct<term: string, tf: bigint, positions: array<int>>>, words array<struct<word: string, n: bigint>>"
-    return _dealt(documents.select("document_id", "content")).mapInArrow(run, shape)
+    return dealt(documents.select("document_id", "content")).mapInArrow(run, shape)
 
 
 def forward(documents: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _counted(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners, pa.int64())), pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["document_id", "word", "n"])
 
     kind = documents.schema["document_id"].dataType.simpleString()
-    return _dealt(documents.select("document_id", "content")).mapInArrow(run, f"document_id {kind}, word string, n long")
+    return dealt(documents.select("document_id", "content")).mapInArrow(run, f"document_id {kind}, word string, n long")
 
 
 def _lengths(documents: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def _lengths(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32())], ["document_id", "doc_len"])
 
     kind = documents.schema["document_id"].dataType.simpleString()
-    return _dealt(documents.select("document_id", "content")).mapInArrow(run, f"document_id {kind}, doc_len int")
+    return dealt(documents.select("document_id", "content")).mapInArrow(run, f"document_id {kind}, doc_len int")
 
 
 class Index:

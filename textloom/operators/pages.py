@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import SPACE_CLASS
 from textloom.functions.urls import ASSETS, bare_host, normalize_url, resolve
+from textloom.operators.index import dealt
 
 #: Larger pages are not read, as the fetcher would have refused them.
 MAX_BYTES = 5 * 1024 * 1024
@@ -198,7 +199,7 @@ def parsed(pages: DataFrame, same_domain: bool = False, id_col: str = "page_id")
             yield pd.DataFrame({id_col: b[id_col], "url": b["url"], "document_id": b["url"].map(normalize_url), "title": [g[0] for g in got], "content": [g[1] for g in got], "links": [g[2] for g in got]})
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, "url", "html").mapInPandas(run, f"{id_col} {kind}, url string, document_id string, title string, content string, links array<string>")
+    return dealt(rows.select(id_col, "url", "html")).mapInPandas(run, f"{id_col} {kind}, url string, document_id string, title string, content string, links array<string>")
 
 
 def corpus(pages: DataFrame) -> DataFrame:

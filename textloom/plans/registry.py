@@ -137,7 +137,7 @@ def batch_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.documents(spark, sf_dir)
+    docs = index.dealt(corpus.documents(spark, sf_dir))
     return docs.select("document_id", text.snippet(F.col("content"), F.lit("Thing x EAU")).alias("snippet"))
 
 
