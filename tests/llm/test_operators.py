@@ -56,6 +56,14 @@ def test_components_of_nothing(spark):
     assert common.components(spark.createDataFrame([(1, 1)], "src long, dst long")).count() == 0
 
 
+def test_components_of_a_hub(spark):
+    """One node with 20,000 neighbours, each of which has one more, and every edge twice."""
+    star = spark.range(20_000).select(F.lit(7).cast("long").alias("src"), (F.col("id") + 100).alias("dst"))
+    rays = spark.range(20_000).select((F.col("id") + 50_000).alias("src"), (F.col("id") + 100).alias("dst"))
+    found = common.components(star.unionByName(rays).unionByName(star))
+    assert found.count() == 40_001 and [r["component"] for r in found.select("component").distinct().collect()] == [7]
+
+
 # op 1
 
 
