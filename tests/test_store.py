@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text
-from textloom.operators import batch, bounded, index, rank, search
+from textloom.operators import batch, bounded, crawl, index, pages, rank, search
 from textloom.plans import registry
 from textloom.sources import corpus, shared
 from textloom.sources.keyed import Keyed
@@ -290,3 +290,15 @@ def test_facets_of_a_stored_index_parse_no_address(spark, sf):
     found = search.facets(registry._page_index(spark, "/root/testdata/sf0.001").hits(["thing"]))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "regexp" not in plan.lower() and "domain" in plan
+
+
+def test_a_crawl_looks_pages_up(spark, tmp_path):
+    """The same report from a table of pages and from a keyed store of them."""
+    link = lambda *to: "<title>t</title><body>word " + "".join(f'<a href="{t}">x</a>' for t in to) + "</body>"
+    rows = [(1, "http://s.org/", link("/a", "/b", "http://o.net/", "/a")), (2, "http://s.org/a/", link("/c")), (3, "http://s.org/c", link()), (4, "http://o.net/", link("/z")), (5, "http://S.org/a", link("/no"))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    store = Keyed.write(pages.corpus(table), f"{tmp_path}/pages")
+    none, old = spark.createDataFrame([], "document_id string"), spark.createDataFrame([("http://s.org/a",)], "document_id string")
+    for args in ((none, "http://s.org/", 2, 5), (old, "http://s.org/", 2, 5), (none, "http://s.org/", 2, 5, True), (none, "http://x.org/", 1, 1)):
+        one, two = crawl.crawl(table, *args), crawl.crawl(store, *args)
+        assert sorted(map(tuple, one.outcomes.collect()), key=str) == sorted(map(tuple, two.outcomes.collect()), key=str) and one.summary == two.summary

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text, urls
 from textloom.operators.pages import parsed
+from textloom.sources.keyed import Keyed
 
 MAX_DEPTH, MAX_PAGES = 2, 5
+#: Addresses that are looked up one by one; a longer frontier, of a page with more links, is joined.
+LOOKED_UP = 1000
 
 
 @dataclass
@@ -22,17 +25,34 @@ class Report:
     single: dict | None = None  # the short form of the answer where one page was asked for
 
 
-def crawl(pages: DataFrame, stored: DataFrame, seed: str, max_depth: int = 1, max_pages: int = 1, same_domain: bool = False) -> Report:
+def _fetched(pages: DataFrame | Keyed, todo: DataFrame, same_domain: bool) -> DataFrame:
+    """``(url, title, content, links)`` of the pages on the frontier ``todo (url)``."""
+    if isinstance(pages, Keyed):
+        names = [r["url"] for r in todo.select("url").limit(LOOKED_UP + 1).collect()]
+        found = pages.find(names) if len(names) <= LOOKED_UP else pages.rows().join(F.broadcast(todo.select("url")), F.col("document_id") == todo["url"], "left_semi")
+        links = F.filter("links", lambda to: urls.domain(to) == urls.domain(F.col("document_id"))) if same_domain else F.col("links")
+        return found.select(F.col("document_id").alias("url"), "title", "content", links.alias("links"))
+    few = F.broadcast(todo.select(F.col("url").alias("__n")))
+    # hosts are compared first, in the JVM; normal forms, which take Python, only of their pages
+    hosts = F.broadcast(todo.select(urls.host(F.col("url")).alias("__h")).distinct())
+    known = pages.where("url is not null")
+    near = known.join(hosts, urls.host(F.col("url")) == F.col("__h"), "left_semi").withColumn("__n", urls.normalized(F.col("url")))
+    at = near.join(few, "__n", "left_semi")
+    got = parsed(at.groupBy("__n").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p")).select("p.*"), same_domain)
+    return got.select(F.col("document_id").alias("url"), "title", "content", "links")
+
+
+def crawl(pages: DataFrame | Keyed, stored: DataFrame, seed: str, max_depth: int = 1, max_pages: int = 1, same_domain: bool = False) -> Report:
     """Visit pages breadth first. Depth is held to 1 or 2 and pages to 1 to 5; a url is visited once;
     stored urls are skipped; unsafe and missing ones are errors; only indexed pages count towards
     the limit, and nothing after it is visited.
 
-    pages: ``(page_id, url, html)``; stored: ``(document_id)``. Only pages on the frontier are
-    parsed. The frontier is one page's links per depth, so numbering it needs one small task.
+    pages: ``(page_id, url, html)``, which are read whole for each depth and of which only those on the
+    frontier are parsed, or a keyed store of pages.corpus(), in which the frontier is looked up, so what
+    a depth reads does not grow with the pages; stored: ``(document_id)``. The frontier is one page's links per depth, so numbering it needs one small task.
     """
     depth_limit, page_limit = min(max(1, max_depth), MAX_DEPTH), min(max(1, max_pages), MAX_PAGES)
-    spark = pages.sparkSession
-    known = pages.where("url is not null")
+    spark = pages.spark if isinstance(pages, Keyed) else pages.sparkSession
     frontier = spark.createDataFrame([(1, 0, urls.normalize_url(seed))], "depth int, ord long, url string")
     seen, done = None, None
     held: list[DataFrame] = []
@@ -44,13 +64,8 @@ def crawl(pages: DataFrame, stored: DataFrame, seed: str, max_depth: int = 1, ma
         todo = todo.withColumn("__problem", urls.url_problem(F.col("url"))).persist()  # a page's links at most
         held.append(todo)
         few = F.broadcast(todo.select(F.col("url").alias("__n")))
+        got = _fetched(pages, todo, same_domain)
         old = stored.join(few, F.col("document_id") == F.col("__n"), "left_semi").select(F.col("document_id").alias("url"), F.lit(True).alias("__stored")).distinct()
-        # hosts are compared first, in the JVM; normal forms, which take Python, only of their pages
-        hosts = F.broadcast(todo.select(urls.host(F.col("url")).alias("__h")).distinct())
-        near = known.join(hosts, urls.host(F.col("url")) == F.col("__h"), "left_semi").withColumn("__n", urls.normalized(F.col("url")))
-        at = near.join(few, "__n", "left_semi")
-        got = parsed(at.groupBy("__n").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p")).select("p.*"), same_domain)
-        got = got.select(F.col("document_id").alias("url"), "title", "content", "links")
         rows = todo.join(old, "url", "left").join(got, "url", "left")
         problem = F.col("__problem")
         outcome = F.when(F.col("__stored"), "skipped").when(problem.isNotNull() | F.col("links").isNull(), "error").otherwise("indexed")

@@ -203,8 +203,8 @@ def parsed(pages: DataFrame, same_domain: bool = False, id_col: str = "page_id")
 
 
 def corpus(pages: DataFrame) -> DataFrame:
-    """Documents ``(document_id, title, content, url)`` of pages; of pages with one normal url the
-    smallest page_id is stored."""
+    """Documents ``(document_id, title, content, url, links)`` of pages; of pages with one normal url the
+    smallest page_id is stored. By document_id, links are the pages' graph."""
     rows = parsed(pages).where("document_id is not null")
-    first = rows.groupBy("document_id").agg(F.min_by(F.struct("title", "content"), "page_id").alias("p"))
-    return first.select("document_id", "p.title", "p.content", F.col("document_id").alias("url"))
+    first = rows.groupBy("document_id").agg(F.min_by(F.struct("title", "content", "links"), "page_id").alias("p"))
+    return first.select("document_id", "p.title", "p.content", F.col("document_id").alias("url"), "p.links")

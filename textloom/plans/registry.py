@@ -217,7 +217,7 @@ def crawl_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What happens when the first page's url is crawled two levels deep."""
     table = corpus.read_table(spark, sf_dir, "pages")
     seed = table.orderBy("page_id").first()["url"]
-    return crawl.crawl(table, spark.createDataFrame([], "document_id string"), seed, 2, 5).outcomes
+    return crawl.crawl(_page_index(spark, sf_dir).keyed, spark.createDataFrame([], "document_id string"), seed, 2, 5).outcomes
 
 
 def page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
