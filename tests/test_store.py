@@ -3,6 +3,7 @@
 import json
 import random
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,9 +230,9 @@ def test_one_rebuild_at_a_time(spark, tmp_path, monkeypatch):
     assert snaps.rebuild(docs) is None
     monkeypatch.setattr(corpus.Snapshots, "LEASE", -1.0)
     second = snaps.rebuild(docs)
-    assert second and snaps.current().corpus().first()["n"] == 1
+    assert not snaps.rebuilding() and second and snaps.current().corpus().first()["n"] == 1
     # an error leaves the version that is there, and no lease
-    monkeypatch.setattr(corpus.Snapshots, "LEASE", 3600.0)
+    monkeypatch.setattr(corpus.Snapshots, "LEASE", 120.0)
     monkeypatch.setattr(corpus, "write_tables", lambda *a: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         snaps.rebuild(docs)
@@ -242,6 +243,20 @@ def test_one_rebuild_at_a_time(spark, tmp_path, monkeypatch):
     assert left == {second, third}  # the first one's tables are gone
 
 
+def test_a_long_rebuild_renews_its_lease(spark, tmp_path, monkeypatch):
+    snaps, docs, ages = corpus.Snapshots(spark, f"{tmp_path}/i"), frame(spark, [("a", "one")]), []
+    monkeypatch.setattr(corpus.Snapshots, "LEASE", 6.0)
+    write = corpus.write_tables
+
+    def slow(*args):
+        time.sleep(8)
+        ages.append(shared.age(spark, f"{tmp_path}/i/lease"))
+        write(*args)
+
+    monkeypatch.setattr(corpus, "write_tables", slow)
+    assert snaps.rebuild(docs) and ages[0] < 4 and not shared.names(spark, f"{tmp_path}/i/lease")
+
+
 def test_two_inserts_of_one_document(spark, tmp_path, monkeypatch):
     """Both compare with the same store before either commits; one of them has to look again."""
     cols = "document_id string, title string, content string, url string, ord int"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 import uuid
 
@@ -141,8 +142,11 @@ class Snapshots:
 
     #: Versions that are kept, for readers that opened one before the last rebuild.
     KEPT = 2
-    #: Seconds after which a lease that was not given back, nor renewed, no longer counts.
-    LEASE = 3600.0
+    #: Seconds after which a lease that was not renewed no longer counts; its holder renews it six times as often.
+    LEASE = 120.0
+
+    #: Seconds after which tables of no version are taken for those of a rebuild that was lost.
+    LOST = 86_400.0
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -174,6 +178,11 @@ class Snapshots:
     def _holds(self, own: str) -> bool:
         return shared.age(self.spark, f"{self.root}/lease") is not None and shared.read_text(self.spark, f"{self.root}/lease") == own
 
+    def _renew(self, own: str, over: threading.Event) -> None:
+        """Renew the lease until the rebuild is over; if this process is lost, the lease soon is."""
+        while not over.wait(max(1.0, self.LEASE / 6)) and self._holds(own):
+            shared.renew(self.spark, f"{self.root}/lease")
+
     def rebuild(self, store: DataFrame) -> str | None:
         """A new version of all documents ``(document_id, content, ...)``, or nothing where a rebuild is
         under way. An error leaves the old version in place, and so does a lease that ran out."""
@@ -181,6 +190,18 @@ class Snapshots:
         at = f"{self.root}/{version}"
         if not self._take_lease(version):
             return None
+        over = threading.Event()
+        threading.Thread(target=self._renew, args=(version, over), daemon=True).start()
+        try:
+            self._write(store, at, version)
+            self._clean()  # while the lease is held, so no other rebuild has tables that no pointer names
+        finally:
+            over.set()
+            if self._holds(version):
+                shared.delete(self.spark, f"{self.root}/lease")
+        return version
+
+    def _write(self, store: DataFrame, at: str, version: str) -> None:
         try:
             write_tables(self.spark, scan(store), at)
             write_completions(self.spark, at)
@@ -191,11 +212,6 @@ class Snapshots:
         except BaseException:
             shared.delete(self.spark, at)
             raise
-        finally:
-            if self._holds(version):
-                shared.delete(self.spark, f"{self.root}/lease")
-        self._clean()
-        return version
 
     def _clean(self) -> None:
         """Delete the pointers and tables of all but the last KEPT versions, clear()'s among them, and what
@@ -206,7 +222,7 @@ class Snapshots:
             shared.delete(self.spark, f"{self.root}/current/{n}")
         for folder in shared.names(self.spark, self.root):
             old = shared.age(self.spark, f"{self.root}/{folder}/forward")
-            if folder not in kept | {"current", "lease"} and (old is None or old > self.LEASE or any(n.endswith(folder) for n in names)):
+            if folder not in kept | {"current", "lease"} and (old is None or old > self.LOST or any(n.endswith(folder) for n in names)):
                 shared.delete(self.spark, f"{self.root}/{folder}")
 
     def current(self) -> Index | None:
