@@ -298,3 +298,11 @@ def test_few_windows_stand_for_all():
     assert len(np.unique(by)) < 0.09 * len(words)
     _, again = substring_dedup._stood_for(words[777:1400], 50)
     assert (again == by[777 : 777 + len(again)] - 777).all()  # the same ones, wherever the words stand
+
+
+def test_the_least_of_each_window():
+    rng = np.random.default_rng(1)
+    for n, length in [(0, 3), (2, 3), (3, 3), (50, 1), (200, 7), (200, 26), (200, 64)]:
+        h = rng.integers(0, 9, n).astype(np.uint64)
+        want = [i + min(range(length), key=lambda k: h[i + k]) for i in range(n - length + 1)]  # noqa: B023
+        assert substring_dedup.least_in(h, length).tolist() == want
