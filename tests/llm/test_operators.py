@@ -477,6 +477,40 @@ def test_ranker_on_held_out_labels(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(got["doc_id"], got["held_out"], strict=True))
 
 
+def test_ranker_fit_against_all_pairs(spark):
+    """The fit on drawn pairs comes near the least loss over all pairs, found by Newton's method; as many
+    of the texts it learned from lie below the cut as are marked bad."""
+    rng = random.Random(3)
+    rows, marks = [], []
+    for i in range(240):
+        good = rng.random() < 0.6
+        odd = rng.uniform(0, 0.2) if good else rng.uniform(0.08, 0.4)  # the kinds overlap
+        rows.append((i, " ".join("#" * rng.randint(1, 3) if rng.random() < odd else "w" * rng.randint(1, 9) for _ in range(rng.randint(20, 60))), "s"))
+        marks.append((i, int(good), 0))
+    docs = docs_of(spark, rows)
+    model = ranker.train(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    kept = [i for i in range(240) if zlib.crc32(str(i).encode()) % 4 != 2]
+    x, y = np.array([ranker.features(rows[i][1]) for i in kept]), np.array([marks[i][1] for i in kept])
+    assert np.allclose(model["mean"], x.mean(0)) and np.allclose(model["sd"], x.std(0) + 1e-6)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    loss = lambda w: np.logaddexp(0, -d @ w).mean() + 0.5e-4 * w @ w
+    best = np.zeros(z.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(d @ best))
+        step = np.linalg.solve((d.T * (p * (1 - p))) @ d / len(d) + 1e-4 * np.eye(len(best)), d.T @ p / len(d) - 1e-4 * best)
+        size = 1.0
+        while loss(best + size * step) > loss(best) and size > 1e-9:
+            size /= 2
+        best = best + size * step
+    least, got = loss(best), loss(np.array(model["w"]))
+    assert 0.02 < least <= got <= least + 0.1 * (np.log(2) - least)
+    scores = {r["id"]: r["score"] for r in ranker.score(docs, model).collect()}
+    assert sum(scores[i] < 0.7 for i in kept) == int((y == 0).sum())
+    order = sorted(kept, key=lambda i: scores[i])
+    assert order == sorted(kept, key=lambda i: float(z[kept.index(i)] @ np.array(model["w"])))
+
+
 def test_ranker_odd_rows(spark):
     docs = docs_of(spark, ODD)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -643,6 +677,27 @@ def test_urls_links_as_browsers_read_them(spark):
     assert got == want
 
 
+def test_urls_null_urls_are_split(spark, monkeypatch):
+    """Where the names of aliases are too many to broadcast, the null urls of a join are dealt out by
+    adaptive execution, and the verdicts are the same."""
+    link = F.concat(F.lit('<link rel="canonical" href="http://x.com/'), F.when(F.col("id") % 6 == 0, "de").otherwise("en"), F.lit("/"), F.col("id"), F.lit('">'))
+    given = F.when(F.col("id") % 3 == 0, F.concat(F.lit("http://a.net/"), F.col("id")))
+    pages = spark.range(0, 60000, 1, 8).select(F.xxhash64("id").alias("page_id"), given.alias("url"), F.when(F.col("id") % 30 == 0, link).alias("html"))
+    want = {tuple(r) for r in url_rules.judge(pages, queries.RULES).collect()}
+    assert sum(r[-1] == "block" for r in want) == 2000
+    monkeypatch.setattr(common, "MAX_BROADCAST", -1)
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "32k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        out = url_rules.judge(pages, queries.RULES)
+        assert {tuple(r) for r in out.collect()} == want
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(f"spark.sql.{k}")
+
+
 def test_urls_resolved_by_the_standard(spark):
     from urllib.parse import urljoin
 
