@@ -317,3 +317,24 @@ def test_a_crawl_looks_pages_up(spark, tmp_path):
     for args in ((none, "http://s.org/", 2, 5), (old, "http://s.org/", 2, 5), (none, "http://s.org/", 2, 5, True), (none, "http://x.org/", 1, 1)):
         one, two = crawl.crawl(table, *args), crawl.crawl(store, *args)
         assert sorted(map(tuple, one.outcomes.collect()), key=str) == sorted(map(tuple, two.outcomes.collect()), key=str) and one.summary == two.summary
+
+
+def test_a_build_makes_its_documents_once(spark, tmp_path):
+    """Documents that come out of a shuffle, as pages do, are made once, and counting their tokens gives what tokens() has."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    odd = ["The a b2 it's THEN then-the athe", "", None, "x " * 9, "of_of off\tof", "Éa ab é1 is2 this is"]
+    rows = [(i, odd[i % len(odd)]) for i in range(60)]
+    texts = spark.createDataFrame(rows, "document_id long, content string").mapInPandas(run, "document_id long, content string")
+    snapshots = corpus.Snapshots(spark, f"file://{tmp_path}/index")
+    snapshots.rebuild(texts.groupBy("document_id").agg(F.max("content").alias("content")))
+    assert made.value == len(rows)
+    built = snapshots.current()
+    counts = {r["document_id"]: r["doc_len"] for r in built.keyed.rows().collect()}
+    want = {r["document_id"]: r["n"] for r in spark.createDataFrame(rows, "document_id long, content string").select("document_id", F.size(text.tokens(F.coalesce("content", F.lit("")))).alias("n")).collect()}
+    assert counts == want

@@ -28,6 +28,12 @@ def tokens(text: Column, least: int = DOCUMENT_LEAST) -> Column:
     return F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) >= least) & ~w.isin(*STOP_WORDS))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens() a document has, counted in one pass that makes no array of them."""
+    stops = "|".join(w for w in STOP_WORDS if len(w) >= DOCUMENT_LEAST)
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z0-9])(?!(?:{stops})(?![a-z0-9]))[a-z0-9]{{{DOCUMENT_LEAST},}}+"))
+
+
 def tokens_literal(text: str, least: int = QUERY_LEAST) -> list[str]:
     return [w for w in re.findall(r"[a-z0-9]+", (text or "").lower()) if len(w) >= least and w not in STOP_WORDS]
 

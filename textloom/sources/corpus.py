@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.text import tokens
+from textloom.functions.text import token_count
 from textloom.operators.index import Index, bounds, completions, forward, inverted
 from textloom.sources import shared
 from textloom.sources.keyed import ROW_GROUP, Keyed
@@ -203,9 +203,10 @@ class Snapshots:
 
     def _write(self, store: DataFrame, at: str, version: str) -> None:
         try:
-            write_tables(self.spark, scan(store), at)
+            # the store may be costly to make, such as pages that are parsed: it is made once, the tables read what lies there
+            documents = Keyed.write(store, f"{at}/documents", made={"doc_len": token_count(F.coalesce("content", F.lit("")))})
+            write_tables(self.spark, scan(documents.rows()), at)
             write_completions(self.spark, at)
-            Keyed.write(store.withColumn("doc_len", F.size(tokens(F.coalesce("content", F.lit(""))))), f"{at}/documents")
             if not self._holds(version):
                 raise TimeoutError("the lease of the rebuild ran out")
             self._point(version)
@@ -221,7 +222,7 @@ class Snapshots:
         for n in names[: -self.KEPT]:
             shared.delete(self.spark, f"{self.root}/current/{n}")
         for folder in shared.names(self.spark, self.root):
-            old = shared.age(self.spark, f"{self.root}/{folder}/forward")
+            old = shared.age(self.spark, f"{self.root}/{folder}/documents")
             if folder not in kept | {"current", "lease"} and (old is None or old > self.LOST or any(n.endswith(folder) for n in names)):
                 shared.delete(self.spark, f"{self.root}/{folder}")
 

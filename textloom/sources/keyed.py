@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a row group: what finding one key reads at most.
@@ -18,9 +18,11 @@ class Keyed:
         self.spark, self.path, self.key, self.name = spark, path.rstrip("/"), key, rows
 
     @classmethod
-    def write(cls, df: DataFrame, path: str, key: str = "document_id") -> Keyed:
+    def write(cls, df: DataFrame, path: str, key: str = "document_id", made: dict[str, Column] | None = None) -> Keyed:
+        """Store rows by key. ``made`` are columns that are added once rows are sorted: finding the
+        ranges takes a pass over df, which would make them too."""
         store = cls(df.sparkSession, path, key)
-        sorted_ = df.repartitionByRange(key).sortWithinPartitions(key)
+        sorted_ = df.repartitionByRange(key).sortWithinPartitions(key).withColumns(made or {})
         sorted_.write.option("parquet.block.size", ROW_GROUP).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{store.path}/rows")
         return store.measure()
 
