@@ -71,42 +71,49 @@ def with_stem(words: DataFrame, word: str = "word", out: str = "term") -> DataFr
     return steps.withColumn(out, F.when(F.col(word).isNull(), F.lit("")).when(F.length(word) <= 2, F.col(word)).otherwise(w))
 
 
+_VOWEL, _RUNS = re.compile("[aeiou]").search, re.compile(VOWEL_RUN).findall
+_CVC, _DOUBLE, _SHORT = re.compile(CVC).search, re.compile(DOUBLE).search, ("at", "bl", "iz")
+# each step's suffixes together: most words have none of them, which one test tells
+_STEPS = tuple((tuple(a for a, _ in rules), rules, least) for rules, least in ((STEP_2, 0), (STEP_3, 0), (tuple((a, "") for a in STEP_4), 1)))
+
+
 def measure(word: str) -> int:
-    return len(re.findall(VOWEL_RUN, word))
+    return len(_RUNS(word))
 
 
-@lru_cache(100_000)
-def stem_word(word: str | None) -> str:
-    """The stem of one word."""
+def stem_once(word: str | None) -> str:
+    """The stem of one word, which is not remembered."""
     if not word or len(word) <= 2:
         return word or ""
-
-    def first(w: str, rules, fits) -> str:
-        for suffix, new in rules:
-            if w.endswith(suffix):
-                left = w[: len(w) - len(suffix)]
-                return left + new if fits(left, suffix) else w
-        return w
-
-    vowel = re.compile("[aeiou]").search
-    w = first(word.lower(), STEP_1A, lambda left, s: True)
+    w = word.lower()
+    if w[-1] == "s":
+        w = next(w[: len(w) - len(a)] + b for a, b in STEP_1A if w.endswith(a))
     if w.endswith("eed"):
         w = w[:-1] if measure(w[:-3]) else w
     else:
         ending = next((s for s in ("ed", "ing") if w.endswith(s)), None)
-        if ending and vowel(w[: -len(ending)]):
+        if ending and _VOWEL(w[: -len(ending)]):
             w = w[: -len(ending)]
-            if re.search("(at|bl|iz)$", w) or not re.search(DOUBLE, w) and measure(w) == 1 and re.search(CVC, w):
+            if w.endswith(_SHORT) or not _DOUBLE(w) and measure(w) == 1 and _CVC(w):
                 w += "e"
-            elif re.search(DOUBLE, w) and w[-1] not in "lsz":
+            elif _DOUBLE(w) and w[-1] not in "lsz":
                 w = w[:-1]
-            elif re.search(DOUBLE, w) and measure(w) == 1 and re.search(CVC, w):
+            elif _DOUBLE(w) and measure(w) == 1 and _CVC(w):
                 w += "e"
-    if w.endswith("y") and vowel(w[:-1]):
+    if w.endswith("y") and _VOWEL(w[:-1]):
         w = w[:-1] + "i"
-    w = first(w, STEP_2, lambda left, s: measure(left) > 0)
-    w = first(w, STEP_3, lambda left, s: measure(left) > 0)
-    w = first(w, tuple((s, "") for s in STEP_4), lambda left, s: measure(left) > 1 and (s != "ion" or left[-1:] in ("s", "t")))
-    if w.endswith("e") and ((m := measure(w[:-1])) > 1 or m == 1 and not re.search(CVC, w[:-1])):
+    for suffixes, rules, least in _STEPS:
+        if w.endswith(suffixes):
+            suffix, new = next(r for r in rules if w.endswith(r[0]))
+            left = w[: len(w) - len(suffix)]
+            if measure(left) > least and (suffix != "ion" or left[-1:] in ("s", "t")):
+                w = left + new
+    if w.endswith("e") and ((m := measure(w[:-1])) > 1 or m == 1 and not _CVC(w[:-1])):
         w = w[:-1]
     return w[:-1] if w.endswith("ll") and measure(w) > 1 else w
+
+
+@lru_cache(100_000)
+def stem_word(word: str | None) -> str:
+    """The stem of one word."""
+    return stem_once(word)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import urls
-from textloom.functions.stem import stem_word, with_stem
+from textloom.functions.stem import stem_once, with_stem
 from textloom.functions.text import DOCUMENT_LEAST, STOP_WORDS
 
 #: Bytes of text that a worker takes from a batch at once, and stems that it remembers.
@@ -35,7 +35,7 @@ class Stems(dict):
     def __missing__(self, word: str) -> str | None:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = found = None if word in _STOPS else stem_word(word)
+        self[word] = found = None if word in _STOPS else stem_once(word)
         return found
 
 
