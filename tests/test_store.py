@@ -338,3 +338,11 @@ def test_a_build_makes_its_documents_once(spark, tmp_path):
     counts = {r["document_id"]: r["doc_len"] for r in built.keyed.rows().collect()}
     want = {r["document_id"]: r["n"] for r in spark.createDataFrame(rows, "document_id long, content string").select("document_id", F.size(text.tokens(F.coalesce("content", F.lit("")))).alias("n")).collect()}
     assert counts == want
+
+
+def test_a_batch_without_phrases_leaves_positions_unread(spark, built):
+    asked = [(1, "data query"), (2, "tree")]
+    found = batch.scores(built, spark.createDataFrame(asked, "query_id int, query string"))
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    alone = [(q, r["document_id"], round(r["score"], 9)) for q, x in asked for r in rank.rank(built, *text.parse_query(x)).collect()]
+    assert sorted((r["query_id"], r["document_id"], round(r["score"], 9)) for r in found.collect()) == sorted(alone) and alone

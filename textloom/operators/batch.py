@@ -40,17 +40,22 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     The postings are read once and joined with the queries' terms, which carry their idf, by term; what
     a query finds in a document then meets by query and document, positions of phrases too. Postings
     of terms that no query has drop out in that join; a frequent term's postings are split by
-    adaptive execution, as the other side has only the queries that ask for it.
+    adaptive execution, as the other side has only the queries that ask for it. Where no query quotes
+    anything, positions are neither read nor shuffled, and scores are sums of three numbers.
     """
     terms, phrases = parsed(queries)
     quoted = phrases.select("query_id", F.explode(F.flatten("phrases")).alias("term"), F.lit(True).alias("quoted")).distinct()
     corpus = F.broadcast(index.corpus())  # one row
     value = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = terms.join(index.document_frequencies(), "term").crossJoin(corpus).select("query_id", "term", value.alias("idf"), "avgdl")
+    score = F.sum(rank.part(F.col("tf"), F.col("doc_len"))).alias("score")
+    if phrases.isEmpty():
+        rows = index.postings().select("term", "document_id", "tf", "doc_len").join(weighed, "term")
+        return rows.groupBy("query_id", "document_id").agg(score).where("score > 0")
     asked = weighed.join(quoted, ["query_id", "term"], "left")
     rows = index.postings().select("term", "document_id", "tf", "positions", "doc_len").join(asked, "term")
     places = F.map_from_entries(F.collect_list(F.when(F.col("quoted"), F.struct("term", "positions"))))
-    found = rows.groupBy("query_id", "document_id").agg(F.sum(rank.part(F.col("tf"), F.col("doc_len"))).alias("score"), places.alias("places"))
+    found = rows.groupBy("query_id", "document_id").agg(score, places.alias("places"))
     found = found.join(phrases, "query_id", "left")
     counts = F.transform(F.coalesce("phrases", F.array().cast("array<array<string>>")), lambda p: rank.matches(F.col("places"), p))
     return found.select("query_id", "document_id", rank.boosted(F.col("score"), counts).alias("score")).where("score > 0")
