@@ -23,6 +23,10 @@ def _stems(words: pd.Series) -> pd.Series:
 stems = _stems.asNondeterministic()
 
 
+#: Rows of query and term, with their idf some 50 bytes each, that are broadcast to the postings at most.
+FEW = 200_000
+
+
 def parsed(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of ``(query_id, query)`` the distinct terms ``(query_id, term)``, those of the whole query, and
     the quoted phrases ``(query_id, phrases)`` that keep more than one token. A query without terms,
@@ -41,7 +45,9 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     a query finds in a document then meets by query and document, positions of phrases too. Postings
     of terms that no query has drop out in that join; a frequent term's postings are split by
     adaptive execution, as the other side has only the queries that ask for it. Where no query quotes
-    anything, positions are neither read nor shuffled, and scores are sums of three numbers.
+    anything, positions are neither read nor shuffled: scores are sums of three numbers, taken from forward
+    rows where the index has them, so that a document's terms are added up before the exchange. Up to
+    FEW terms of queries are broadcast, and postings meet them where they are read.
     """
     terms, phrases = parsed(queries)
     quoted = phrases.select("query_id", F.explode(F.flatten("phrases")).alias("term"), F.lit(True).alias("quoted")).distinct()
@@ -49,11 +55,17 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     value = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = terms.join(index.document_frequencies(), "term").crossJoin(corpus).select("query_id", "term", value.alias("idf"), "avgdl")
     score = F.sum(rank.part(F.col("tf"), F.col("doc_len"))).alias("score")
+    few = weighed.limit(FEW + 1).count() <= FEW
     if phrases.isEmpty():
-        rows = index.postings().select("term", "document_id", "tf", "doc_len").join(weighed, "term")
+        if few and index.numbered is not None:
+            forward = index.numbered.rows().select("document_id", "doc_len", F.explode(F.arrays_zip("terms.term", "terms.tf")).alias("t"))
+            rows = forward.select("document_id", "doc_len", "t.term", "t.tf")
+        else:
+            rows = index.postings().select("term", "document_id", "tf", "doc_len")
+        rows = rows.join(F.broadcast(weighed) if few else weighed, "term")
         return rows.groupBy("query_id", "document_id").agg(score).where("score > 0")
     asked = weighed.join(quoted, ["query_id", "term"], "left")
-    rows = index.postings().select("term", "document_id", "tf", "positions", "doc_len").join(asked, "term")
+    rows = index.postings().select("term", "document_id", "tf", "positions", "doc_len").join(F.broadcast(asked) if few else asked, "term")
     places = F.map_from_entries(F.collect_list(F.when(F.col("quoted"), F.struct("term", "positions"))))
     found = rows.groupBy("query_id", "document_id").agg(score, places.alias("places"))
     found = found.join(phrases, "query_id", "left")
