@@ -30,7 +30,7 @@ SCHEMA = T.StructType(
 
 
 #: Stored indexes of another format are not read; to be raised when the tables of an index change.
-FORMAT = 6
+FORMAT = 7
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
