@@ -25,7 +25,7 @@ class Report:
     single: dict | None = None  # the short form of the answer where one page was asked for
 
 
-def _fetched(pages: DataFrame | Keyed, todo: DataFrame, same_domain: bool) -> DataFrame:
+def _fetched(pages: DataFrame | Keyed, todo: DataFrame, same_domain: bool, closed: bool) -> DataFrame:
     """``(url, title, content, links)`` of the pages on the frontier ``todo (url)``."""
     if isinstance(pages, Keyed):
         names = [r["url"] for r in todo.select("url").limit(LOOKED_UP + 1).collect()]
@@ -38,18 +38,19 @@ def _fetched(pages: DataFrame | Keyed, todo: DataFrame, same_domain: bool) -> Da
     known = pages.where("url is not null")
     near = known.join(hosts, urls.host(F.col("url")) == F.col("__h"), "left_semi").withColumn("__n", urls.normalized(F.col("url")))
     at = near.join(few, "__n", "left_semi")
-    got = parsed(at.groupBy("__n").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p")).select("p.*"), same_domain)
+    got = parsed(at.groupBy("__n").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p")).select("p.*"), same_domain, closed=closed)
     return got.select(F.col("document_id").alias("url"), "title", "content", "links")
 
 
-def crawl(pages: DataFrame | Keyed, stored: DataFrame, seed: str, max_depth: int = 1, max_pages: int = 1, same_domain: bool = False) -> Report:
+def crawl(pages: DataFrame | Keyed, stored: DataFrame, seed: str, max_depth: int = 1, max_pages: int = 1, same_domain: bool = False, closed: bool = False) -> Report:
     """Visit pages breadth first. Depth is held to 1 or 2 and pages to 1 to 5; a url is visited once;
     stored urls are skipped; unsafe and missing ones are errors; only indexed pages count towards
     the limit, and nothing after it is visited.
 
     pages: ``(page_id, url, html)``, which are read whole for each depth and of which only those on the
     frontier are parsed, or a keyed store of pages.corpus(), in which the frontier is looked up, so what
-    a depth reads does not grow with the pages; stored: ``(document_id)``. The frontier is one page's links per depth, so numbering it needs one small task.
+    a depth reads does not grow with the pages; stored: ``(document_id)``; closed: how a table's pages are
+    parsed, see pages.parsed(). The frontier is one page's links per depth, so numbering it needs one small task.
     """
     depth_limit, page_limit = min(max(1, max_depth), MAX_DEPTH), min(max(1, max_pages), MAX_PAGES)
     spark = pages.spark if isinstance(pages, Keyed) else pages.sparkSession
@@ -64,7 +65,7 @@ def crawl(pages: DataFrame | Keyed, stored: DataFrame, seed: str, max_depth: int
         todo = todo.withColumn("__problem", urls.url_problem(F.col("url"))).persist()  # a page's links at most
         held.append(todo)
         few = F.broadcast(todo.select(F.col("url").alias("__n")))
-        got = _fetched(pages, todo, same_domain)
+        got = _fetched(pages, todo, same_domain, closed)
         old = stored.join(few, F.col("document_id") == F.col("__n"), "left_semi").select(F.col("document_id").alias("url"), F.lit(True).alias("__stored")).distinct()
         rows = todo.join(old, "url", "left").join(got, "url", "left")
         problem = F.col("__problem")

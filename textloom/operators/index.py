@@ -100,9 +100,11 @@ def _postings(documents: DataFrame, terms: list[str] | None) -> DataFrame:
     return dealt(documents.select("document_id", "content")).mapInArrow(run, f"term string, document_id {kind}, tf long, positions array<int>, doc_len int")
 
 
-def analysed(documents: DataFrame) -> DataFrame:
+def analysed(documents: DataFrame, only: list[str] | None = None) -> DataFrame:
     """Documents in one pass, a row each: ``(document_id, doc_len, terms, words)``, terms with tf and
-    positions, words, not stemmed, with their number. All tables of an index come from it."""
+    positions, words, not stemmed, with their number. All tables of an index come from it. only: the
+    terms to keep, and no words; every document has its row and its length all the same."""
+    wanted = None if only is None else frozenset(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stem_of = Stems()
@@ -112,7 +114,7 @@ def analysed(documents: DataFrame) -> DataFrame:
                 for content in part.column(1).to_pylist():
                     found = _WORD(content.lower())
                     kept = [t for t in map(stem_of.__getitem__, found) if t is not None]
-                    at, n = _positions(kept), Counter(found)
+                    at, n = _positions(kept, wanted), Counter(found if wanted is None else ())
                     for w in _STOPS & n.keys():
                         del n[w]
                     lengths.append(len(kept))

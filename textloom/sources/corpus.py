@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.text import token_count
-from textloom.operators.index import Index, bounds, completions, forward, inverted
+from textloom.operators.index import Index, analysed, bounds, completions, forward, inverted
 from textloom.sources import shared
 from textloom.sources.keyed import ROW_GROUP, Keyed
 
@@ -261,3 +261,34 @@ def stored_index(spark: SparkSession, name: str, source: str, make) -> Index:
         if snapshots.rebuild(make()) is None:
             time.sleep(1)
     return found
+
+
+class OneQuestion:
+    """An index for the terms of one query over documents that have none: they are written once to the shared
+    folder and read in one pass, which keeps each document's length and its postings of these terms. That
+    takes a small part of an index build, so a single search does not pay for all that later ones
+    might ask. As a context it deletes what it wrote at its end; results have to be held by then."""
+
+    def __init__(self, store: DataFrame, terms: list[str]):
+        self.spark, self.terms, self.store = store.sparkSession, terms, store
+        self.at = f"{shared.shared_dir(self.spark)}/textloom/{self.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Index:
+        try:
+            self.store.write.parquet(f"{self.at}/documents")
+            documents = self.spark.read.schema(self.store.schema).parquet(f"{self.at}/documents")
+            analysed(scan(documents), self.terms).drop("words").write.parquet(f"{self.at}/terms")
+        except BaseException:
+            shared.delete(self.spark, self.at)
+            raise
+        rows = self.spark.read.parquet(f"{self.at}/terms")
+        postings = rows.select(F.explode("terms").alias("t"), "document_id", "doc_len").select("t.term", "document_id", "t.tf", "t.positions", "doc_len")
+        return Index(documents, postings, None, rows.select("document_id", "doc_len"))
+
+    def __exit__(self, *error) -> None:
+        shared.delete(self.spark, self.at)
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """A few rows, such as a page of results, as they are now, whatever becomes of what they were made of."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
