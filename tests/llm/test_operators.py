@@ -800,3 +800,22 @@ def test_token_files_odd_rows(spark, tmp_path):
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(ends))
     repair_ids.write(docs_of(spark, []), f"file://{tmp_path}/none", path)
     assert repair_ids.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_bands_are_shuffled_once_however_many_are_shared(spark, monkeypatch):
+    base = "the quick brown fox jumps over the lazy dog and runs away into the dark green forest number "
+    docs = spark.createDataFrame([(i, f"{base}{i % 7}\nline {i} {'abcdefghij'[i % 10] * 30}") for i in range(60)], "doc_id long, text string")
+    want = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
+    plans, write = [], minhash.materialise
+
+    def seen(df, *keep):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+        if "explode(bands" in plan:
+            plans.append(sum("Exchange hashpartitioning" in x and "ReusedExchange" not in x for x in plan.split("\n")))
+        return write(df, *keep)
+
+    monkeypatch.setattr(minhash, "materialise", seen)
+    monkeypatch.setattr(common, "MAX_BROADCAST", 0)  # as where no side is small
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs).collect())) == want and any(r[-1] for r in want)
+    assert plans == [1]

@@ -273,9 +273,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingles: Chars | Words, simil
                     good.append(min(len(x), len(y)) >= similar * max(len(x), len(y)) and (m := shared_by(x, y)) >= similar * (n - m))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    a = texts.select(F.col("cls").alias("src"), F.col("norm").alias("ta"))
-    b = texts.select(F.col("cls").alias("dst"), F.col("norm").alias("tb"))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "ta", "tb").mapInArrow(run, "src long, dst long")
+    # pairs go to the texts, and a text moves only as the first or as the second of a pair
+    a = texts.select(F.col("cls").alias("src"), F.col("norm").alias("ta")).join(small(pairs), "src")
+    b = texts.select(F.col("cls").alias("dst"), F.col("norm").alias("tb")).join(small(pairs.select("dst").distinct()), "dst", "left_semi")
+    return a.join(b, "dst").select("src", "dst", "ta", "tb").mapInArrow(run, "src long, dst long")
 
 
 def forest(alike: np.ndarray) -> list[tuple[int, int]]:
@@ -365,9 +366,10 @@ def linked(rows: DataFrame, sketch: DataFrame, units: Callable[[str], list[str |
     banded = sketch.where("cls is not null").select(F.explode("bands").alias("key"), "cls")
     if buckets is not None:
         banded = banded.unionByName(buckets.select("key", "cls"))
+    # one exchange by key serves both sides and distinct(), however many keys are shared
+    banded = banded.repartition("key")
     shared = banded.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key")
-    shared = materialise(shared, paths)
-    met = materialise(banded.join(small(shared), "key").distinct(), paths)
+    met = materialise(banded.join(shared.hint("shuffle_hash"), "key").distinct(), paths)
     crowded = materialise(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRWISE), paths)
     needed = materialise(met.select("cls").distinct(), paths)
     places = sketch.where("cls is not null").select("cls", "row", "no").join(small(needed), "cls").groupBy("cls").agg(F.min(F.struct("row", "no")).alias("at")).select("cls", "at.row", "at.no")
@@ -394,7 +396,8 @@ def linked(rows: DataFrame, sketch: DataFrame, units: Callable[[str], list[str |
         main = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("key", "main")
         main = materialise(main, paths)
         if not main.isEmpty():
-            more = materialise(_across(materialise(wide.join(small(main), "key").join(texts, "cls"), paths), shingles, similar), paths)
+            open_ = materialise(wide.join(small(main), "key"), paths)
+            more = materialise(_across(materialise(small(open_).join(texts, "cls"), paths), shingles, similar), paths)
             if not more.isEmpty():
                 found = components(links.unionByName(more))
     forget(rows.sparkSession, *paths)
